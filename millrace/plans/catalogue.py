@@ -1,11 +1,335 @@
-"""All registered queries of the library's own operators, with their SQL."""
+"""The registered queries of the library's own operators, each with its SQL.
+
+The driver's tables hold no nulls, so queries that are about nulls make them with nullif() on both sides. Text formats
+are rendered from table rows and parsed back, so that the SQL can read the table itself.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.casts import canonical
+from millrace.operators import schema
+from millrace.operators.stages import CastTypes, DropFields, FilterRows, FilterRowsAll, FilterRowsAny, FilterRowsNot, MapRecords, ObservedStage, RenameFields, StreamStage
+from millrace.plans.expr import col
+from millrace.plans.pipeline import FrameSource, shaped
+from millrace.plans.predicate import filtered
+from millrace.sources import formats
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = FrameSource(table(spark, sf_dir, "lineitem"))
+    return (source | FilterRows((col("l_quantity") >= 30) & (col("l_returnflag") == "R")) | RenameFields({"l_orderkey": "order_id", "l_extendedprice": "price"}) | DropFields(["l_tax", "l_linestatus"])).df
+
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None):
+    def keep(query):
+        _QUERIES[name] = query
+        if sql is not None:
+            _SQL[name] = sql
+        return query
+
+    return keep
+
+
+def over(name: str, sql: str, of: str, columns: list[str], spec, prepare=None) -> None:
+    """A filter over some columns of a table. prepare changes the table first, as the SQL's own FROM does."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, of)
+        return filtered(prepare(df) if prepare else df, spec).select(*columns)
+
+    register(name, sql)(query)
+
+
+register("flagship_pipeline", "SELECT l_orderkey AS order_id, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice AS price, l_discount, l_returnflag, l_shipdate FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R'")(flagship)
+
+# Filters
+
+_LINE = ["l_orderkey", "l_linenumber"]
+_no_urgent = lambda df: df.withColumn("p", F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")))
+_NO_URGENT = "(SELECT *, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)"
+_some_value = lambda df: df.withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value"))).withColumn("kind", F.nullif(F.col("event_type"), F.lit("click")))
+_SOME_VALUE = "(SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS v, nullif(event_type, 'click') AS kind FROM events)"
+_nan_value = lambda df: df.withColumn("v", F.when(F.col("event_id") % 5 == 0, float("nan")).when(F.col("event_id") % 7 != 0, F.col("value")))
+_NAN_VALUE = "(SELECT *, CASE WHEN event_id % 5 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 <> 0 THEN value END AS v FROM events)"
+_padded = lambda df: df.withColumn("name", F.concat(F.lit(" \t"), "p_name", F.lit("\n ")))
+_PADDED = "(SELECT *, ' ' || chr(9) || p_name || chr(10) || ' ' AS name FROM part)"
+
+over("filter_compare_literal", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R'", "lineitem", [*_LINE, "l_quantity"], (col("l_quantity") >= 30) & (col("l_returnflag") == "R"))
+over("filter_ne_null", f"SELECT o_orderkey, p FROM {_NO_URGENT} WHERE p <> '5-LOW'", "orders", ["o_orderkey", "p"], col("p") != "5-LOW", _no_urgent)
+over("filter_not_null_flip", f"SELECT event_id, v FROM {_SOME_VALUE} WHERE NOT coalesce(v > 50, FALSE)", "events", ["event_id", "v"], ~(col("v") > 50), _some_value)
+over("filter_nan", f"SELECT event_id FROM {_NAN_VALUE} WHERE coalesce(v <> 2 AND NOT isnan(v), FALSE)", "events", ["event_id"], col("v") != 2, _nan_value)
+over("filter_not_nan", f"SELECT event_id FROM {_NAN_VALUE} WHERE NOT coalesce(v > 20 AND NOT isnan(v), FALSE)", "events", ["event_id"], ~(col("v") > 20), _nan_value)
+over("filter_compare_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > l_tax", "lineitem", _LINE, col("l_discount") > col("l_tax"))
+over("filter_compare_int_float", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber::DOUBLE >= l_quantity", "lineitem", _LINE, col("l_linenumber") >= col("l_quantity"))
+over("filter_type_mismatch_false", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE FALSE", "lineitem", _LINE, col("l_returnflag") != col("l_quantity"))
+over("filter_type_mismatch_negated", "SELECT l_orderkey, l_linenumber FROM lineitem", "lineitem", _LINE, ~(col("l_returnflag") != col("l_quantity")))
+over("filter_equal_text", f"SELECT o_orderkey FROM {_NO_URGENT} WHERE p = '3-MEDIUM'", "orders", ["o_orderkey"], {"field": "p", "op": "equal", "value": "3-MEDIUM"}, _no_urgent)
+over("filter_not_equal_text", f"SELECT o_orderkey, p FROM {_NO_URGENT} WHERE p IS DISTINCT FROM '3-MEDIUM'", "orders", ["o_orderkey", "p"], {"field": "p", "op": "not_equal", "value": "3-MEDIUM"}, _no_urgent)
+over("filter_in", f"SELECT event_id, kind FROM {_SOME_VALUE} WHERE kind IN ('view', 'purchase')", "events", ["event_id", "kind"], col("kind").isin(["view", "purchase"]), _some_value)
+over("filter_in_numbers", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity IN (1, 2, 17)", "lineitem", _LINE, col("l_quantity").isin([1, 2, 17]))
+over("filter_not_in", f"SELECT event_id, kind FROM {_SOME_VALUE} WHERE kind IS NULL OR kind NOT IN ('view', 'purchase')", "events", ["event_id", "kind"], col("kind").not_in(["view", "purchase"]), _some_value)
+over("filter_starts_with", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')", "part", ["p_partkey", "p_type"], col("p_type").startswith("S"))
+over("filter_ends_with", "SELECT p_partkey, p_type FROM part WHERE suffix(p_type, 'L')", "part", ["p_partkey", "p_type"], col("p_type").endswith("L"))
+over("filter_contains", "SELECT p_partkey, p_brand FROM part WHERE contains(p_brand, '#1')", "part", ["p_partkey", "p_brand"], col("p_brand").contains("#1"))
+over("filter_regex", "SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '#[1-3][^3]$')", "part", ["p_partkey", "p_brand"], col("p_brand").matches("#[1-3][^3]$"))
+over("filter_strip", f"SELECT p_partkey FROM {_PADDED} WHERE regexp_replace(name, '^\\s+|\\s+$', '', 'g') > 'part 5'", "part", ["p_partkey"], col("name").strip(">", "part 5"), _padded)
+over("filter_lower", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'", "customer", ["c_custkey"], col("c_mktsegment").lower("==", "building"))
+over("filter_upper", "SELECT p_partkey FROM part WHERE upper(p_name) >= 'PART 7'", "part", ["p_partkey"], col("p_name").upper(">=", "PART 7"))
+over("filter_replace", "SELECT p_partkey FROM part WHERE replace(p_brand, '#', '-') = 'Brand-12'", "part", ["p_partkey"], {"field": "p_brand", "op": "==", "old": "#", "new": "-", "value": "Brand-12"})
+over("filter_length", "SELECT doc_id, n_chars FROM documents WHERE length(text) > 1000", "documents", ["doc_id", "n_chars"], col("text").length(">", 1000))
+over("filter_arithmetic", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice * 0.1 > 3000", "lineitem", _LINE, {"field": "l_extendedprice", "arith_op": "*", "arith_value": 0.1, "op": ">", "value": 3000})
+over("filter_divided_by_zero", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE FALSE", "lineitem", _LINE, {"field": "l_extendedprice", "arith_op": "/", "arith_value": 0, "op": ">", "value": 1})
+over("filter_null", f"SELECT event_id FROM {_SOME_VALUE} WHERE v IS NULL", "events", ["event_id"], col("v").is_null(), _some_value)
+over("filter_not_null", f"SELECT event_id FROM {_SOME_VALUE} WHERE v IS NOT NULL", "events", ["event_id"], col("v").is_not_null(), _some_value)
+over("filter_not_field", f"SELECT event_id FROM {_SOME_VALUE} WHERE coalesce(kind, '') = ''", "events", ["event_id"], {"not_field": "kind"}, _some_value)
+over("filter_always", "SELECT r_regionkey FROM region", "region", ["r_regionkey"], {"always": True})
+over("filter_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20", "lineitem", _LINE, col("l_quantity").between(10, 20))
+over("filter_timestamp_literal", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'", "orders", ["o_orderkey"], col("o_orderdate") < "1995-01-01")
+over("filter_absent_column", "SELECT o_orderkey FROM orders WHERE FALSE", "orders", ["o_orderkey"], col("gone") != "x")
+over("filter_absent_column_negated", "SELECT o_orderkey FROM orders", "orders", ["o_orderkey"], ~(col("gone") == "x"))
+
+
+@register("filter_any", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000")
+def filter_any(spark, d):
+    return FilterRowsAny(FilterRows(field="o_orderstatus", op="==", value="F"), FilterRows(col("o_totalprice") > 200000)).transform(table(spark, d, "orders")).select("o_orderkey")
+
+
+@register("filter_all_not", f"SELECT event_id FROM {_SOME_VALUE} WHERE NOT (coalesce(v > 20, FALSE) AND coalesce(kind = 'view', FALSE))")
+def filter_all_not(spark, d):
+    both = FilterRowsAll(FilterRows(col("v") > 20), FilterRows(col("kind") == "view"))
+    return FilterRowsNot(both).transform(_some_value(table(spark, d, "events"))).select("event_id")
+
+
+_WORDS = ["'7'", "' 8 '", "'1.5'", "'1e3'", "'true'", "'Yes'", "'2024-1-5'", "'2024'", "'x'", "'9223372036854775808'"]
+_MIXED = f"(SELECT event_id, CASE event_id % 11 {' '.join(f'WHEN {i} THEN {w}' for i, w in enumerate(_WORDS))} END AS t FROM events)"
+
+
+def _mixed(spark, d) -> DataFrame:
+    at = F.col("event_id") % 11
+    c = F.lit(None).cast("string")
+    for i, w in enumerate(_WORDS):
+        c = F.when(at == i, w.strip("'")).otherwise(c)
+    return table(spark, d, "events").select("event_id", c.alias("t"))
+
+
+_INT_SQL, _FLOAT_SQL, _DATE_SQL = "regexp_full_match(t, '[+-]?[0-9]+') AND try_cast(t AS BIGINT) IS NOT NULL", "regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')", "regexp_full_match(t, '\\s*[0-9]+-[0-9]{1,2}-[0-9]{1,2}\\s*')"
+
+
+@register("filter_is_type", f"SELECT event_id, t, 'int64' AS kind FROM {_MIXED} WHERE {_INT_SQL} UNION ALL SELECT event_id, t, 'float64' AS kind FROM {_MIXED} WHERE {_FLOAT_SQL} UNION ALL SELECT event_id, t, 'bool' AS kind FROM {_MIXED} WHERE lower(t) IN ('true', 'false', '1', '0', 'yes', 'no') UNION ALL SELECT event_id, t, 'date32' AS kind FROM {_MIXED} WHERE {_DATE_SQL}")
+def filter_is_type(spark, d):
+    parts = [filtered(_mixed(spark, d), col("t").is_type(k)).withColumn("kind", F.lit(k)) for k in ("int64", "float64", "bool", "date32")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@register("filter_callable", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
+def filter_callable(spark, d):
+    return FilterRows(lambda r: r["n_nationkey"] % 2 == 1).transform(table(spark, d, "nation")).select("n_nationkey", "n_name")
+
+
+@register("filter_chained", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_tax < 0.05 AND l_returnflag <> 'N'")
+def filter_chained(spark, d):
+    return (FrameSource(table(spark, d, "lineitem")) | FilterRows(col("l_quantity") > 10) | FilterRows(col("l_tax") < 0.05) | FilterRows(col("l_returnflag") != "N")).df.select(*_LINE)
+
+
+# Shapes
+
+
+@register("rename_swap", "SELECT n_nationkey AS n_regionkey, n_name, n_regionkey AS n_nationkey FROM nation")
+def rename_swap(spark, d):
+    return RenameFields({"n_nationkey": "n_regionkey", "n_regionkey": "n_nationkey"}).transform(table(spark, d, "nation"))
+
+
+@register("rename_onto_existing", "SELECT n_regionkey AS n_nationkey, n_name FROM nation")
+def rename_onto_existing(spark, d):
+    return RenameFields({"n_regionkey": "n_nationkey"}).transform(table(spark, d, "nation"))
+
+
+@register("drop_fields", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def drop_fields(spark, d):
+    return DropFields(["c_nationkey", "c_mktsegment", "unknown"]).transform(table(spark, d, "customer"))
+
+
+@register("project_schema", "SELECT s_name, s_suppkey, NULL::BIGINT AS rating, NULL::VARCHAR AS note FROM supplier")
+def project_schema(spark, d):
+    return schema.project(table(spark, d, "supplier"), ["s_name", "s_suppkey", "rating", "note"], {"rating": "int64"})
+
+
+@register("filter_then_project", "SELECT s_name FROM supplier WHERE s_acctbal > 1000")
+def filter_then_project(spark, d):
+    return shaped(table(spark, d, "supplier"), filter=(col("s_acctbal") > 1000), schema=["s_name"])
+
+
+@register("union_ragged", "SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 1")
+def union_ragged(spark, d):
+    o = table(spark, d, "orders")
+    return schema.union_ragged([o.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), o.filter("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice")])
+
+
+@register("unify_numeric", "SELECT o_custkey::DOUBLE AS x FROM orders UNION ALL SELECT o_totalprice AS x FROM orders")
+def unify_numeric(spark, d):
+    o = table(spark, d, "orders")
+    return schema.union_ragged([o.select(F.col("o_custkey").alias("x")), o.select(F.col("o_totalprice").alias("x"))])
+
+
+_AUTO = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, count(*) >= 512 AND count(DISTINCT {c}) <= least(greatest(16, 0.05 * count(*)), 256) AS is_candidate FROM orders" for c in ("o_orderstatus", "o_orderpriority"))
+
+
+@register("auto_dict_candidates", _AUTO)
+def auto_dict_candidates(spark, d):
+    return schema.dictionary_candidates(table(spark, d, "orders"))
+
+
+# Casts
+
+
+def _cast(kind: str):
+    return lambda spark, d: schema.typed(_mixed(spark, d), {"t": kind})
+
+
+register("cast_int", f"SELECT event_id, CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN try_cast(t AS BIGINT) END AS t FROM {_MIXED}")(_cast("int64"))
+register("cast_float", f"SELECT event_id, CASE WHEN {_FLOAT_SQL} THEN try_cast(t AS DOUBLE) END AS t FROM {_MIXED}")(_cast("float64"))
+register("cast_bool", f"SELECT event_id, CASE t WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS t FROM {_MIXED}")(_cast("bool"))
+register("cast_date", f"SELECT event_id, CASE WHEN {_DATE_SQL} THEN try_cast(t AS DATE) END AS t FROM {_MIXED}")(_cast("date32"))
+
+
+@register("cast_timestamp", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS t FROM orders")
+def cast_timestamp(spark, d):
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    layout = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return schema.typed(o.select("o_orderkey", layout.alias("t")), {"t": "timestamp"})
+
+
+@register("cast_timestamp_format", "SELECT o_orderkey, date_trunc('minute', o_orderdate) AS t FROM orders")
+def cast_timestamp_format(spark, d):
+    text = F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "dd.MM.yyyy HH:mm")
+    return schema.typed(table(spark, d, "orders").select("o_orderkey", text.alias("t")), {"t": "timestamp[us,format=%d.%m.%Y %H:%M]"})
+
+
+@register("cast_decimal_truncate", "SELECT l_orderkey, l_linenumber, (floor(l_discount * 100) * 0 + CAST(substr(printf('%.4f', l_discount + 0.0099), 1, 3) AS DOUBLE)) AS t FROM lineitem")
+def cast_decimal_truncate(spark, d):
+    text = F.format_string("%.4f", F.col("l_discount") + 0.0099)
+    made = schema.typed(table(spark, d, "lineitem").select(*_LINE, text.alias("t")), {"t": "decimal128(1)"})
+    return made.withColumn("t", F.col("t").cast("double"))
+
+
+@register("cast_strict", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS quantity FROM lineitem")
+def cast_strict(spark, d):
+    text = F.col("l_quantity").cast("long").cast("string").alias("quantity")
+    return CastTypes({"quantity": int}).transform(table(spark, d, "lineitem").select(*_LINE, text))
+
+
+@register("canonical_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR END AS q, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN l_extendedprice::BIGINT::VARCHAR ELSE l_extendedprice::VARCHAR END AS p FROM lineitem")
+def canonical_text(spark, d):
+    df = table(spark, d, "lineitem")
+    return df.select(*_LINE, canonical(F.col("l_quantity"), df.schema["l_quantity"].dataType).alias("q"), canonical(F.col("l_extendedprice"), df.schema["l_extendedprice"].dataType).alias("p"))
+
+
+# Text formats
+
+
+def _rendered(df: DataFrame, key: str, text) -> DataFrame:
+    return formats.text_lines(df.sparkSession, df.select(F.col(key).cast("string").alias("file"), text.alias("text")), file="file")
+
+
+@register("format_kv", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def format_kv(spark, d):
+    df = table(spark, d, "lineitem")
+    line = F.concat_ws(" ", F.concat(F.lit("l_orderkey="), "l_orderkey"), F.lit("l_returnflag=?"), F.concat(F.lit("l_linenumber="), "l_linenumber"), F.concat(F.lit("l_returnflag="), "l_returnflag"))
+    read = df.select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), line.alias("line"))
+    return shaped(formats.key_values(read), field_types={"l_orderkey": "int64", "l_linenumber": "int64"}, schema=["l_orderkey", "l_linenumber", "l_returnflag"]).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
+@register("format_properties", "SELECT 'name' AS key, n_name AS value FROM nation UNION ALL SELECT 'region' AS key, n_regionkey::VARCHAR AS value FROM nation")
+def format_properties(spark, d):
+    text = F.concat(F.lit("# nation\n\n  name = "), "n_name", F.lit("\r\nregion: "), "n_regionkey", F.lit("\n"))
+    return shaped(formats.properties(_rendered(table(spark, d, "nation"), "n_nationkey", text)), schema=["key", "value"])
+
+
+@register("format_ini", "SELECT 'id' AS section, c_custkey::VARCHAR AS key, NULL AS name, NULL AS segment FROM customer UNION ALL SELECT 'who', NULL, c_name, NULL FROM customer UNION ALL SELECT 'who', NULL, NULL, c_mktsegment FROM customer")
+def format_ini(spark, d):
+    text = F.concat(F.lit("; c\n[id]\nkey="), "c_custkey", F.lit("\n[broken\n[who]\r\nname: "), "c_name", F.lit("\nsegment ="), "c_mktsegment", F.lit("\nloose\n"))
+    return shaped(formats.ini(_rendered(table(spark, d, "customer"), "c_custkey", text)), schema=["section", "key", "name", "segment"])
+
+
+@register("format_ldif", "SELECT s_suppkey::VARCHAR AS dn, s_name AS cn, NULL AS nation FROM supplier UNION ALL SELECT s_suppkey::VARCHAR || 'b', NULL, s_nationkey::VARCHAR FROM supplier")
+def format_ldif(spark, d):
+    text = F.concat(F.lit("dn: "), "s_suppkey", F.lit("\n# note\ncn:   "), "s_name", F.lit("\r\n\r\n\ndn: "), "s_suppkey", F.lit("b\nnation: "), "s_nationkey")
+    return shaped(formats.ldif(_rendered(table(spark, d, "supplier"), "s_suppkey", text)), schema=["dn", "cn", "nation"])
+
+
+@register("schema_discovery", "SELECT * FROM (VALUES (0, 'dn'), (1, 'cn'), (2, 'nation')) AS t(place, name)")
+def schema_discovery(spark, d):
+    text = F.concat(F.lit("dn: a\ncn: "), "s_name", F.lit("\n\ndn: b\nnation: "), "s_nationkey")
+    names = schema.discover(formats.ldif(_rendered(table(spark, d, "supplier"), "s_suppkey", text)))
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+@register("locate_counts", "SELECT 2 * count(*) AS n_rows, 4 * count(*) AS n_fields, 3::BIGINT AS n_names FROM supplier")
+def locate_counts(spark, d):
+    text = F.concat(F.lit("dn: a\ncn: "), "s_name", F.lit("\n\ndn: b\nnation: "), "s_nationkey")
+    return schema.located(formats.ldif(_rendered(table(spark, d, "supplier"), "s_suppkey", text)))
+
+
+@register("xml_fields", "SELECT n_name AS name, n_regionkey AS region FROM nation")
+def xml_fields(spark, d):
+    body = F.concat(F.lit("<r><f n='name'>"), "n_name", F.lit("</f><f n='region'>"), "n_regionkey", F.lit("</f></r>"))
+    names, values = F.xpath(F.col("x"), F.lit("r/f/@n")), F.xpath(F.col("x"), F.lit("r/f/text()"))
+    read = table(spark, d, "nation").select(body.alias("x")).select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), F.map_from_arrays(names, values).alias("fields"))
+    return shaped(read, schema=["name", "region"], field_types={"region": "int64"}).withColumn("region", F.col("region").cast("int"))
+
+
+# Row functions and streams
+
+
+@register("apply_records", "SELECT n_nationkey, upper(n_name) AS n_name FROM nation WHERE n_regionkey <> 2")
+def apply_records(spark, d):
+    stage = MapRecords(lambda r: {"n_nationkey": r["n_nationkey"], "n_name": r["n_name"].upper()} if r["n_regionkey"] != 2 else None, "n_nationkey int, n_name string")
+    return stage.transform(table(spark, d, "nation"))
+
+
+def _twice(rows):
+    for r in rows:
+        yield {"name": r["r_name"], "copy": 0}
+        yield {"name": r["r_name"], "copy": 1}
+
+
+@register("stream_stage", "SELECT r_name AS name, c AS copy FROM region, (VALUES (0), (1)) AS t(c)")
+def stream_stage(spark, d):
+    return StreamStage(_twice, "name string, copy int").transform(table(spark, d, "region"))
+
+
+@register("observed_rows", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def observed_rows(spark, d):
+    return ObservedStage({}, col("s_acctbal").__gt__(0).to_spec()).transform(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
+
+
+@register("stream_file_available_now", "SELECT event_id, event_type, value FROM events")
+def stream_file_available_now(spark, d):
+    import uuid
+
+    from millrace.streaming.records import run_available
+
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("event_id", "event_type", "value")
+    run_available(stream, f"{base}/out", f"{base}/state")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
