@@ -26,8 +26,8 @@ DEPTH = 3
 BLOCK_BYTES = 8 << 20
 #: Stands before a text's start and for its end; no UTF-8 text holds this byte.
 EDGE = 0xFF
-#: Positions of a block that are counted or scored at a time.
-STRIDE = 1 << 21
+#: Bytes of a block that are counted or scored at a time.
+STRIDE = 1 << 20
 WORD, GRAM = 0, 1
 LOG10_2 = math.log10(2)
 
@@ -95,14 +95,23 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, joined[at], begins
 
 
-def _ranks(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct contexts, ascending, and a table of 2^24 places that gives each its number."""
-    met = np.zeros(1 << 24, bool)
-    met[contexts] = True
-    distinct = np.flatnonzero(met)
+def _numbered(distinct: np.ndarray) -> np.ndarray:
+    """A table of 2^24 places that gives each of the distinct contexts its number."""
     rank = np.empty(1 << 24, "i4")
     rank[distinct] = np.arange(len(distinct), dtype="i4")
-    return distinct, rank
+    return rank
+
+
+def _strides(texts: list[bytes], most: int = STRIDE):
+    """Ranges of texts that hold about `most` bytes together, or one longer text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def _texts(column) -> list[bytes]:
@@ -120,14 +129,19 @@ def _count_block(block: pa.Table) -> pa.Table:
             words[b""] += 1
         else:
             others.update(t.split())
-    context, following, begins = _grams(texts)
-    learn = np.repeat(train, np.diff(np.r_[begins, len(context)]))
-    distinct, rank = _ranks(context)
+    met = np.zeros(1 << 24, bool)
+    for some in _strides(texts):
+        met[_grams(texts[some])[0]] = True
+    distinct = np.flatnonzero(met)
+    rank = _numbered(distinct)
     seen, learnt = np.zeros(256 * len(distinct), bool), np.zeros(256 * len(distinct), "i8")
-    for a in range(0, len(context), STRIDE):
-        cell = rank[context[a : a + STRIDE]].astype("i8") << 8 | following[a : a + STRIDE]
+    for some in _strides(texts):
+        context, following, begins = _grams(texts[some])
+        learn = np.repeat(train[some], np.diff(np.r_[begins, len(context)]))
+        cell = rank[context].astype("i8") << 8 | following
         seen[cell] = True
-        learnt += np.bincount(cell[learn[a : a + STRIDE]], minlength=len(learnt))
+        which, times = np.unique(cell[learn], return_counts=True)
+        learnt[which] += times
     cells = np.flatnonzero(seen)
     grams = (distinct[cells >> 8] << 8 | cells & 0xFF).astype(">u4")
     rest = [w for w in others if w not in words]
@@ -230,13 +244,15 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
             n_known.append(sum(map(met.__contains__, tokens)))
             base.append(math.fsum(map(of_words.__getitem__, tokens)))
         grams = np.frombuffer(b"".join(keys.filter(pa.array(~is_word)).to_pylist()), ">u4").astype("i8")
-        context, following, begins = _grams(texts)
-        distinct, rank = _ranks(context)
+        distinct = np.unique(grams >> 8)
+        rank = _numbered(distinct)
         table = np.zeros(256 * len(distinct))
         table[rank[grams >> 8].astype("i8") << 8 | grams & 0xFF] = logs[~is_word]
-        per_byte = np.concatenate([table[rank[context[a : a + STRIDE]].astype("i8") << 8 | following[a : a + STRIDE]] for a in range(0, len(context), STRIDE)])
-        scores = np.add.reduceat(per_byte, begins)
-        n_bytes = np.diff(np.r_[begins, len(context)]) - 1
+        scores = np.zeros(len(texts))
+        for some in _strides(texts):
+            context, following, begins = _grams(texts[some])
+            scores[some] = np.add.reduceat(table[rank[context].astype("i8") << 8 | following], begins)
+        n_bytes = np.array([len(t) for t in texts], "i8")
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base), "score": pa.array(scores), "n_bytes": pa.array(n_bytes), "bits_per_byte": pa.array(-scores / LOG10_2 / (n_bytes + 1))})
 
     made = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
