@@ -108,8 +108,10 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Network | float:
     """The network, or the share of label 1 where the texts don't bear both labels (0.5 without any)."""
     if len(set(labels.tolist())) < 2:
         return float(labels.mean()) if len(labels) else 0.5
-    rows, first = passages(texts)
-    return train(rows, first, labels)
+    # some texts at a time, so that the driver holds features rather than bytes spread out
+    parts = [passages(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    sizes = np.concatenate([np.diff(first) for _, first in parts])
+    return train(np.concatenate([rows for rows, _ in parts]), np.r_[0, np.cumsum(sizes)], labels)
 
 
 def classify(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

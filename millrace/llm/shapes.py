@@ -21,6 +21,8 @@ def _kind_of_bytes() -> np.ndarray:
 
 
 KIND_OF = _kind_of_bytes()
+#: Bytes that are counted at a time, unless one part alone is longer.
+STRIDE = 1 << 20
 _SPACE = KINDS.index("space")
 
 
@@ -29,6 +31,15 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
     starts ascend and may repeat: such a part is empty and gets the row of an empty text.
     """
+    if len(data) > STRIDE and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), STRIDE)))
+        cuts = np.r_[0, cuts[(cuts > 0) & (cuts < len(starts))], len(starts)]
+        ends = np.r_[starts, len(data)]
+        return np.concatenate([features(data[ends[a] : ends[b]], starts[a:b] - ends[a]) if b - a < len(starts) else _features(data, starts) for a, b in zip(cuts, cuts[1:], strict=False)])
+    return _features(data, starts)
+
+
+def _features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n, width = len(starts), len(KINDS)
     lengths = np.diff(np.r_[starts, len(data)])
     kinds = KIND_OF[data]
