@@ -95,7 +95,7 @@ over("filter_not_null", f"SELECT event_id FROM {_SOME_VALUE} WHERE v IS NOT NULL
 over("filter_not_field", f"SELECT event_id FROM {_SOME_VALUE} WHERE coalesce(kind, '') = ''", "events", ["event_id"], {"not_field": "kind"}, _some_value)
 over("filter_always", "SELECT r_regionkey FROM region", "region", ["r_regionkey"], {"always": True})
 over("filter_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20", "lineitem", _LINE, col("l_quantity").between(10, 20))
-over("filter_timestamp_literal", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'", "orders", ["o_orderkey"], col("o_orderdate") < "1995-01-01")
+over("filter_timestamp_literal", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'", "orders", ["o_orderkey"], col("o_orderdate") < "1997-01-01")
 over("filter_absent_column", "SELECT o_orderkey FROM orders WHERE FALSE", "orders", ["o_orderkey"], col("gone") != "x")
 over("filter_absent_column_negated", "SELECT o_orderkey FROM orders", "orders", ["o_orderkey"], ~(col("gone") == "x"))
 
