@@ -175,6 +175,8 @@ def _ones(counts: np.ndarray) -> np.ndarray:
 
 def _top(branches: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each last byte: what the empty and the one-byte context add to a one's probability, and the share left below."""
+    if not branches:
+        return {}
     last = [r["last"] for r in branches]
     counts, children = np.array([r["counts"] for r in branches], "i8").reshape(-1, 256), np.array([r["children"] for r in branches]).reshape(-1, 255)
     log_all, own = mixed(log_kt(*decisions(counts)), children)

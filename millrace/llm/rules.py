@@ -70,14 +70,11 @@ def lines_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Features of all lines of the texts, each line's words, and the number of the first line of each text (and the end)."""
     raw, data, begins = buffers(texts)
     breaks = np.flatnonzero(data == 0x0A)
-    starts = np.sort(np.r_[begins, breaks + 1])
-    owner = np.searchsorted(begins, starts, "right") - 1
-    # A break at a text's very end opens a line of that text, where the next one begins; it sorts before that one.
-    tail = breaks[np.isin(breaks + 1, np.r_[begins[1:], len(data)])]
-    if len(tail):
-        at = np.searchsorted(starts, tail + 1)
-        owner[at] = np.searchsorted(begins, tail, "right") - 1
-    owner = np.sort(owner)
+    # a text opens a line, and so does each line feed, for the text that it stands in
+    owner = np.r_[np.arange(len(raw)), np.searchsorted(begins, breaks, "right") - 1]
+    starts = np.r_[begins, breaks + 1]
+    order = np.lexsort((starts, owner))
+    owner, starts = owner[order], starts[order]
     shape = features(data, starts)
     words = np.rint(np.expm1(shape[:, FEATURES.index("log_words")])).astype("i8")
     first = np.searchsorted(owner, np.arange(len(raw) + 1))
