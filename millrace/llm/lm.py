@@ -4,9 +4,10 @@ Every byte is eight binary decisions; each decision has a tree of contexts of 0
 Krichevsky-Trofimov estimate of its own counts is mixed half and half with the product of its children's mixtures. The
 trees learn from the counts of all training texts; the code length of a text follows from the mixtures' predictions.
 
-The corpus is dealt into blocks of about BLOCK_BYTES. A block tells once which byte strings and words it holds, with
-their training counts; sums over all blocks give the model; and each block gets back the predictions for its own
-strings only, so no task ever holds the whole model.
+The corpus is dealt into blocks of about BLOCK_BYTES. A block tells once which words and which grams (a byte and the
+DEPTH bytes before it) it holds, with their training counts; sums over all blocks give the model; and each block gets
+back the predictions for its own words and grams only, so no task ever holds the whole model. Grams travel as one packed
+row for each pair of bytes just before the predicted one, under which there are at most 2^24 of them.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, held_out, small_batches, table
 
 #: Bytes of the longest context.
-DEPTH = 3
+DEPTH = 4  # at least 3, at most 4: a gram below its pair must fit 32 bits
 BLOCK_BYTES = 8 << 20
 #: Stands before a text's start and for its end; no UTF-8 text holds this byte.
 EDGE = 0xFF
 #: Bytes of a block that are counted or scored at a time.
 STRIDE = 1 << 20
-WORD, GRAM = 0, 1
+#: Blocks whose counts one merge takes in.
+FAN_IN = 64
+#: Counts up to which gamma functions are looked up.
+TABLED = 1 << 13
 LOG10_2 = math.log10(2)
 
 
@@ -50,9 +55,19 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zeros, 1).astype("f8"), np.concatenate(ones, 1).astype("f8")
 
 
+_HALVES, _WHOLES = log_gamma(np.arange(TABLED) + 0.5), log_gamma(np.arange(TABLED) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability of a sequence with these counts under the Krichevsky-Trofimov estimator."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
+    both = zeros + ones
+    small = np.minimum(both, TABLED - 1).astype("i8")
+    out = _HALVES[np.minimum(zeros, small).astype("i8")] + _HALVES[np.minimum(ones, small).astype("i8")] - math.log(math.pi) - _WHOLES[small]
+    big = both >= TABLED
+    if big.any():
+        z, o = zeros[big], ones[big]
+        out[big] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - math.log(math.pi) - log_gamma(z + o + 1)
+    return out
 
 
 def mixed(log_own: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,36 +85,58 @@ def byte_logs(ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_context(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The third bytes back of a two-byte context's grams, ascending, and their counts of next bytes."""
-    third, row = np.unique(grams >> 24, return_inverse=True)
-    table = np.zeros((len(third), 256), "i8")
-    np.add.at(table, (row, grams & 0xFF), counts)
-    return third, table
-
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all positions of the texts, ends included, and where each text's begin.
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (24 bits) and next bytes of all positions of the texts, ends included, and where each text begins."""
+    From the top, a gram holds the two bytes before the predicted one, the earlier one first, then the further ones back,
+    the nearest first, then the predicted byte.
+    """
     edge = bytes([EDGE])
     joined = np.frombuffer(b"".join(x for t in texts for x in (edge * DEPTH, t, edge)), "u1")
-    lengths = np.array([len(t) + 1 for t in texts])
-    begins = np.r_[0, np.cumsum(lengths)[:-1]]
+    begins = np.r_[0, np.cumsum([len(t) + 1 for t in texts])[:-1]].astype("i8")
     keep = np.ones(len(joined), bool)
-    heads = begins + DEPTH * np.arange(len(texts))
     for i in range(DEPTH):
-        keep[heads + i] = False
+        keep[begins + DEPTH * np.arange(len(texts)) + i] = False
     at = np.flatnonzero(keep)
-    context = np.zeros(len(at), "i4")
-    for back in range(DEPTH, 0, -1):
-        context = context << 8 | joined[at - back]
-    return context, joined[at], begins
-
-
-def _numbered(distinct: np.ndarray) -> np.ndarray:
-    """A table of 2^24 places that gives each of the distinct contexts its number."""
-    rank = np.empty(1 << 24, "i4")
-    rank[distinct] = np.arange(len(distinct), dtype="i4")
-    return rank
+    gram = np.zeros(len(at), "i8")
+    for back in (2, 1, *range(3, DEPTH + 1), 0):
+        gram <<= 8
+        gram |= joined[at - back]
+    return gram, begins
+
+
+#: Bits of a gram below its pair.
+INNER = 8 * (DEPTH - 1)
+
+
+class Table:
+    """Values of grams, looked up by steps: the pair and nearest byte back, then the others one at a time."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        self.numbers, found, shift = [], np.zeros(0, "i8"), INNER - 8
+        heads = np.unique(grams >> shift)
+        first = np.zeros(1 << 24, "i4")
+        first[heads] = np.arange(len(heads), dtype="i4")
+        self.numbers.append(first)
+        found = first[grams >> shift].astype("i8")
+        while shift > 8:
+            shift -= 8
+            cell = found << 8 | grams >> shift & 0xFF
+            here = np.unique(cell)
+            number = np.zeros(256 * len(heads), "i4")
+            number[here] = np.arange(len(here), dtype="i4")
+            self.numbers.append(number)
+            found, heads = number[cell].astype("i8"), here
+        self.values = np.zeros(256 * max(1, len(heads)), "f4")
+        self.values[found << 8 | grams & 0xFF] = values
+
+    def __getitem__(self, grams: np.ndarray) -> np.ndarray:
+        shift = INNER - 8
+        found = self.numbers[0][grams >> shift].astype("i8")
+        for number in self.numbers[1:]:
+            shift -= 8
+            found = number[found << 8 | grams >> shift & 0xFF].astype("i8")
+        return self.values[found << 8 | grams & 0xFF]
 
 
 def _strides(texts: list[bytes], most: int = STRIDE):
@@ -118,8 +155,13 @@ def _texts(column) -> list[bytes]:
     return [(t or "").encode().lower() for t in column.to_pylist()]
 
 
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
 def _count_block(block: pa.Table) -> pa.Table:
-    """(block, kind, key, n) for every word and gram of a block, n being its count in training texts."""
+    """(block, key, n) for every word of a block and (block, pair, grams, counts) for its grams; n and counts are those
+    in training texts."""
     texts, train = _texts(block.column("text")), np.array(block.column("train").to_pylist(), bool)
     words: Counter = Counter()
     others: set = set()
@@ -129,36 +171,113 @@ def _count_block(block: pa.Table) -> pa.Table:
             words[b""] += 1
         else:
             others.update(t.split())
-    met = np.zeros(1 << 24, bool)
+    marked = []
     for some in _strides(texts):
-        met[_grams(texts[some])[0]] = True
-    distinct = np.flatnonzero(met)
-    rank = _numbered(distinct)
-    seen, learnt = np.zeros(256 * len(distinct), bool), np.zeros(256 * len(distinct), "i8")
-    for some in _strides(texts):
-        context, following, begins = _grams(texts[some])
-        learn = np.repeat(train[some], np.diff(np.r_[begins, len(context)]))
-        cell = rank[context].astype("i8") << 8 | following
-        seen[cell] = True
-        which, times = np.unique(cell[learn], return_counts=True)
-        learnt[which] += times
-    cells = np.flatnonzero(seen)
-    grams = (distinct[cells >> 8] << 8 | cells & 0xFF).astype(">u4")
+        gram, begins = _grams(texts[some])
+        gram <<= 1
+        gram |= np.repeat(train[some], np.diff(np.r_[begins, len(gram)]))
+        marked.append(gram)
+    marked = np.concatenate(marked)
+    marked.sort()
+    edges = np.flatnonzero(np.r_[True, marked[1:] != marked[:-1]])
+    times, marked = np.diff(np.r_[edges, len(marked)]), marked[edges]
+    grams, learnt = _summed(marked >> 1, times * (marked & 1))
+    del marked
     rest = [w for w in others if w not in words]
-    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(grams), [None, pa.py_buffer(grams.tobytes())]).cast(pa.binary())
-    keys = pa.concat_arrays([pa.array([*words, *rest, *([] if b"" in words else [b""])], pa.binary()), packed])
-    n_words = len(keys) - len(grams)
-    n = np.r_[np.fromiter(words.values(), "i8", len(words)), np.zeros(n_words - len(words), "i8"), learnt[cells]]
-    kind = np.r_[np.full(n_words, WORD, "i1"), np.full(len(grams), GRAM, "i1")]
-    return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py()), pa.int64()), "kind": pa.array(kind), "key": keys, "n": pa.array(n)})
-
-
-def _subtree(group: pa.Table) -> pa.Table:
-    """Of a two-byte context: counts of next bytes, and the log of its children's product at each decision."""
-    grams = group.column("gram").to_numpy()
-    _, counts = _by_context(grams, group.column("n").to_numpy())
-    leaves = log_kt(*decisions(counts)).sum(0)
-    return pa.table({"pair": group.column("pair")[:1], "counts": pa.array([counts.sum(0).tolist()], pa.list_(pa.int64())), "children": pa.array([leaves.tolist()], pa.list_(pa.float64()))})
+    keys = [*words, *rest, *([] if b"" in words else [b""])]
+    n = np.r_[np.fromiter(words.values(), "i8", len(words)), np.zeros(len(keys) - len(words), "i8")]
+    pairs, cuts = _by_pair(grams)
+    parts = [(grams[a:b] & (1 << INNER) - 1, learnt[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    lacking = lambda kind, rows: pa.nulls(rows, kind)
+    columns = {
+        "block": pa.array(np.full(len(keys) + len(pairs), block.column("block")[0].as_py()), pa.int64()),
+        "key": pa.concat_arrays([pa.array(keys, pa.binary()), lacking(pa.binary(), len(pairs))]),
+        "n": pa.concat_arrays([pa.array(n), lacking(pa.int64(), len(pairs))]),
+        "pair": pa.concat_arrays([lacking(pa.int64(), len(keys)), pa.array(pairs, pa.int64())]),
+        "grams": pa.concat_arrays([lacking(pa.binary(), len(keys)), pa.array([_packed(g, "<u4") for g, _ in parts], pa.binary())]),
+        "counts": pa.concat_arrays([lacking(pa.binary(), len(keys)), pa.array([_packed(c, "<u4") for _, c in parts], pa.binary())]),
+    }
+    return pa.table(columns)
+
+
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a sorted list and the sums of their counts."""
+    if not len(grams):
+        return grams, counts
+    edges = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    return grams[edges], np.add.reduceat(counts, edges)
+
+
+def _by_pair(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sorted grams, and where each one's begin and end."""
+    pairs = grams >> INNER
+    cuts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(grams) else np.zeros(0, "i8")
+    return pairs[cuts], np.r_[cuts, len(grams)]
+
+
+def _merged(kind: str):
+    """Sums the counts of a pair's grams over some blocks. kind: of the counts that come in."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("grams").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, kind) for x in group.column("counts").to_pylist()]).astype("i8")
+        order = np.argsort(grams, kind="stable")
+        grams, counts = _summed(grams[order], counts[order])
+        return pa.table({"pair": group.column("pair")[:1], "part": group.column("part")[:1], "grams": pa.array([_packed(grams, "<u4")], pa.binary()), "counts": pa.array([_packed(counts, "<i8")], pa.binary())})
+
+    return run
+
+
+def _heads(grams: np.ndarray, rest: int) -> np.ndarray:
+    """Where the grams under each child context begin and end; rest: context bytes below this node."""
+    head = grams >> 8 * rest
+    return np.r_[np.flatnonzero(np.r_[True, head[1:] != head[:-1]]), len(grams)]
+
+
+def _leaves(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of next bytes of each of a node's children, which are leaves, and the row of each gram."""
+    cuts = _heads(grams, 1)
+    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    table = np.zeros((len(cuts) - 1, 256), "i8")
+    table[row, grams & 0xFF] = counts
+    return table, row
+
+
+def _node(grams: np.ndarray, counts: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of next bytes in a context, and the log of its children's product at each decision."""
+    if rest == 1:
+        table, _ = _leaves(grams, counts)
+        return table.sum(0), log_kt(*decisions(table)).sum(0)
+    own, product = np.zeros(256, "i8"), np.zeros(255)
+    cuts = _heads(grams, rest)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        below, inner = _node(grams[a:b], counts[a:b], rest - 1)
+        own += below
+        product += mixed(log_kt(*decisions(below[None])), inner[None])[0][0]
+    return own, product
+
+
+def _logs(grams: np.ndarray, counts: np.ndarray, rest: int, added: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's last byte, given what the contexts above add and leave."""
+    own, product = _node(grams, counts, rest)
+    _, share = mixed(log_kt(*decisions(own[None])), product[None])
+    added, left = added + left * share[0] * _ones(own[None])[0], left * (1 - share[0])
+    if rest == 1:
+        table, row = _leaves(grams, counts)
+        return byte_logs(added + left * _ones(table))[row, grams & 0xFF]
+    cuts = _heads(grams, rest)
+    return np.concatenate([_logs(grams[a:b], counts[a:b], rest - 1, added, left) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["grams"], "<u4").astype("i8"), np.frombuffer(row["counts"], "<i8")
+
+
+def _subtrees(batches):
+    """Of two-byte contexts: counts of next bytes, and the log of their children's product at each decision."""
+    for batch in batches:
+        made = [_node(*_unpacked(r), DEPTH - 2) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array([c.tolist() for c, _ in made], pa.list_(pa.int64())), pa.array([p.tolist() for _, p in made], pa.list_(pa.float64()))], names=["pair", "counts", "children"])
 
 
 def _branch(group: pa.Table) -> pa.Table:
@@ -187,23 +306,37 @@ def _top(branches: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {x: (added[i], left[i]) for i, x in enumerate(last)}
 
 
-def gram_scores(grams: DataFrame) -> DataFrame:
-    """gram and log10 probability of its last byte after the others, for all rows (gram, n); n may be 0."""
-    keyed = durable(grams.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF)), "grams")
-    pairs = durable(keyed.groupBy("pair").applyInArrow(_subtree, "pair long, counts array<long>, children array<double>"), "pairs")
+def gram_scores(held: DataFrame, blocks: int) -> DataFrame:
+    """pair, all_grams and all_logs: all grams under a pair and log10 probabilities of their last bytes, from the blocks'
+    (block, pair, grams, counts). Counts may be 0."""
+    parts, kind, level = held.withColumn("part", F.col("block")), "<u4", blocks
+    while True:
+        level = -(-level // FAN_IN)
+        parts = parts.select("pair", F.floor(F.col("part") / FAN_IN).cast("long").alias("part"), "grams", "counts").groupBy("pair", "part").applyInArrow(_merged(kind), "pair long, part long, grams binary, counts binary")
+        kind = "<i8"
+        if level == 1:
+            break
+    merged = durable(parts.select("pair", "grams", "counts"), "grams")
+    pairs = merged.mapInArrow(_subtrees, "pair long, counts array<long>, children array<double>")
     branches = pairs.withColumn("last", F.col("pair").bitwiseAND(0xFF)).groupBy("last").applyInArrow(_branch, "last long, counts array<long>, children array<double>")
-    top = keyed.sparkSession.sparkContext.broadcast(_top(branches.collect()))  # at most 256 rows of 511 numbers
+    top = merged.sparkSession.sparkContext.broadcast(_top(branches.collect()))  # at most 256 rows of 511 numbers
+
+    def scored(batches):
+        for batch in batches:
+            logs = [_packed(_logs(*_unpacked(r), DEPTH - 2, *top.value[r["pair"] & 0xFF]), "<f4") for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("grams"), pa.array(logs, pa.binary())], names=["pair", "all_grams", "all_logs"])
+
+    return merged.mapInArrow(scored, "pair long, all_grams binary, all_logs binary")
 
-    def scored(group: pa.Table) -> pa.Table:
-        grams = group.column("gram").to_numpy()
-        third, counts = _by_context(grams, group.column("n").to_numpy())
-        added, left = top.value[int(group.column("pair")[0].as_py()) & 0xFF]
-        pair = counts.sum(0, keepdims=True)
-        _, own = mixed(log_kt(*decisions(pair)), log_kt(*decisions(counts)).sum(0, keepdims=True))
-        logs = byte_logs(added + left * (own * _ones(pair) + (1 - own) * _ones(counts)))
-        return pa.table({"gram": group.column("gram"), "log": pa.array(logs[np.searchsorted(third, grams >> 24), grams & 0xFF])})
 
-    return keyed.groupBy("pair").applyInArrow(scored, "gram long, log double")
+def _picked(batches):
+    """Of all logs under a pair, those of one block's grams."""
+    for batch in batches:
+        logs = []
+        for r in batch.to_pylist():
+            own, every = np.frombuffer(r["grams"], "<u4"), np.frombuffer(r["all_grams"], "<u4")
+            logs.append(np.frombuffer(r["all_logs"], "<f4")[np.searchsorted(every, own)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("pair"), batch.column("grams"), pa.array(logs, pa.binary())], names=["block", "pair", "grams", "logs"])
 
 
 def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -219,41 +352,38 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(total / block_bytes)))))
-    held = durable(texts.groupBy("block").applyInArrow(_count_block, "block long, kind byte, key binary, n long"), "block-counts")
-    sums = held.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    words = durable(sums.filter(F.col("kind") == WORD).select("kind", "key", "n"), "words")
-    gram = F.conv(F.hex("key"), 16, 10).cast("long")
-    logs = gram_scores(sums.filter(F.col("kind") == GRAM).select(gram.alias("gram"), "n"))
+    blocks = max(1, math.ceil(total / block_bytes))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    counted = durable(texts.groupBy("block").applyInArrow(_count_block, "block long, key binary, n long, pair long, grams binary, counts binary"), "block-counts")
+    held, packed = counted.filter(F.col("pair").isNull()).select("block", "key", "n"), counted.filter(F.col("pair").isNotNull()).select("block", "pair", "grams", "counts")
+    words = durable(held.groupBy("key").agg(F.sum("n").alias("n")), "words")
     n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     base = F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (distinct + 1)))
-    unhexed = F.unhex(F.lpad(F.hex("gram"), 8, "0"))
-    values = words.select("kind", "key", base.alias("log"), (F.col("n") > 0).alias("known")).union(logs.select(F.lit(GRAM).cast("byte"), unhexed, "log", F.lit(True)))
-    back = held.select("block", "kind", "key").join(values, ["kind", "key"])
+    of_words = held.select("block", "key").join(words.select("key", base.alias("log"), (F.col("n") > 0).alias("known")), "key")
+    of_grams = packed.select("block", "pair", "grams").join(gram_scores(packed, blocks), "pair").select("block", "pair", "grams", "all_grams", "all_logs").mapInArrow(_picked, "block long, pair long, grams binary, logs binary")
+    back = of_words.unionByName(of_grams, allowMissingColumns=True)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         texts = _texts(docs.column("text"))
-        is_word = known.column("kind").to_numpy() == WORD
-        keys, logs = known.column("key"), known.column("log").to_numpy()
-        of_words = dict(zip(keys.filter(pa.array(is_word)).to_pylist(), logs[is_word].tolist(), strict=True))
-        met = set(keys.filter(pa.array(is_word & known.column("known").to_numpy(zero_copy_only=False))).to_pylist())
+        is_word = known.column("pair").is_null()
+        own_words, own_grams = known.filter(is_word), known.filter(pc.invert(is_word))
+        number = {w: i for i, w in enumerate(own_words.column("key").to_pylist())}
+        logs, met = own_words.column("log").to_numpy(), own_words.column("known").to_numpy()
         n_tokens, n_known, base = [], [], []
         for t in texts:
             tokens = t.split()
             tokens.append(b"")
+            at = np.fromiter(map(number.__getitem__, tokens), "i4", len(tokens))
             n_tokens.append(len(tokens))
-            n_known.append(sum(map(met.__contains__, tokens)))
-            base.append(math.fsum(map(of_words.__getitem__, tokens)))
-        grams = np.frombuffer(b"".join(keys.filter(pa.array(~is_word)).to_pylist()), ">u4").astype("i8")
-        distinct = np.unique(grams >> 8)
-        rank = _numbered(distinct)
-        table = np.zeros(256 * len(distinct))
-        table[rank[grams >> 8].astype("i8") << 8 | grams & 0xFF] = logs[~is_word]
+            n_known.append(int(np.count_nonzero(met[at])))
+            base.append(float(logs[at].sum()))
+        grams = [(p << INNER) + np.frombuffer(g, "<u4").astype("i8") for p, g in zip(own_grams.column("pair").to_pylist(), own_grams.column("grams").to_pylist(), strict=True)]
+        table = Table(np.concatenate(grams), np.concatenate([np.frombuffer(x, "<f4") for x in own_grams.column("logs").to_pylist()]))
         scores = np.zeros(len(texts))
         for some in _strides(texts):
-            context, following, begins = _grams(texts[some])
-            scores[some] = np.add.reduceat(table[rank[context].astype("i8") << 8 | following], begins)
+            gram, begins = _grams(texts[some])
+            scores[some] = np.add.reduceat(table[gram].astype("f8"), begins)
         n_bytes = np.array([len(t) for t in texts], "i8")
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base), "score": pa.array(scores), "n_bytes": pa.array(n_bytes), "bits_per_byte": pa.array(-scores / LOG10_2 / (n_bytes + 1))})
 
