@@ -125,6 +125,17 @@ def typed_literal(text: str, dtype: T.DataType, unit: str = "us"):
     return None
 
 
+def typed_members(values: list[str], dtype: T.DataType) -> list | None:
+    """The values that can equal a column's canonical text, in the column's own type, so that the test reaches the scan;
+    None if the text itself must be compared."""
+    kind = kind_of(dtype)
+    if kind == "int":
+        return [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v) and -(2**63) <= int(v) < 2**63]
+    if kind == "float" and isinstance(dtype, T.DoubleType) and all(re.fullmatch(r"-?[1-9][0-9]{0,14}", v) for v in values):
+        return [float(v) for v in values]
+    return None
+
+
 def _as_column(value, dtype: T.DataType) -> Column:
     kind = kind_of(dtype)
     if kind == "timestamp":
@@ -226,6 +237,10 @@ class _Compiler:
         found = self.column(name)
         if found is None:
             return Test(not inside)
+        typed = typed_members(values, found[1])
+        if typed is not None:
+            test = found[0].isin(typed) if typed else F.lit(False)
+            return Test(test if inside else ~test, [found[0]], if_null=not inside)
         text = canonical(*found)
         return Test(text.isin(values), [found[0]]) if inside else Test(~text.isin(values), [found[0]], if_null=True)
 

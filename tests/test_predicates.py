@@ -87,6 +87,15 @@ def test_negation_reaches_the_scan(spark, tmp_path):
     spark.range(10).withColumn("n", F.col("id")).write.parquet(path)
     plan = filtered(spark.read.parquet(path), ~(col("n") > 3))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(IsNull(n),LessThanOrEqual(n,3))]" in plan
+    plan = filtered(spark.read.parquet(path), col("n").isin([3, 5]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(n, [3,5])]" in plan
+
+
+def test_members_compare_canonical_texts(df):
+    assert ids(df, col("n").isin(["05", "+7", "5.0"])) == []
+    assert ids(df, col("n").not_in(["05"])) == [1, 2, 3, 4, 5]
+    assert ids(df, col("v").isin([2, -1])) == [4, 5]
+    assert ids(df, col("v").isin(["2.0", "1.5"])) == [1]
 
 
 def holds(spec, row) -> bool:
