@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality, rules, simhash
-from millrace.llm.common import durable, table
-
-ROW = "_pipeline_row"
-
+from millrace.llm.common import durable, fresh, table
 
 def _kept(docs: DataFrame, judge, good) -> DataFrame:
     """The rows of docs that are good as judge(ids and texts) sees them, with their columns.
@@ -21,31 +18,32 @@ def _kept(docs: DataFrame, judge, good) -> DataFrame:
     Rows are told apart by a hash of all their columns, so null, repeated and clashing ids do no harm; rows alike in all
     columns are judged alike.
     """
-    named = docs.withColumn(ROW, F.xxhash64(*docs.columns))
-    verdicts = durable(judge(named.select(ROW, "text")).filter(good).select(F.col("doc_id").alias(ROW)).distinct(), "kept")
-    return named.join(verdicts, ROW, "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    named = docs.withColumn(row, F.xxhash64(*docs.columns))
+    verdicts = durable(judge(named.select(F.col(row).alias("row"), "text")).filter(good).select(F.col("doc_id").alias(row)).distinct(), "kept")
+    return named.join(verdicts, row, "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or whose content share is too low."""
     field = rules.fit(*rules.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", rules.TRAINING_DOCS))
-    return _kept(docs, lambda d: rules.judge(d, field, id_col=ROW), F.col("kept"))
+    return _kept(docs, lambda d: rules.judge(d, field, id_col="row"), F.col("kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier predicts to be of low quality."""
     model = quality.trained(spark, sf_dir)
-    return _kept(docs, lambda d: quality.classify(d, model, id_col=ROW), F.col("predicted") == 1)
+    return _kept(docs, lambda d: quality.classify(d, model, id_col="row"), F.col("predicted") == 1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest doc_id (null first), of repeated rows one."""
-    named = docs.withColumn(ROW, F.struct("doc_id", F.xxhash64(*docs.columns).alias("hash")))
-    found = simhash.near_duplicates(named, id_col=ROW)
-    heads = durable(found.filter(F.col("id") == F.col("component")).select(F.col("id.hash").alias("_head")).distinct(), "heads")
-    keyed = docs.withColumn("_head", F.xxhash64(*docs.columns))
-    once = Window.partitionBy("_head").orderBy("_head")
-    return keyed.join(heads, "_head", "left_semi").withColumn(ROW, F.row_number().over(once)).filter(F.col(ROW) == 1).select(*docs.columns)
+    head, number = fresh(docs, "head"), fresh(docs, "number")
+    keyed = docs.withColumn(head, F.xxhash64(*docs.columns))
+    found = simhash.near_duplicates(keyed.select(F.struct("doc_id", F.col(head).alias("hash")).alias("row"), "text"), id_col="row")
+    heads = durable(found.filter(F.col("id") == F.col("component")).select(F.col("id.hash").alias(head)).distinct(), "heads")
+    once = Window.partitionBy(head).orderBy(head)
+    return keyed.join(heads, head, "left_semi").withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its letters' case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def crc_mod(col, modulus: int):
     """crc32 of a value as text, modulo modulus; null where the value is null."""
     return F.crc32(col.cast("string").cast("binary")) % modulus

@@ -185,7 +185,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     """Whole texts and labels 0 or 1 of at most `most` labelled documents: those whose ids hash lowest, whatever the size."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1))
     chosen = marks.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text")).collect()  # of repeated ids one text
     rows = sorted(rows, key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], "i8")
 

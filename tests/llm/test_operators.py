@@ -22,7 +22,7 @@ AWKWARD = [(1, None), (2, ""), (3, " \n\t"), (4, "same text here again"), (5, "s
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t), "x", 1) for i, t in AWKWARD], "doc_id long, text string, lang string, source string, n_chars long, component string, score int")
+    return spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t), "x", 1) for i, t in AWKWARD], "doc_id long, text string, lang string, source string, n_chars long, row string, head int")
 
 
 @pytest.fixture(scope="module")
@@ -263,7 +263,12 @@ def test_packing(spark, docs, real):
             assert at <= packing.CAPACITY
         bound = math.ceil(sum(r["length"] for r in packed) / packing.CAPACITY)
         assert len(by_sequence) <= 1.03 * bound + 1
-    encoding = packing._encoding(bpe.read_vocabulary())
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, encoding = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoding(bpe.read_vocabulary())
+    for text in [*(t or "" for _, t in AWKWARD), *(r["text"] for r in real.limit(50).collect()), "<|endoftext|>a <|endoftext|>", "\u2028 it's ½ ²x"]:
+        assert encoding.encode(text, allowed_special="all") == library.encode(text, add_special_tokens=False).ids
     got: dict = {}
     for r in packed:
         got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], bytes(r["ids"])))
