@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import bpe, lm, packing, quality, rules, search, sharding, simhash, urls
+from millrace.llm import bpe, lm, packing, quality, rules, search, sharding, simhash, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op2_quality_rules": rules.op2_quality_rules,
+        "op3_token_counts": tokens.op3_token_counts,
         "op4_url_filter": urls.op4_url_filter,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_context_tree_scores": lm.op6_context_tree_scores,

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, lm, packing, quality, rules, search, sharding, simhash, urls
+from millrace.llm import bpe, lm, packing, quality, rules, search, sharding, simhash, tokens, urls
 
 DATA = "/root/testdata/sf0.001"
 LONG = "word next " * 60_000
@@ -351,3 +351,19 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(expected)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, clean.limit(0), DATA).count() == 0
+
+
+def test_token_counts_like_the_library(spark, docs, real):
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    vocabulary = tokens.read_vocabulary()
+    library = Tokenizer(Unigram([("<unk>", 0.0), *vocabulary], unk_id=0, byte_fallback=False))
+    counter = tokens.Counter(vocabulary)
+    texts = [r["text"] for r in real.limit(60).collect()] + [t for _, t in AWKWARD if t and t != LONG] + ["\u4e00\u9fff \u4e00a\u2603\u2603 \u2603", "  two  spaces ", "aaaa bbbb" * 9]
+    for t in texts:
+        expected = library.encode(tokens.SPACE + t.replace(" ", tokens.SPACE), add_special_tokens=False).ids
+        assert counter.count(t)[0] == len(expected), t[:60]
+    rows = tokens.count_tokens(docs).collect()
+    assert len(rows) == len(AWKWARD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
+    assert tokens.count_tokens(docs.limit(0)).count() == 0
