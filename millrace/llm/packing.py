@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import PATTERN, byte_alphabet, read_vocabulary
+from millrace.llm.bpe import PATTERN, byte_alphabet, codec_of, read_vocabulary
 from millrace.llm.common import durable, number_within, small_batches, table
 
 CAPACITY = 1024
@@ -46,6 +46,13 @@ def _encoding(vocabulary: str):
     return _encodings[key]
 
 
+def _tokens(vocabulary: str, text: str) -> np.ndarray:
+    try:
+        return _encoding(vocabulary).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # its patterns give up on white space of a million characters; the slower encoder doesn't
+        return np.frombuffer(codec_of(vocabulary).encode(text), "<u4")
+
+
 def pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """The id as doc_id, piece (from 0), start, length and ids (packed little-endian unsigned 32-bit) of every piece.
 
@@ -57,11 +64,10 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col
     names = ["doc_id", "piece", "start", "length", "ids"]
 
     def run(batches):
-        encoding = _encoding(shared.value)
         for batch in batches:
             owner, piece, start, length, ids = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                tokens = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                tokens = np.append(_tokens(shared.value, text or ""), np.uint32(end_id)).astype("<u4")
                 first = len(tokens) % capacity or capacity
                 cuts = [0, *range(first, len(tokens) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
