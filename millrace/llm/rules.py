@@ -27,6 +27,8 @@ TRAINING_DOCS = 2000
 CHAIN_LINES = 64
 #: Least share of words in content lines of a kept text.
 CONTENT_SHARE = 0.5
+#: Places of lines that one decoding step lays out together, unless one text alone has more lines.
+CELLS = 1 << 18
 STEPS, RATE, RIDGE = 80, 0.08, 1e-3
 #: Features of a line that the field doesn't look at: its length, in which clean texts differ freely.
 UNSEEN = [FEATURES.index("log_bytes"), FEATURES.index("log_words")]
@@ -113,8 +115,18 @@ class Field:
         return x @ self.weights[:-1] + self.weights[-1]
 
     def decode(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The likeliest states of all lines (Viterbi; ties go to content)."""
-        scores, mask = padded(self.emissions(rows), first)
+        """The likeliest states of all lines (Viterbi; ties go to content). Texts of like length are decoded together."""
+        scores, sizes, states = self.emissions(rows), np.diff(first), np.zeros(len(rows), "i1")
+        order, at = np.argsort(-sizes, kind="stable"), 0
+        while at < len(order):
+            some = order[at : at + max(1, CELLS // sizes[order[at]])]
+            lines = np.concatenate([np.arange(first[t], first[t + 1]) for t in some])
+            states[lines] = self._decoded(scores[lines], np.r_[0, np.cumsum(sizes[some])])
+            at += len(some)
+        return states
+
+    def _decoded(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        scores, mask = padded(scores, first)
         texts, most = mask.shape
         best, back = scores[:, 0].copy(), np.zeros((texts, most, 2), "i1")
         for t in range(1, most):
