@@ -10,6 +10,7 @@ control, unknown and byte pieces never match text.
 
 from __future__ import annotations
 
+import math
 import re
 
 import ahocorasick
@@ -49,29 +50,35 @@ class Counter(dict):
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.unknown = min(0.0, *(s for _, s in vocabulary)) - UNKNOWN_PENALTY
         # Words part before a space mark that follows another character, if no piece reaches across such a place.
         across = any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in vocabulary)
         self.words = re.compile(r"(?s).+" if across else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def best(self, text: str) -> tuple[int, float, bool, bool]:
-        n = len(text)
-        score, pieces = [0.0] + [None] * n, [0] * (n + 1)
-        first, last = [False] * (n + 1), [False] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for at, (length, value) in self.automaton.iter(text):
-            ends[at + 1].append((length, value))
-        for end in range(1, n + 1):
-            alone = False
-            for length, value in sorted(ends[end], key=lambda x: -x[0]):
-                start, alone = end - length, alone or length == 1
-                if score[end] is None or score[start] + value > score[end]:
-                    score[end], pieces[end] = score[start] + value, pieces[start] + 1
-                    first[end], last[end] = first[start] if start else False, False
-            if not alone and (score[end] is None or score[end - 1] + self.unknown > score[end]):
-                score[end], pieces[end] = score[end - 1] + self.unknown, pieces[end - 1] + (not last[end - 1])
-                first[end], last[end] = first[end - 1] if end > 1 else True, True
-        return pieces[n], score[n], first[n], last[n]
+        # Pieces are no longer than the longest one, so only so many places back are held, however long the text.
+        width = self.longest + 1
+        scores, counts, firsts, lasts = [0.0] * width, [0] * width, [False] * width, [False] * width
+        matches = self.automaton.iter(text)
+        match = next(matches, None)
+        for end in range(1, len(text) + 1):
+            ending = []
+            while match is not None and match[0] + 1 == end:
+                ending.append(match[1])
+                match = next(matches, None)
+            best, pieces, first, last, alone = -math.inf, 0, False, False, False
+            for length, value in sorted(ending, key=lambda x: -x[0]):
+                start, alone = (end - length) % width, alone or length == 1
+                if scores[start] + value > best:
+                    best, pieces, first, last = scores[start] + value, counts[start] + 1, end > length and firsts[start], False
+            before = (end - 1) % width
+            if not alone and scores[before] + self.unknown > best:
+                best, pieces, first, last = scores[before] + self.unknown, counts[before] + (not lasts[before]), end == 1 or firsts[before], True
+            at = end % width
+            scores[at], counts[at], firsts[at], lasts[at] = best, pieces, first, last
+        at = len(text) % width
+        return counts[at], scores[at], firsts[at], lasts[at]
 
     def __missing__(self, word: str):
         found = self.older.get(word) or self.best(word)
