@@ -24,6 +24,8 @@ from millrace.llm.common import durable, small_batches, table
 SHINGLE_WORDS, SEED, LINK_BITS = 4, 42, 4
 #: Longest posting list whose pairs are compared in place.
 LIST_ROWS = 4096
+#: Fingerprints that more than one row in so many bears are joined by broadcast; there are fewer than this of them.
+HEAVY = 1000
 #: Fingerprints times columns that one step of a comparison holds.
 STRIP = 1 << 22
 
@@ -194,7 +196,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 1 <= bits <= 7:
         raise ValueError("links must allow from 1 to 7 bits")
     prints = durable(fingerprints(df, id_col, text_col, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     listed = postings(nodes.select("fp"), bits).repartition("key").sortWithinPartitions("key")
     found = durable(candidates(listed, bits, list_rows), "candidates")
     links = found.filter(F.col("b").isNotNull())
@@ -204,8 +206,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
     named = nodes.join(roots, nodes["fp"] == roots["node"]).groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
-    label = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(label, "fp").select("id", "fp", "component")
+    label = durable(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), (F.col("rows") * HEAVY > prints.count()).alias("heavy")), "labels")
+    # The rows of a large group of copies stay where they are; the others meet their labels by a shuffle.
+    heavy = label.filter("heavy").select("fp", "component")
+    of_heavy = prints.join(F.broadcast(heavy), "fp").select("id", "fp", "component")
+    of_others = prints.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(label.filter("not heavy"), "fp").select("id", "fp", "component")
+    return of_heavy.union(of_others)
 
 
 def op7_simhash_components(spark, sf_dir: str) -> DataFrame:
