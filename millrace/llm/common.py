@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch, one longer row excepted.
+BATCH_BYTES = 32 << 20
 #: Rows that a cell of number_within() holds on average.
 CELL_ROWS = 8192
 #: Where durable() writes if the session names no shared folder (tests, local mode).
@@ -36,10 +38,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: whole texts are long, and Python holds one batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    """Arrow batches of few rows and bytes: whole texts are long, and Python holds one batch at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, most)
 
 
 def fresh(df: DataFrame, name: str) -> str:
