@@ -6,12 +6,23 @@ stage's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality, rules, simhash
 from millrace.llm.common import durable, fresh, table
 
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def _identity(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row and of which of them are null."""
+    seen = [x for c in _columns(docs) for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(*seen).alias("a"), F.xxhash64(F.lit(1), *seen).alias("b"))
+
+
 def _kept(docs: DataFrame, judge, good) -> DataFrame:
     """The rows of docs that are good as judge(ids and texts) sees them, with their columns.
 
@@ -19,9 +30,9 @@ def _kept(docs: DataFrame, judge, good) -> DataFrame:
     columns are judged alike.
     """
     row = fresh(docs, "row")
-    named = docs.withColumn(row, F.xxhash64(*docs.columns))
+    named = docs.withColumn(row, _identity(docs))
     verdicts = durable(judge(named.select(F.col(row).alias("row"), "text")).filter(good).select(F.col("doc_id").alias(row)).distinct(), "kept")
-    return named.join(verdicts, row, "left_semi").select(*docs.columns)
+    return named.join(verdicts, row, "left_semi").select(*_columns(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +50,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest doc_id (null first), of repeated rows one."""
     head, number = fresh(docs, "head"), fresh(docs, "number")
-    keyed = docs.withColumn(head, F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(head, _identity(docs))
     found = simhash.near_duplicates(keyed.select(F.struct("doc_id", F.col(head).alias("hash")).alias("row"), "text"), id_col="row")
     heads = durable(found.filter(F.col("id") == F.col("component")).select(F.col("id.hash").alias(head)).distinct(), "heads")
     once = Window.partitionBy(head).orderBy(head)
-    return keyed.join(heads, head, "left_semi").withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).select(*docs.columns)
+    return keyed.join(heads, head, "left_semi").withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).select(*_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
