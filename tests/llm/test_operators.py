@@ -70,7 +70,7 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered)
 
 
-def test_rules(docs, real):
+def test_rules(spark, docs, real):
     made = rules.judge(docs, None).collect()
     for r in made:
         pass
@@ -82,6 +82,14 @@ def test_rules(docs, real):
     for r in real.collect():
         assert rules.counts(r["text"]) == plain_counts(r["text"])
     assert rules.judge(docs.limit(0), None).count() == 0
+    # one text of very many lines among short ones
+    rng, width = np.random.default_rng(5), rules.lines_of(["a"])[0].shape[1]
+    field = rules.Field(rules.Scaler(rng.normal(size=(9, width))), rng.normal(size=(width + 1, 2)), rng.normal(size=(2, 2)))
+    lines = spark.createDataFrame([(i, "a b\n" * (100_000 if i == 3 else i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    made = {r["doc_id"]: r["content_share"] for r in rules.judge(lines, field).collect()}
+    for i in (2, 3, 39):
+        rows, words, first = rules.lines_of(["a b\n" * (100_000 if i == 3 else i)])
+        assert made[i] == pytest.approx(words[field.decode(rows, first) == rules.CONTENT].sum() / words.sum())
 
 
 def test_lines_and_viterbi():
@@ -231,6 +239,15 @@ def plain_components(fps, ids, bits):
     return [groups.get(root(i)) for i in range(len(fps))]
 
 
+def test_simhash_many_copies(spark):
+    """A fingerprint that a third of all rows bear, among others."""
+    rows = [(i, "one text that is copied again and again" if i % 3 == 0 else f"text number {i} of its own words {i * i}") for i in range(3000)]
+    made = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = [plain_fingerprint(t) for _, t in rows]
+    assert {r["id"]: (r["fp"] % 2**64, r["component"]) for r in made} == {i: (f, c) for (i, _), f, c in zip(rows, fps, plain_components(fps, [i for i, _ in rows], 4), strict=True)}
+    assert len(made) == len(rows)
+
+
 @pytest.mark.parametrize(("bits", "list_rows"), [(4, 4096), (4, 2), (3, 2)])
 def test_simhash(docs, real, bits, list_rows):
     df = docs.select("doc_id", "text").union(real.select(F.col("doc_id") + 100, "text"))
@@ -278,6 +295,9 @@ def test_packing(spark, docs, real):
         assert [s for _, s, _ in parts] == np.cumsum([0, *(len(p) // 4 for _, _, p in parts)])[:-1].tolist()
         assert all(len(p) == 4 * packing.CAPACITY for _, _, p in parts[1:])
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
+    blank = spark.createDataFrame([(1, " " * 1_500_000), (2, "x" + "\n" * 1_500_000 + "y")], "doc_id long, text string")
+    cut = {r["doc_id"]: bytes(r["ids"]) for r in packing.pieces(blank, capacity=1 << 22).collect()}
+    assert all(cut[r["doc_id"]] == bytes(r["ids"]) + (2).to_bytes(4, "little") for r in bpe.encode(blank).collect())
 
 
 def test_packing_plan_is_near_the_best():
@@ -351,6 +371,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(expected)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, clean.limit(0), DATA).count() == 0
+    # rows that differ only in which column is null, and a column whose name holds a dot
+    odd = spark.createDataFrame([(1, "a text of its own", 5, None), (1, "a text of its own", None, 5)], "doc_id long, text string, n_chars long, `a.b` long")
+    assert len({tuple(r) for r in odd.select(corpus_pipeline._identity(odd)).collect()}) == 2
+    assert corpus_pipeline.simhash_near_dedup(spark, odd, DATA).columns == odd.columns
 
 
 def test_token_counts_like_the_library(spark, docs, real):
@@ -364,6 +388,7 @@ def test_token_counts_like_the_library(spark, docs, real):
     for t in texts:
         expected = library.encode(tokens.SPACE + t.replace(" ", tokens.SPACE), add_special_tokens=False).ids
         assert counter.count(t)[0] == len(expected), t[:60]
+    assert counter.best(" " * 200_000)[0] > 0 and counter.best("")[0] == 0
     rows = tokens.count_tokens(docs).collect()
     assert len(rows) == len(AWKWARD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
     assert tokens.count_tokens(docs.limit(0)).count() == 0
