@@ -27,7 +27,7 @@ LIST_ROWS = 4096
 #: Fingerprints that more than one row in so many bears are joined by broadcast; there are fewer than this of them.
 HEAVY = 1000
 #: Fingerprints times columns that one step of a comparison holds.
-STRIP = 1 << 22
+STRIP = 1 << 20
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -80,28 +80,27 @@ def local_links(fps: np.ndarray, bits: int) -> np.ndarray:
     """Rows (fp, fp) that connect exactly the fingerprints of one posting list which chains of links connect."""
     fps = np.unique(fps)
     n = len(fps)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    strip = max(1, STRIP // n)
-    links = []
+    group, strip, links = np.arange(n), max(1, STRIP // n), [np.zeros((0, 2), "u8")]
     for at in range(0, n, strip):
-        differ = fps[at : at + strip, None] ^ fps[None, :]
+        differ = fps[at : at + strip, None] ^ fps[None, at:]
         shared = sum(((differ >> np.uint64(8 * p)) & np.uint64(0xFF) == 0).astype("u1") for p in range(8))
         # the tally of shared positional bytes comes first, then the bits of what it keeps
-        rows, cols = np.nonzero((shared >= 8 - bits) & (np.arange(at, min(n, at + strip))[:, None] < np.arange(n)[None, :]))
+        rows, cols = np.nonzero(np.triu(shared >= 8 - bits, 1))
         close = np.bitwise_count(differ[rows, cols]) <= bits
-        for i, j in zip((rows[close] + at).tolist(), cols[close].tolist(), strict=True):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((fps[i], fps[j]))
-    return np.array(links, "u8").reshape(-1, 2)
+        rows, cols = rows[close] + at, cols[close] + at
+        while len(rows):
+            low, high = np.minimum(group[rows], group[cols]), np.maximum(group[rows], group[cols])
+            apart = low != high
+            rows, cols, low, high = rows[apart], cols[apart], low[apart], high[apart]
+            # each group that meets a lower one joins one such; what it meets besides is looked at again
+            joined, first = np.unique(high, return_index=True)
+            links.append(np.stack([fps[rows[first]], fps[cols[first]]], 1))
+            above = np.arange(n)
+            above[joined] = low[first]
+            while (further := above[above] != above).any():
+                above[further] = above[above[further]]
+            group = above[group]
+    return np.concatenate(links)
 
 
 def candidates(listed: DataFrame, bits: int, list_rows: int = LIST_ROWS) -> DataFrame:
