@@ -20,7 +20,7 @@ def _columns(docs: DataFrame) -> list[Column]:
 def _identity(docs: DataFrame) -> Column:
     """128 bits of all columns of a row and of which of them are null."""
     seen = [x for c in _columns(docs) for x in (c, c.isNull())]
-    return F.struct(F.xxhash64(*seen).alias("a"), F.xxhash64(F.lit(1), *seen).alias("b"))
+    return F.concat(F.lpad(F.hex(F.xxhash64(*seen)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), *seen)), 16, "0"))
 
 
 def _kept(docs: DataFrame, judge, good) -> DataFrame:
