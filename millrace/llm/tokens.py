@@ -25,6 +25,7 @@ UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: Words whose counts a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+NO_MATCH = (-1, (0, 0.0))
 
 
 def read_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -58,27 +59,25 @@ class Counter(dict):
 
     def best(self, text: str) -> tuple[int, float, bool, bool]:
         # Pieces are no longer than the longest one, so only so many places back are held, however long the text.
-        width = self.longest + 1
-        scores, counts, firsts, lasts = [0.0] * width, [0] * width, [False] * width, [False] * width
+        width, unknown = min(self.longest, len(text)) + 1, self.unknown
+        held: list = [(0, 0.0, False, False)] * width
         matches = self.automaton.iter(text)
-        match = next(matches, None)
-        for end in range(1, len(text) + 1):
-            ending = []
-            while match is not None and match[0] + 1 == end:
-                ending.append(match[1])
-                match = next(matches, None)
-            best, pieces, first, last, alone = -math.inf, 0, False, False, False
-            for length, value in sorted(ending, key=lambda x: -x[0]):
-                start, alone = (end - length) % width, alone or length == 1
-                if scores[start] + value > best:
-                    best, pieces, first, last = scores[start] + value, counts[start] + 1, end > length and firsts[start], False
-            before = (end - 1) % width
-            if not alone and scores[before] + self.unknown > best:
-                best, pieces, first, last = scores[before] + self.unknown, counts[before] + (not lasts[before]), end == 1 or firsts[before], True
-            at = end % width
-            scores[at], counts[at], firsts[at], lasts[at] = best, pieces, first, last
-        at = len(text) % width
-        return counts[at], scores[at], firsts[at], lasts[at]
+        at, (length, value) = next(matches, NO_MATCH)
+        for end in range(len(text)):
+            best, alone = -math.inf, False
+            while at == end:  # matches of one end come with the earliest start first
+                pieces, score, first, last = held[(end - length) % width]
+                if length == 1:
+                    alone = True
+                if score + value > best:
+                    best, made = score + value, (pieces + 1, score + value, first and length <= end, False)
+                at, (length, value) = next(matches, NO_MATCH)
+            if not alone:
+                pieces, score, first, last = held[(end - 1) % width]
+                if score + unknown > best:
+                    made = (pieces + (not last), score + unknown, first or not end, True)
+            held[end % width] = made
+        return held[(len(text) - 1) % width]
 
     def __missing__(self, word: str):
         found = self.older.get(word) or self.best(word)
