@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,8 +135,9 @@ class FilterRowsNot(FilterRows):
 class MapRecords(Stage):
     """A function on dict rows that returns a dict, or None to drop the row.
 
-    The output's columns are those of the first rows' results, as strings where types can't be told, unless a schema is
-    given; a later row with another key fails.
+    The output's columns are those of the first results, as strings where types can't be told, unless a schema is given:
+    of the first rows, or where none of these is kept, of the first SAMPLE_ROWS kept ones wherever they stand. A later
+    row with another key fails.
     """
 
     def __init__(self, call: Callable[[dict], dict | None], output: T.StructType | str | None = None) -> None:
@@ -144,6 +147,8 @@ class MapRecords(Stage):
         call, output = self.call, self.output
         if output is None:
             made = [x for r in df.limit(SAMPLE_ROWS).collect() if (x := call(r.asDict())) is not None]
+            if not made:
+                made = _first_kept(df, call)
             if not made:
                 return df.filter(F.lit(False))
             keys = dict.fromkeys(k for x in made for k in x)
@@ -167,6 +172,17 @@ class MapRecords(Stage):
         return df.mapInArrow(run, output)
 
 
+def _first_kept(df: DataFrame, call: Callable[[dict], dict | None]) -> list[dict]:
+    """The first results of the whole table, at most SAMPLE_ROWS; partitions are read until there are so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (x for b in batches for r in b.to_pylist() if (x := call(r)) is not None)
+        for x in islice(found, SAMPLE_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary())], names=["made"])
+
+    return [pickle.loads(r["made"]) for r in df.mapInArrow(run, "made binary").limit(SAMPLE_ROWS).collect()]
+
+
 def _type_of(values: list, before: T.DataType | None) -> T.DataType:
     kinds = {type(v) for v in values}
     of = {int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), str: T.StringType()}

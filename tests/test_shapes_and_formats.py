@@ -140,6 +140,15 @@ def test_python_stages(spark):
     assert sorted(r["n"] for r in doubled.collect()) == [-2, -1, 1, 2]
 
 
+def test_python_stage_whose_first_rows_are_all_dropped(spark):
+    df = spark.range(5000, numPartitions=3)
+    late = MapRecords(lambda r: {"m": r["id"] * 2, "t": "x"} if r["id"] >= 2500 else None).transform(df)
+    assert late.dtypes == [("m", "bigint"), ("t", "string")]
+    assert sorted(r["m"] for r in late.collect()) == list(range(5000, 10000, 2))
+    assert [r["m"] for r in MapRecords(lambda r: {"m": 1} if r["id"] == 4999 else None).transform(df).collect()] == [1]
+    assert MapRecords(lambda r: None).transform(df).count() == 0
+
+
 def test_boundaries_and_streams():
     data = b"a=1\nb=2 \\\nc=3\n#x\nd=4\n"
     b = Boundaries(continuation="\\", comments=("#",))
