@@ -43,9 +43,8 @@ def _timestamp(c: Column, pattern: str | None) -> Column:
 
 def _decimal(c: Column, scale: int) -> Column:
     """Digits beyond the scale are cut off, not rounded; what doesn't fit 38 digits is null."""
-    text = trimmed(c)
-    whole, fraction = F.regexp_extract(text, r"^([+-]?[0-9]*)", 1), F.substring(F.regexp_extract(text, r"\.([0-9]*)$", 1), 1, scale)
-    whole = F.when(F.length(F.regexp_replace(whole, "[+-]", "")) == 0, F.concat(whole, F.lit("0"))).otherwise(whole)
+    text = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    whole, fraction = F.split_part(text, F.lit("."), F.lit(1)), F.substring(F.split_part(text, F.lit("."), F.lit(2)), 1, scale)
     return F.when(c.rlike(DECIMAL), F.concat(whole, F.lit("."), fraction, F.lit("0")).try_cast(T.DecimalType(38, scale)))
 
 
@@ -96,16 +95,17 @@ def converted(c: Column, dtype: T.DataType, to: FieldType, name: str, is_strict:
 
 
 def _plain_double(c: Column) -> Column:
-    """A double without exponent, and without .0."""
-    text = F.abs(c).cast("string")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "0+$", "")
+    """A double without exponent, and without .0. Java's text is used as it is unless it has an exponent."""
+    text = c.cast("string")
+    sign, size = F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), F.abs(c).cast("string")
+    power = F.split_part(size, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.rtrim(F.translate(F.split_part(size, F.lit("E"), F.lit(1)), ".", ""), F.lit("0"))
     n = F.length(digits)
     large = F.when(n - 1 <= power, F.concat(digits, F.repeat(F.lit("0"), power - n + 1))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, n)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).when(power >= 0, large).otherwise(small)
-    sign = F.when((c < 0) | (c.cast("string").startswith("-")), "-").otherwise("")
-    return F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+    spelled = F.concat(sign, F.when(power >= 0, large).otherwise(small))
+    whole = F.substring(text, F.lit(1), F.length(text) - 2)
+    return F.when(F.endswith(text, F.lit(".0")), whole).when(F.contains(text, F.lit("E")), spelled).when(F.endswith(text, F.lit("Infinity")), F.concat(sign, F.lit("inf"))).otherwise(text)
 
 
 def canonical(c: Column, dtype: T.DataType) -> Column:

@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,8 +96,20 @@ def _number(text: str) -> float | None:
     return float(text) if re.match(FLOAT, text) else None
 
 
+def _decimal(text: str, scale: int) -> Decimal | None:
+    """A decimal literal at a column's scale: further digits are cut off, exponents and what 38 digits can't hold are refused."""
+    m = re.fullmatch(r"\s*([+-]?)([0-9]*)(?:\.([0-9]*))?\s*", text)
+    if not m or not (m[2] or m[3]):
+        return None
+    units = int((m[2] or "0") + (m[3] or "")[:scale].ljust(scale, "0"))
+    return Decimal(f"{'-' if m[1] == '-' else ''}{units}E-{scale}") if units < 10**38 else None
+
+
 def typed_literal(text: str, dtype: T.DataType, unit: str = "us"):
-    """The literal in the column's type; None if it can't be."""
+    """The literal in the column's type; None if it can't be.
+
+    Dates and timestamps are compared with integers, days or units since 1970; as an extension, ISO texts are read too.
+    """
     kind = kind_of(dtype)
     if kind == "string":
         return text
@@ -109,13 +121,10 @@ def typed_literal(text: str, dtype: T.DataType, unit: str = "us"):
     if kind == "bool":
         return {"true": True, "false": False}.get(text.lower() if text in ("true", "True", "TRUE", "false", "False", "FALSE") else text)
     if kind == "decimal":
-        try:
-            return Decimal(text) if Decimal(text).is_finite() else None
-        except InvalidOperation:
-            return None
+        return _decimal(text, dtype.scale)
     if kind in ("date", "timestamp"):
         try:
-            if re.match(INT, text):
+            if re.fullmatch(r"[+-]?[0-9]+", text):
                 return date(1970, 1, 1) + timedelta(days=int(text)) if kind == "date" else datetime(1970, 1, 1) + timedelta(microseconds=int(text) * 10**6 // PER_SECOND[unit])
             if kind == "date":
                 return date.fromisoformat(text.strip())
@@ -141,7 +150,7 @@ def _as_column(value, dtype: T.DataType) -> Column:
     if kind == "timestamp":
         return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp")
     if kind == "decimal":
-        return F.expr(f"{value:f}BD")
+        return F.lit(f"{value:f}").cast(T.DecimalType(38, dtype.scale))
     return F.lit(value)
 
 

@@ -133,3 +133,54 @@ def test_random_trees(df):
     for _ in range(40):
         spec = tree(4)
         assert ids(df, spec) == [r[0] for r in ROWS if holds(spec, dict(zip(("id", "n", "v", "s"), r, strict=True)))], spec
+
+
+def test_decimal_and_day_literals(spark):
+    from datetime import date
+    from decimal import Decimal
+
+    rows = [(1, Decimal("1.2"), date(1970, 1, 3)), (2, Decimal("-0.9"), date(2000, 1, 1)), (3, None, None)]
+    df = spark.createDataFrame(rows, "id long, d decimal(4,1), day date")
+    for text, kept in (("1.25", [1]), ("1.29", [1]), ("12e-1", []), ("+1.2", [1]), ("-.99", [2]), ("1.", []), ("9" * 39, []), ("", []), (".", [])):
+        assert ids(df, {"field": "d", "op": "==", "value": text}) == kept, text
+    assert ids(df, ~(col("d") == "12e-1")) == [1, 2, 3]
+    assert ids(df, col("day") == 2) == [1] and ids(df, col("day") == "+2") == [1] and ids(df, col("day") > date(1999, 1, 1)) == [2] and ids(df, col("day") != "x") == []
+
+
+def test_decimals_of_far_scales(spark):
+    from decimal import Decimal
+
+    pairs = [("0.1", "0.10"), ("99", "99.01"), ("-5.5", "-5.49"), ("0.000000001", "0"), ("-0.1", "0"), ("12345678901234567890123456789012", "12345678901234567890123456789012.00")]
+    wide = [(i, Decimal(a), Decimal(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame([(i, str(a), str(b)) for i, a, b in wide], "id long, x string, y string")
+    near = df.selectExpr("id", "cast(x as decimal(38,2)) x", "cast(y as decimal(38,6)) y")
+    for op, test in (("<", lambda a, b: a < b), ("==", lambda a, b: a == b), (">=", lambda a, b: a >= b)):
+        cut = [(i, Decimal(a).quantize(Decimal("0.01")) if abs(Decimal(a)) < 10**30 else Decimal(a), Decimal(b)) for i, (a, b) in enumerate(pairs)]
+        assert ids(near, {"field_a": "x", "op": op, "field_b": "y"}) == [i for i, a, b in cut if test(a, b)], op
+
+
+def test_keyword_filters():
+    assert FilterRows(field="a", is_null=True).spec == {"field": "a", "op": "is_null"}
+    assert FilterRows(field="a", is_null=False).spec == {"not": {"field": "a", "op": "is_null"}}
+    assert FilterRows(field="a", is_type="int64").spec == {"field": "a", "op": "is_type", "value": "int64"}
+    assert FilterRows(field="a", op="eq", value=True).spec == {"field": "a", "op": "eq", "value": "true"}
+    assert FilterRows(field_a="a", op="<", field_b="b").spec == {"field_a": "a", "op": "<", "field_b": "b"}
+    for bad in ({}, {"field": "a"}, {"field": "a", "op": "starts_with", "value": "x"}):
+        with pytest.raises(ValueError):
+            FilterRows(**bad)
+    for bad in ({"fields": "a"}, {"predicate": 3}):
+        with pytest.raises(TypeError):
+            FilterRows(**bad)
+
+
+def test_expressions_are_trees():
+    tree = ~((col("a") == 1) | (col("b") > col("c"))) & col("d").startswith("x")
+    assert tree.to_spec() == {"and": [{"not": {"or": [{"field": "a", "op": "==", "value": "1"}, {"field_a": "b", "op": ">", "field_b": "c"}]}}, {"field": "d", "op": "starts_with", "value": "x"}]}
+    with pytest.raises(TypeError):
+        bool(tree)
+    with pytest.raises(TypeError):
+        col("a").isin("abc")
+    with pytest.raises(ValueError):
+        col("a").not_in([])
+    with pytest.raises(TypeError):
+        col("a") == object()  # noqa: B015
