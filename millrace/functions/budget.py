@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import math
 import re
+import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from millrace.errors import MillraceError
+
 #: Bytes of the units of a memory text.
-UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
+UNITS = {"": 1, "b": 1} | {p + end: base**n for n, p in enumerate("kmgt", 1) for end, base in (("b", 1000), ("ib", 1024))}
 SMALL, LARGE = 8 << 20, 100 << 20
 
 
 def parse_memory(value: int | str) -> int:
     """Bytes of 65536, "64MiB" or "1.5 GB"; at least 1."""
-    if isinstance(value, bool):
-        raise ValueError("a memory size is a number or a text")
     if isinstance(value, int):
-        if value < 1:
-            raise ValueError(f"a memory size must be positive, not {value}")
-        return value
+        return max(1, value)
     m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*", str(value))
     if not m or m[2].lower() not in UNITS:
-        raise ValueError(f"invalid memory size {value!r}")
+        raise MillraceError(f"invalid memory size {value!r}; 64000000, '64MiB' and '1.5 GB' are valid")
     return max(1, math.floor(float(m[1]) * UNITS[m[2].lower()]))
 
 
@@ -49,10 +49,43 @@ class StreamStats:
     oversize_batches: int = 0
     peak_tracked_bytes: int = 0
 
-    def add(self, batch, budget: int | None, strict: bool) -> None:
+    def add(self, batch, budget: int | None, strict: bool, held: int = 0) -> None:
+        """Counts a batch that is handed out while `held` other bytes wait."""
         size = batch.nbytes
-        self.batches, self.rows, self.peak_tracked_bytes = self.batches + 1, self.rows + batch.num_rows, max(self.peak_tracked_bytes, size)
+        self.batches, self.rows, self.peak_tracked_bytes = self.batches + 1, self.rows + batch.num_rows, max(self.peak_tracked_bytes, size + held)
         if budget is not None and size > budget:
             self.oversize_batches += 1
             if strict:
                 raise MemoryError(f"a batch of {size} bytes is beyond the budget of {budget}")
+
+
+class Profile:
+    """Seconds and calls of named steps, as long as it is open: with Profile() as p: ...; p.snapshot()."""
+
+    _open: list[Profile] = []
+
+    def __init__(self) -> None:
+        self.spent: dict[str, list[float]] = {}
+
+    def __enter__(self) -> Profile:
+        Profile._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Profile._open.remove(self)
+
+    def snapshot(self) -> list[tuple[str, float, int]]:
+        return [(name, seconds, int(calls)) for name, (seconds, calls) in self.spent.items()]
+
+
+@contextmanager
+def timed(name: str):
+    """Accounts a step to every open profile; without one it costs a comparison."""
+    began = time.perf_counter() if Profile._open else 0.0
+    try:
+        yield
+    finally:
+        for p in Profile._open:
+            at = p.spent.setdefault(name, [0.0, 0])
+            at[0] += time.perf_counter() - began if began else 0.0
+            at[1] += 1

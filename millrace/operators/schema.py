@@ -27,7 +27,10 @@ def discover(records: DataFrame, fields: str = "fields", order: tuple[str, ...]
 def located(records: DataFrame, fields: str = "fields") -> DataFrame:
     """How many rows, fields and distinct names there are; no value is read."""
     names = F.map_keys(fields)
-    return records.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.size(names)), F.lit(0)).cast("long").alias("n_fields"), F.size(F.array_distinct(F.flatten(F.collect_set(names)))).cast("long").alias("n_names"))
+    sums = records.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.size(names)), F.lit(0)).cast("long").alias("n_fields"))
+    distinct = records.select(F.explode(names).alias("name")).agg(F.countDistinct("name").alias("n_names"))
+    parts = sums.withColumn("n_names", F.lit(0).cast("long")).unionByName(distinct.select(F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_fields"), "n_names"))
+    return parts.agg(*(F.max(c).alias(c) for c in ("n_rows", "n_fields", "n_names")))
 
 
 def columns_of(records: DataFrame, names: list[str], fields: str = "fields", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -34,14 +34,17 @@ def to_arrow(source) -> pa.Table:
 
 
 def to_pandas(source, dtype_backend: str = "pyarrow", chunksize: int | None = None, memory=None):
-    """A pandas DataFrame, or an iterator of them by chunksize."""
+    """One pandas DataFrame. With chunksize or memory it is put together from batches of that size, so that the driver
+    holds Arrow data of one batch at a time beside it."""
     if dtype_backend not in ("pyarrow", "numpy"):
         raise ValueError(f"dtype_backend must be pyarrow or numpy, not {dtype_backend!r}")
     import pandas as pd
 
     how = {"types_mapper": pd.ArrowDtype} if dtype_backend == "pyarrow" else {}
     if chunksize is not None or memory is not None:
-        return (pa.Table.from_batches([b]).to_pandas(**how) for b in record_batches(frame(source), chunksize or 1024, memory))
+        parts = _run(lambda: [pa.Table.from_batches([b]).to_pandas(**how) for b in record_batches(frame(source), chunksize or 1024, memory)])
+        if parts:
+            return pd.concat(parts, ignore_index=True)
     return to_arrow(source).to_pandas(**how)
 
 
@@ -54,9 +57,10 @@ def to_polars(source):
 
 
 def to_parquet(source, path: str, single_file: bool = False, memory=None, row_group_size: int | None = None, **options) -> None:
-    """A folder of Parquet files that the cluster writes in parallel, or one file that the driver writes."""
+    """A folder of Parquet files that the cluster writes in parallel. With single_file, or a memory budget, one file that
+    the driver writes batch by batch."""
     df = frame(source)
-    if not single_file:
+    if not single_file and memory is None:
         _run(lambda: df.write.mode("overwrite").options(**options).parquet(path))
         return
     allowed = {k: v for k, v in options.items() if k in inspect.signature(pq.ParquetWriter.__init__).parameters}

@@ -6,16 +6,22 @@ are rendered from table rows and parsed back, so that the SQL can read the table
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.casts import canonical
 from millrace.operators import schema
-from millrace.operators.stages import CastTypes, DropFields, FilterRows, FilterRowsAll, FilterRowsAny, FilterRowsNot, MapRecords, ObservedStage, RenameFields, StreamStage
+from millrace.operators.stages import CastTypes, DropFields, FilterRows, FilterRowsAll, FilterRowsAny, FilterRowsNot, MapRecords, ObservedStage, RenameFields, StreamStage, Tally
 from millrace.plans.expr import col
-from millrace.plans.pipeline import FrameSource, shaped
+from millrace.plans.pipeline import FrameSource, read, shaped
 from millrace.plans.predicate import filtered
+from millrace.shipping import shared_folder
 from millrace.sources import formats
+from millrace.streaming.records import run_available, stream_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +71,11 @@ _NAN_VALUE = "(SELECT *, CASE WHEN event_id % 5 = 0 THEN 'nan'::DOUBLE WHEN even
 _padded = lambda df: df.withColumn("name", F.concat(F.lit(" \t"), "p_name", F.lit("\n ")))
 _PADDED = "(SELECT *, ' ' || chr(9) || p_name || chr(10) || ' ' AS name FROM part)"
 
+_days = lambda df: df.withColumn("day", F.col("o_orderdate").cast("date"))
+_DAYS = "(SELECT *, o_orderdate::DATE AS day FROM orders)"
+_decimals = lambda df: df.withColumns({"exact": F.col("l_discount").cast("decimal(10,2)"), "tenths": (F.floor(F.col("l_discount") * 100 / 10 + 1e-9) / 10).cast("decimal(3,1)"), "fine": F.col("l_tax").cast("decimal(38,36)"), "coarse": F.col("l_discount").cast("decimal(38,2)")})
+_DECIMALS = "(SELECT *, l_discount::DECIMAL(10,2) AS exact, (floor(l_discount * 100 / 10 + 1e-9) / 10)::DECIMAL(3,1) AS tenths FROM lineitem)"
+
 over("filter_compare_literal", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R'", "lineitem", [*_LINE, "l_quantity"], (col("l_quantity") >= 30) & (col("l_returnflag") == "R"))
 over("filter_ne_null", f"SELECT o_orderkey, p FROM {_NO_URGENT} WHERE p <> '5-LOW'", "orders", ["o_orderkey", "p"], col("p") != "5-LOW", _no_urgent)
 over("filter_not_null_flip", f"SELECT event_id, v FROM {_SOME_VALUE} WHERE NOT coalesce(v > 50, FALSE)", "events", ["event_id", "v"], ~(col("v") > 50), _some_value)
@@ -96,6 +107,13 @@ over("filter_not_field", f"SELECT event_id FROM {_SOME_VALUE} WHERE coalesce(kin
 over("filter_always", "SELECT r_regionkey FROM region", "region", ["r_regionkey"], {"always": True})
 over("filter_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20", "lineitem", _LINE, col("l_quantity").between(10, 20))
 over("filter_timestamp_literal", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'", "orders", ["o_orderkey"], col("o_orderdate") < "1997-01-01")
+over("filter_date_literal", f"SELECT o_orderkey FROM {_DAYS} WHERE day >= DATE '1997-01-01'", "orders", ["o_orderkey"], col("day") >= 9862, _days)
+over("filter_date_text", f"SELECT o_orderkey FROM {_DAYS} WHERE day >= DATE '1997-01-01'", "orders", ["o_orderkey"], col("day") >= date(1997, 1, 1), _days)
+over("filter_timestamp_integer", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'", "orders", ["o_orderkey"], col("o_orderdate") < 852076800000000)
+over("filter_decimal_literal", f"SELECT l_orderkey, l_linenumber FROM {_DECIMALS} WHERE tenths = 0.1", "lineitem", _LINE, col("tenths") == "0.199", _decimals)
+over("filter_decimal_exponent", f"SELECT l_orderkey, l_linenumber, tenths FROM {_DECIMALS} WHERE NOT (tenths IS NULL OR tenths < 0.1)", "lineitem", [*_LINE, "tenths"], ~(col("tenths") == "1e-1") & (col("tenths") >= ".1"), _decimals)
+over("filter_decimal_scales", f"SELECT l_orderkey, l_linenumber FROM {_DECIMALS} WHERE tenths < exact", "lineitem", _LINE, col("tenths") < col("exact"), _decimals)
+over("filter_decimal_far_scales", f"SELECT l_orderkey, l_linenumber FROM {_DECIMALS} WHERE l_tax > l_discount", "lineitem", _LINE, col("fine") > col("coarse"), _decimals)
 over("filter_absent_column", "SELECT o_orderkey FROM orders WHERE FALSE", "orders", ["o_orderkey"], col("gone") != "x")
 over("filter_absent_column_negated", "SELECT o_orderkey FROM orders", "orders", ["o_orderkey"], ~(col("gone") == "x"))
 
@@ -216,11 +234,12 @@ def cast_timestamp_format(spark, d):
     return schema.typed(table(spark, d, "orders").select("o_orderkey", text.alias("t")), {"t": "timestamp[us,format=%d.%m.%Y %H:%M]"})
 
 
-@register("cast_decimal_truncate", "SELECT l_orderkey, l_linenumber, (floor(l_discount * 100) * 0 + CAST(substr(printf('%.4f', l_discount + 0.0099), 1, 3) AS DOUBLE)) AS t FROM lineitem")
+@register("cast_decimal_truncate", "SELECT l_orderkey, l_linenumber, floor(((l_discount * 100)::BIGINT * 100 + 99) / 1000)::BIGINT AS tenths, ((l_discount * 100)::BIGINT * 100 + 99)::BIGINT AS all_digits FROM lineitem")
 def cast_decimal_truncate(spark, d):
-    text = F.format_string("%.4f", F.col("l_discount") + 0.0099)
-    made = schema.typed(table(spark, d, "lineitem").select(*_LINE, text.alias("t")), {"t": "decimal128(1)"})
-    return made.withColumn("t", F.col("t").cast("double"))
+    """Decimals are compared as whole numbers of their last digit, so that no float stands between."""
+    text = F.concat(F.lit("0."), F.lpad((F.round(F.col("l_discount") * 100).cast("long") * 100 + 99).cast("string"), 4, "0"))
+    made = schema.typed(table(spark, d, "lineitem").select(*_LINE, text.alias("t"), text.alias("u")), {"t": "decimal128(1)", "u": "decimal128(4)"})
+    return made.select(*_LINE, (F.col("t") * 10).cast("long").alias("tenths"), (F.col("u") * 10000).cast("long").alias("all_digits"))
 
 
 @register("cast_strict", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS quantity FROM lineitem")
@@ -246,8 +265,9 @@ def _rendered(df: DataFrame, key: str, text) -> DataFrame:
 def format_kv(spark, d):
     df = table(spark, d, "lineitem")
     line = F.concat_ws(" ", F.concat(F.lit("l_orderkey="), "l_orderkey"), F.lit("l_returnflag=?"), F.concat(F.lit("l_linenumber="), "l_linenumber"), F.concat(F.lit("l_returnflag="), "l_returnflag"))
-    read = df.select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), line.alias("line"))
-    return shaped(formats.key_values(read), field_types={"l_orderkey": "int64", "l_linenumber": "int64"}, schema=["l_orderkey", "l_linenumber", "l_returnflag"]).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+    lines = df.select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), line.alias("line"))
+    schema = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    return shaped(formats.key_values(lines, names=schema), field_types={"l_orderkey": "int64", "l_linenumber": "int64"}, schema=schema).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
 @register("format_properties", "SELECT 'name' AS key, n_name AS value FROM nation UNION ALL SELECT 'region' AS key, n_regionkey::VARCHAR AS value FROM nation")
@@ -281,12 +301,61 @@ def locate_counts(spark, d):
     return schema.located(formats.ldif(_rendered(table(spark, d, "supplier"), "s_suppkey", text)))
 
 
-@register("xml_fields", "SELECT n_name AS name, n_regionkey AS region FROM nation")
-def xml_fields(spark, d):
-    body = F.concat(F.lit("<r><f n='name'>"), "n_name", F.lit("</f><f n='region'>"), "n_regionkey", F.lit("</f></r>"))
-    names, values = F.xpath(F.col("x"), F.lit("r/f/@n")), F.xpath(F.col("x"), F.lit("r/f/text()"))
-    read = table(spark, d, "nation").select(body.alias("x")).select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), F.map_from_arrays(names, values).alias("fields"))
-    return shaped(read, schema=["name", "region"], field_types={"region": "int64"}).withColumn("region", F.col("region").cast("int"))
+@register("format_kv_discovered", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey::VARCHAR END AS customer FROM orders")
+def format_kv_discovered(spark, d):
+    line = F.concat(F.lit("o_orderkey="), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" status=x loose status="), "o_orderstatus")).otherwise(F.concat(F.lit(" customer="), "o_custkey")))
+    lines = table(spark, d, "orders").select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_pos"), line.alias("line"))
+    made = shaped(formats.key_values(lines), field_types={"o_orderkey": "int64"})
+    return made.select("o_orderkey", "status", "customer")
+
+
+# Files. They are written below the shared folder first; those of several megabytes are read in several parts.
+
+
+def _written(df: DataFrame, text, name: str, **options) -> str:
+    """A folder with one file of a text for each row, in the rows' order."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.select(text.alias("value")).coalesce(1).write.options(**options).text(path)
+    return path
+
+
+_FILL = "-" * 100
+
+
+@register("read_kv_file", "SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS day FROM lineitem WHERE l_linenumber > 2")
+def read_kv_file(spark, d):
+    text = F.concat(F.lit("key="), "l_orderkey", F.lit(f" x={_FILL}"), F.lit(" line="), "l_linenumber", F.lit(" day="), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    path = _written(table(spark, d, "lineitem"), text, "kv")
+    made = read(spark, path, format="kv", schema=["key", "line", "day"], field_types={"key": "int64", "line": "int64", "day": "date32"}, filter=col("line") > 2)
+    return made.select(F.col("key").alias("l_orderkey"), F.col("line").cast("int").alias("l_linenumber"), "day")
+
+
+@register("read_kv_gzip", "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders")
+def read_kv_gzip(spark, d):
+    path = _written(table(spark, d, "orders"), F.concat(F.lit("key="), "o_orderkey", F.lit(" status="), "o_orderstatus"), "gzip", compression="gzip")
+    return read(spark, path, format="kv", schema=["key", "status"], field_types={"key": "int64"})
+
+
+@register("read_ini_file", "SELECT l_orderkey || '-' || l_linenumber AS section, l_quantity::BIGINT::VARCHAR AS quantity, NULL AS flag FROM lineitem UNION ALL SELECT l_orderkey || '-' || l_linenumber, NULL, l_returnflag FROM lineitem")
+def read_ini_file(spark, d):
+    text = F.concat(F.lit("["), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("] trailing]\n; "), F.lit(_FILL), F.lit("\n\tquantity\t=\t"), F.col("l_quantity").cast("long"), F.lit("\t\n[open\nflag: "), "l_returnflag", F.lit("\r"))
+    return read(spark, _written(table(spark, d, "lineitem"), text, "ini"), format="ini", schema=["section", "quantity", "flag"])
+
+
+@register("read_ldif_file", "SELECT l_orderkey || '-' || l_linenumber AS dn, l_returnflag AS flag, CASE WHEN l_linenumber > 1 THEN l_linestatus END AS status FROM lineitem")
+def read_ldif_file(spark, d):
+    text = F.concat(F.lit("dn: "), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("\n# "), F.lit(_FILL), F.lit("\nflag: x\nflag:  "), "l_returnflag", F.when(F.col("l_linenumber") > 1, F.concat(F.lit("\nstatus: "), "l_linestatus")).otherwise(""), F.lit("\n\n"))
+    return read(spark, _written(table(spark, d, "lineitem"), text, "ldif"), format="ldif", schema=["dn", "flag", "status"])
+
+
+@register("read_xml_file", "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_returnflag AS flag, CASE WHEN l_linenumber > 1 THEN l_linestatus END AS status FROM lineitem")
+def read_xml_file(spark, d):
+    field = lambda tag, name, inner, value: F.concat(F.lit(f"<{tag} Name='{name}'><{inner}>"), value, F.lit(f"</{inner}></{tag}>"))
+    text = F.concat(F.lit("<Details key='"), "l_orderkey", F.lit("'>"), field("Field", "line", "Value", F.col("l_linenumber")), field("Text", "flag", "TextValue", F.col("l_returnflag")), F.when(F.col("l_linenumber") > 1, field("Field", "status", "Value", F.col("l_linestatus"))).otherwise(""), F.lit("<!-- "), F.lit("x" * 100), F.lit(" --></Details>"))
+    line = lambda t: spark.createDataFrame([(t,)], "value string")
+    rows = line("<Report>").union(table(spark, d, "lineitem").select(text)).union(line("</Report>"))
+    path = _written(rows, F.col("value"), "xml")
+    return read(spark, path, format="xml", row_tag="Details", schema=["l_orderkey", "line", "flag", "status"], field_mapping={"key": "l_orderkey"}, field_types={"l_orderkey": "int64", "line": "int64"})
 
 
 # Row functions and streams
@@ -311,22 +380,45 @@ def stream_stage(spark, d):
 
 @register("observed_rows", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def observed_rows(spark, d):
-    return ObservedStage({}, col("s_acctbal").__gt__(0).to_spec()).transform(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
+    hooks = {"on_row_accepted": Tally(spark), "on_row_rejected": Tally(spark), "on_put_field": Tally(spark)}
+    return ObservedStage(hooks, (col("s_acctbal") > 0).to_spec()).transform(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
 
 
-@register("stream_file_available_now", "SELECT event_id, event_type, value FROM events")
-def stream_file_available_now(spark, d):
-    import uuid
+@register("observed_counts", "SELECT count(*) FILTER (s_acctbal > 0) AS accepted, count(*) FILTER (NOT s_acctbal > 0) AS rejected, 2 * count(*) AS fields FROM supplier")
+def observed_counts(spark, d):
+    tallies = {"on_row_accepted": Tally(spark), "on_row_rejected": Tally(spark), "on_put_field": Tally(spark)}
+    seen = ObservedStage(tallies, (col("s_acctbal") > 0).to_spec()).transform(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
+    seen.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(int(t.value) for t in tallies.values())], "accepted long, rejected long, fields long")
 
-    from millrace.streaming.records import run_available
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+@register("stream_file_available_now", "SELECT event_id, event_type, value FROM events")
+def stream_file_available_now(spark, d):
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("event_id", "event_type", "value")
     run_available(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+@register("stream_kv_records", "SELECT event_id, event_type AS kind FROM events WHERE event_type <> 'click'")
+def stream_kv_records(spark, d):
+    path = _written(table(spark, d, "events"), F.concat(F.lit("event_id="), "event_id", F.lit(" kind="), "event_type", F.lit("\r")), "stream-kv")
+    made = shaped(stream_records(spark, path, partial(formats.key_values, names=["event_id", "kind"])), field_types={"event_id": "int64"}, schema=["event_id", "kind"], filter=col("kind") != "click")
+    run_available(made, f"{path}-out", f"{path}-state")
+    return spark.read.schema(made.schema).parquet(f"{path}-out")
+
+
+@register("merge_stream_batches", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def merge_stream_batches(spark, d):
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    counted = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")  # noqa: E731  complete mode: the last batch is the whole
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

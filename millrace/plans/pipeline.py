@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import inspect
 import warnings
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.errors import MillraceError
-from millrace.functions.budget import StreamStats, parse_memory, resolve_engine
+from millrace.functions.budget import StreamStats, parse_memory, resolve_engine, timed
 from millrace.operators import schema as shaping
-from millrace.operators.stages import MapRecords, ObservedStage, Stage
+from millrace.operators.stages import MapRecords, ObservedStage, Stage, merged_hooks
 from millrace.plans import predicate
 from millrace.shipping import ship
 from millrace.sources import formats
@@ -46,9 +47,10 @@ def guess_format(path: str) -> str:
 
 def _text(parser) -> Reader:
     def read(spark: SparkSession, path: str, compressed: bool = False, **options) -> DataFrame:
-        found = formats.text_lines(spark, formats.whole_texts(spark, path), file="_file") if compressed else formats.lines(spark, path)
-        return parser(found, **options)
+        """compressed is for those who know; the files' first bytes tell by themselves."""
+        return parser(formats.lines(spark, path), **options)
 
+    read.takes_names = "names" in inspect.signature(parser).parameters
     return read
 
 
@@ -61,21 +63,25 @@ register_adapter("tsv", lambda spark, path, header=True, **_: spark.read.option(
 register_adapter("jsonl", lambda spark, path, **_: spark.read.json(path), (".jsonl",))
 
 
+def source_fields(schema=None, field_mapping=None, field_types=None, filter=None, **_) -> list[str] | None:  # noqa: A002
+    """Names in the file of all fields that a plan with a declared schema needs; None without one."""
+    if not schema:
+        return None
+    back = {v: k for k, v in (field_mapping or {}).items()}
+    return [back.get(n, n) for n in dict.fromkeys([*schema, *(field_types or {}), *predicate_fields(filter)])]
+
+
 def shaped(df: DataFrame, field_mapping=None, drop_fields=None, filter=None, field_types=None, dictionary_columns=None, schema=None, auto_dict=False, strict_types=False, observer=None) -> DataFrame:  # noqa: A002
     """A reader's result under a plan: rename, drop, types, filter, then projection to the declared schema."""
     mapping, dropped, types = dict(field_mapping or {}), set(drop_fields or ()), dict(field_types or {})
     if {"_file", "_pos", "fields"} <= set(df.columns):
-        used = None
-        if schema:
-            back = {v: k for k, v in mapping.items()}
-            wanted = dict.fromkeys([*schema, *types, *predicate_fields(filter)])
-            used = [back.get(n, n) for n in wanted]
+        used = source_fields(schema, mapping, types, filter)
         df = shaping.columns_of(df, used if used is not None else shaping.discover(df))
     df = shaping.rename(df, mapping)
     df = df.drop(*(c for c in df.columns if c in dropped))
     df = shaping.typed(df, types | {c: "dictionary" for c in dictionary_columns or () if c not in types}, strict=strict_types)
     if observer:
-        df = ObservedStage(observer, filter).transform(df)
+        df = ObservedStage(observer, predicate.to_spec(filter) if filter is not None else None).transform(df)
     elif filter is not None:
         df = predicate.filtered(df, filter)
     if schema:
@@ -92,7 +98,7 @@ def predicate_fields(spec) -> list[str]:
     return [spec[k] for k in ("field", "field_a", "field_b", "not_field") if k in spec] + [n for s in inner for n in predicate_fields(s)]
 
 
-def _exists(spark: SparkSession, path: str) -> None:
+def _checked(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
@@ -100,39 +106,63 @@ def _exists(spark: SparkSession, path: str) -> None:
 
 
 class Source:
-    """A file to read, with plan options; | adds stages."""
+    """A file, or a folder of files, to read with plan options; | adds stages. The reader is asked once."""
 
     def __init__(self, spark: SparkSession, path: str, reader: Reader, batch_size: int = 1024, use_mmap: bool = True, **options) -> None:
         if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
             raise ValueError("batch_size must be a positive integer")
-        _exists(spark, path)
+        _checked(spark, path)
         ship(spark)
         self.spark, self.path, self.reader, self.batch_size = spark, str(path), reader, batch_size
         self.plan = {k: v for k, v in options.items() if k in PLAN}
         self.options = {k: v for k, v in options.items() if k not in PLAN and k not in ("prefault", "chunks", "memory", "threads")}
         self._df: DataFrame | None = None
 
+    def with_plan(self, **overrides) -> Source:
+        """The same file under a plan in which later options win and observers are called one after the other."""
+        other = copy(self)
+        other._df = None
+        other.plan = self.plan | overrides
+        if "observer" in overrides:
+            other.plan["observer"] = merged_hooks(self.plan.get("observer"), overrides["observer"])
+        return other
+
     @property
     def df(self) -> DataFrame:
         if self._df is None:
-            self._df = shaped(self.reader(self.spark, self.path, **self.options), **self.plan)
+            names = source_fields(**self.plan) if getattr(self.reader, "takes_names", False) else None
+            self._df = shaped(self.reader(self.spark, self.path, **self.options, **({"names": names} if names is not None else {})), **self.plan)
         return self._df
 
+    def cache(self) -> Source:
+        """Keeps the result in the executors' memory and disks, for sources that many pipelines read."""
+        self.df.persist()
+        return self
+
     def __or__(self, stage) -> Pipeline:
         return Pipeline(self) | stage
 
     def __iter__(self) -> Iterator[dict]:
         return (r.asDict() for r in self.df.toLocalIterator(prefetchPartitions=True))
 
+    def iter_record_batches(self, batch_size: int | None = None, memory: int | str | None = None, strict: bool = False, stats: StreamStats | None = None) -> Iterator[pa.RecordBatch]:
+        return record_batches(self.df, batch_size or self.batch_size, memory, strict, stats)
+
 
 class Adapter(Source):
-    """Subclasses define read(spark, path, **options)."""
+    """Subclasses define read(spark, path, **options), which returns a DataFrame of columns or of records."""
 
     def __init__(self, spark: SparkSession, path: str, **options) -> None:
-        super().__init__(spark, path, self.read, **options)
+        super().__init__(spark, path, self._read, **options)
+
+    def _read(self, spark: SparkSession, path: str, **options) -> DataFrame:
+        made = self.read(spark, path, **options)
+        if not isinstance(made, DataFrame):
+            raise TypeError(f"read() must return a DataFrame, not {type(made).__name__}")
+        return made
 
     def read(self, spark: SparkSession, path: str, **options) -> DataFrame:
-        raise NotImplementedError
+        raise NotImplementedError("subclasses must define read()")
 
 
 class FrameSource:
@@ -173,27 +203,70 @@ class Pipeline:
         return record_batches(self.df, batch_size, memory, strict, stats)
 
 
-def record_batches(df: DataFrame, batch_size: int = 1024, memory: int | str | None = None, strict: bool = False, stats: StreamStats | None = None) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the rows in order, one partition ahead at most."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one row of Arrow's own bytes."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["arrow"])
+
 
+def _fitting(batch: pa.RecordBatch, budget: int) -> Iterator[pa.RecordBatch]:
+    """A batch in halves until each is within the budget or one row."""
+    if batch.num_rows <= 1 or batch.nbytes <= budget:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _fitting(batch.slice(0, half), budget)
+    yield from _fitting(batch.slice(half), budget)
+
+
+def record_batches(df: DataFrame, batch_size: int = 1024, memory: int | str | None = None, strict: bool = False, stats: StreamStats | None = None, should_stop: Callable[[], bool] | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the rows in order, of batch_size rows, the last one fewer; with a memory budget smaller ones, so
+    that each is within it unless a single row is beyond. One partition is computed ahead at most; should_stop is asked
+    between batches, and nothing more is computed once it says so."""
     if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
         raise ValueError("batch_size must be a positive integer")
-    budget = parse_memory(memory) if memory is not None else None
-    arrow, held, stats = to_arrow_schema(df.schema), [], stats if stats is not None else StreamStats()
+    return _record_batches(df, batch_size, parse_memory(memory) if memory is not None else None, strict, stats if stats is not None else StreamStats(), should_stop)
 
-    def emit() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_pylist(held, arrow)
-        stats.add(batch, budget, strict)
-        held.clear()
-        return batch
 
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict())
-        if len(held) == batch_size:
-            yield emit()
-    if held:
-        yield emit()
+def _record_batches(df: DataFrame, batch_size: int, budget: int | None, strict: bool, stats: StreamStats, should_stop: Callable[[], bool] | None) -> Iterator[pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    ship(df.sparkSession)
+    rows = df.mapInArrow(_packed, "arrow binary").toLocalIterator(prefetchPartitions=True)
+    held: list[pa.RecordBatch] = []
+
+    def whole(n: int) -> pa.RecordBatch:
+        """The first n rows of those held; the others stay."""
+        table = pa.Table.from_batches(held)
+        first = table.slice(0, n).combine_chunks().to_batches()
+        held[:] = table.slice(n).to_batches()
+        return first[0]
+
+    def out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        waiting = sum(b.nbytes for b in held)
+        for part in [batch] if budget is None else _fitting(batch, budget):
+            stats.add(part, budget, strict, waiting)
+            yield part
+
+    while True:
+        with timed("parse"):
+            row = next(rows, None)
+        if row is None:
+            break
+        with timed("export"):
+            with pa.ipc.open_stream(row["arrow"]) as stream:
+                held.extend(b.cast(schema) if b.schema != schema else b for b in stream)
+        while sum(b.num_rows for b in held) >= batch_size:
+            for part in out(whole(batch_size)):
+                if should_stop is not None and should_stop():
+                    return
+                yield part
+    if n := sum(b.num_rows for b in held):
+        yield from out(whole(n))
 
 
 def _source(spark: SparkSession, path: str, format: str | None, adapter: Reader | None, options: dict) -> Source:  # noqa: A002
@@ -208,8 +281,8 @@ def read(spark: SparkSession, path: str, format: str | None = None, adapter: Rea
 
 
 def read_par(spark: SparkSession, path: str, chunks: int = 4, **options) -> DataFrame:
-    """Spark splits files by itself; chunks only matters to those who count partitions."""
-    return read(spark, path, **options).repartition(chunks)
+    """Spark cuts files into tasks by itself; more partitions than asked for are merged without a shuffle."""
+    return read(spark, path, **options).coalesce(max(1, chunks))
 
 
 def read_stream(spark: SparkSession, path: str, memory: int | str = "64MiB", **options) -> DataFrame:
@@ -218,7 +291,10 @@ def read_stream(spark: SparkSession, path: str, memory: int | str = "64MiB", **o
 
 
 def read_batches(spark: SparkSession, path: str, batch_size: int = 1024, memory: int | str | None = None, **options) -> Iterator[pa.RecordBatch]:
-    return record_batches(read(spark, path, **options), batch_size, memory)
+    source = _source(spark, path, options.pop("format", None), options.pop("adapter", None), options)
+    if getattr(source.reader, "whole_files", False):
+        warnings.warn(f"{path} is read as a whole before the first batch", RuntimeWarning, stacklevel=2)
+    return record_batches(source.df, batch_size, memory)
 
 
 def discover_schema(spark: SparkSession, path: str, **options) -> list[str]:
@@ -229,12 +305,3 @@ def engine_for(spark: SparkSession, path: str, **how) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
     size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     return resolve_engine(size, **how)
-
-
-def warn_materialised(name: str) -> None:
-    warnings.warn(f"{name} has no streaming reader; the whole result is read first", RuntimeWarning, stacklevel=3)
-
-
-def sorted_records(df: DataFrame) -> DataFrame:
-    """Records in the order in which they stood in their files."""
-    return df.orderBy(F.col("_file"), F.col("_pos"))

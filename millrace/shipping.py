@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Makes this package importable in Python workers, and names the folder that all of a cluster's machines see."""
 
 from __future__ import annotations
 
@@ -8,7 +8,20 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from millrace.errors import MillraceError
+
 _shipped: set[str] = set()
+#: Where intermediate tables go in local mode if the session names no folder.
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without it there is one in local mode alone: elsewhere machines don't share theirs."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise MillraceError("spark.checkpoint.dir must name a folder that all machines share")
+    return LOCAL_FOLDER
 
 
 def ship(spark: SparkSession) -> None:

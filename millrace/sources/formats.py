@@ -1,46 +1,111 @@
 """Text formats: each reader gives records as a map of fields, with the file and position that they stood at.
 
 Lines are read by Spark's text source, split by line feeds alone, so that a file is read by many tasks. What a line
-needs to know of the lines before it, a section or a record's number, is carried over from part to part of the file by
-sums and last values per part.
+needs to know of the lines before it, a section or the begin of its record, each task carries along its own lines; one or
+two rows for each part of a file carry on to the next part. Lines themselves are never shuffled.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.errors import ParseError, ParserError, raised
+from millrace.functions.casts import trimmed
 from millrace.shipping import ship
 
 #: Decompressed bytes of a file at most.
 MOST_BYTES = 1 << 30
+#: Parts of files whose carried rows are broadcast at most; more of them meet the lines by a shuffle.
+MOST_CARRIED = 100_000
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """_file, _part, _pos and line (without a trailing carriage return); invalid UTF-8 fails."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    checked = F.when(F.is_valid_utf8("value"), F.regexp_replace("value", "\r$", "")).otherwise(raised(ParseError, F.lit("invalid UTF-8")).cast("string"))
-    return raw.select(F.input_file_name().alias("_file"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos"), checked.alias("line"))
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """_file, _part, _pos and line (without a trailing carriage return); invalid UTF-8 fails.
+
+    Files that begin as gzip, zstd or lz4 frames do are inflated, whatever they are called: each as a whole, as its
+    records can't be found before. The others are split.
+    """
+    plain, packed = by_magic(spark, path)
+    parts = []
+    if plain or not packed:
+        raw = spark.read.option("lineSep", "\n").text(plain or path)
+        checked = F.when(F.is_valid_utf8("value"), F.regexp_replace("value", "\r$", "")).otherwise(raised(ParseError, F.lit("invalid UTF-8")).cast("string"))
+        parts.append(raw.select(F.input_file_name().alias("_file"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos"), checked.alias("line")))
+    if packed:
+        parts.append(text_lines(spark, whole_texts(spark, packed), file="_file").select("_file", F.lit(0).alias("_part"), "_pos", "line"))
+    return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def by_magic(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """Files below a path (a file, a folder or a pattern) that are not compressed, and those that are by their first bytes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found: list = []
+    for one in [path] if isinstance(path, str) else path:
+        at = hadoop.Path(one)
+        fs = at.getFileSystem(conf)
+        for status in fs.globStatus(at) or ():
+            if status.isFile():
+                found.append((fs, status))
+                continue
+            inner = fs.listFiles(status.getPath(), True)
+            while inner.hasNext():
+                s = inner.next()
+                if not s.getPath().getName().startswith((".", "_")):
+                    found.append((fs, s))
+
+    def packed(item) -> bool:
+        fs, status = item
+        stream = fs.open(status.getPath())
+        try:
+            return kind_of_bytes(bytes(x for _ in range(4) if (x := stream.read()) >= 0)) is not None
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        marks = list(pool.map(packed, found))
+    names = [status.getPath().toString() for _, status in found]
+    return [n for n, m in zip(names, marks, strict=True) if not m], [n for n, m in zip(names, marks, strict=True) if m]
 
 
 def text_lines(spark: SparkSession, texts: DataFrame, text: str = "text", file: str | None = None) -> DataFrame:
-    """The same from texts in a column, one file each. Lines end as Rust's and Python's text readers have it: a last line feed opens no line."""
+    """_file, _pos and line of texts in a column, one file each. A last line feed opens no line."""
     name = F.col(file).cast("string") if file else F.lit("memory")
     split = F.split(F.regexp_replace(text, "\n$", ""), "\n")
     rows = texts.filter((F.col(text).isNotNull()) & (F.length(text) > 0)).select(name.alias("_file"), F.posexplode(split).alias("_pos", "line"))
-    return rows.select("_file", F.xxhash64("_file").alias("_part"), F.col("_pos").cast("long"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return rows.select("_file", F.col("_pos").cast("long"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def key_values(read: DataFrame, pairs: str = " ", equals: str = "=", names: list[str] | None = None) -> DataFrame:
+    """k=v k=v lines; blank lines are skipped, tokens without a separator too, of equal keys the last stands.
+
+    With names, the fields come as columns instead of a map, each cut out of the line by itself.
+    """
+    rows = read.filter(F.trim("line") != "")
+    if names is not None and len(pairs) == 1:
+        line = F.concat(F.lit(pairs), "line")
 
+        def field(name: str) -> Column:
+            mark = F.lit(f"{pairs}{name}{equals}")
+            if pairs in name or equals in name:
+                return F.lit(None).cast("string")
+            return F.when(F.contains(line, mark), F.substring_index(F.substring_index(line, f"{pairs}{name}{equals}", -1), pairs, 1))
 
-def key_values(read: DataFrame, pairs: str = " ", equals: str = "=") -> DataFrame:
-    """k=v k=v lines; blank lines are skipped, tokens without a separator too, of equal keys the last stands."""
-    tokens = F.filter(F.split("line", pairs), lambda t: F.contains(t, F.lit(equals)))
+        return rows.select(*(field(n).alias(n) for n in dict.fromkeys(names)))
+    tokens = F.filter(F.split("line", re.escape(pairs)), lambda t: F.contains(t, F.lit(equals)))
     entry = lambda t: F.struct(F.substring_index(t, equals, 1).alias("key"), t.substr(F.instr(t, F.lit(equals)) + len(equals), F.length(t)).alias("value"))
-    return _mapped(read.filter(F.trim("line") != ""), F.transform(tokens, entry))
+    return _mapped(rows, F.transform(tokens, entry))
 
 
 def _mapped(rows: DataFrame, entries: Column) -> DataFrame:
@@ -48,7 +113,8 @@ def _mapped(rows: DataFrame, entries: Column) -> DataFrame:
     held = rows.withColumn("_entries", entries)
     keys = F.transform("_entries", lambda e: e["key"])
     last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter("_entries", lambda e: e["key"] == k), -1))
-    return held.select("_file", "_pos", F.map_from_entries(last).alias("fields"))
+    repeated = F.size("_entries") != F.size(F.array_distinct(keys))
+    return held.select("_file", "_pos", F.when(repeated, F.map_from_entries(last)).otherwise(F.map_from_entries("_entries")).alias("fields"))
 
 
 def properties(read: DataFrame) -> DataFrame:
@@ -61,66 +127,180 @@ def properties(read: DataFrame) -> DataFrame:
     return rows.select("_file", "_pos", pair.alias("fields"))
 
 
-def _carried(rows: DataFrame, value: str, last: bool) -> DataFrame:
-    """_carried: the last non-null value up to each line of its file, or the sum of values; parts of a file are
-    worked on apart, and one row of each part carries on to the next."""
-    up_to = Window.partitionBy("_file", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+def _runs(batch: pa.RecordBatch, before: str | None) -> np.ndarray:
+    """Whether each row of a batch begins another file than the row before it."""
+    files = batch.column("_file")
+    first = np.array([files[0].as_py() != before])
+    return np.r_[first, pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)] if len(files) > 1 else first
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's last value that is not null, up to each row, within each file of a task's rows."""
+    file, came = None, pa.nulls(1, pa.string())
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, place = batch.column(batch.num_columns - 1), np.arange(batch.num_rows) + 1
+        opens = _runs(batch, file)
+        if opens[0]:
+            came = pa.nulls(1, pa.string())
+        # place 0 is what came from the batch before
+        last = np.maximum.accumulate(np.where(own.is_valid().to_numpy(zero_copy_only=False), place, 0))
+        begin = np.maximum.accumulate(np.where(opens, place, 0))
+        held = np.where(last >= begin, last, 0)
+        lacks = (last < begin) & (begin > 0)
+        values = pa.concat_arrays([came, own]).take(pa.array(held, mask=lacks))
+        file, came = batch.column("_file")[-1].as_py(), values.slice(len(values) - 1, 1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), values], schema=batch.schema)
+
+
+def _carried(rows: DataFrame, value: str) -> DataFrame:
+    """The last non-null value up to each line of its file. Lines stay where they are: each task fills its own forward,
+    and one row for each part of a file carries on to the next part."""
+    names = [c for c in rows.columns if c != value]
+    ship(rows.sparkSession)
+    rows = rows.select(*names, value)
+    filled = rows.mapInArrow(_filled, rows.schema)
+    if "_part" not in rows.columns:
+        return filled
     before = Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    fold = (lambda c, w: F.last(c, ignorenulls=True).over(w)) if last else (lambda c, w: F.sum(c).over(w))
-    whole = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))) if last else F.sum(value)
-    parts = rows.groupBy("_file", "_part").agg(whole.alias("_whole")).withColumn("_came", fold("_whole", before)).drop("_whole")
-    joined = rows.withColumn("_here", fold(value, up_to)).join(parts, ["_file", "_part"])
-    made = F.coalesce("_here", "_came") if last else F.col("_here") + F.coalesce("_came", F.lit(0))
-    return joined.withColumn("_carried", made).drop("_here", "_came")
+    ends = rows.groupBy("_file", "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_end"))
+    came = ends.select("_file", "_part", F.last("_end", ignorenulls=True).over(before).alias("_came")).filter(F.col("_came").isNotNull())
+    came = F.broadcast(came) if rows.rdd.getNumPartitions() <= MOST_CARRIED else came
+    return filled.join(came, ["_file", "_part"], "left").withColumn(value, F.coalesce(value, "_came")).drop("_came")
 
 
 def ini(read: DataFrame) -> DataFrame:
-    """section and one field per key line: [s] opens a section, ; and # are comments, = parts before : does."""
-    text = F.trim("line")
+    """section and one field per key line: [s] opens a section, up to the first ] and whatever follows it; a line that
+    begins with [ and has no ] is passed over; ; and # are comments; = parts a key from its value before : does."""
+    text = trimmed(F.col("line"))
     rows = read.withColumn("line", text).filter((text != "") & ~text.rlike("^[;#]"))
-    name = F.regexp_extract("line", r"^\[(.*)\]$", 1)
-    rows = _carried(rows.withColumn("_section", F.when(F.col("line").rlike(r"^\[.*\]$"), F.trim(name))), "_section", last=True)
+    section = F.when(F.col("line").rlike(r"^\[[^\]]*\]"), F.regexp_extract("line", r"^\[([^\]]*)\]", 1))
+    rows = _carried(rows.withColumn("_section", section), "_section")
     rows = rows.filter(~F.col("line").startswith("[") & F.col("line").rlike("[=:]"))
     sign = F.when(F.contains("line", F.lit("=")), F.lit("=")).otherwise(":")
     at = F.instr("line", sign)
-    key, value = F.trim(F.substring("line", F.lit(1), at - 1)), F.trim(F.col("line").substr(at + 1, F.length("line")))
-    return rows.select("_file", "_pos", F.map_from_arrays(F.array(F.lit("section"), key), F.array(F.coalesce("_carried", F.lit("")), value)).alias("fields"))
+    key, value = trimmed(F.substring("line", F.lit(1), at - 1), left=False), trimmed(F.col("line").substr(at + 1, F.length("line")), right=False)
+    keys, values = F.array(F.lit("section"), key), F.array(F.coalesce("_section", F.lit("")), value)
+    # a key called section hides the section, as the last of equal fields
+    fields = F.when(key == "section", F.create_map(F.lit("section"), value)).otherwise(F.map_from_arrays(keys, values))
+    return rows.select("_file", "_pos", fields.alias("fields"))
+
+
+_PIECE = "_file string, _part int, _pos long, _seq int, fields map<string,string>, _lines int, _head boolean, _tail boolean"
+
+
+def _pieces(in_parts: bool):
+    """Records of the lines that a task holds. Of a part of a file, the first piece may belong to a record of the part
+    before, and the last one may go on in the part after: they are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out = None, []
+        seq, pos, fields, n, head = 0, None, {}, 0, in_parts
+
+        def close(tail: bool) -> None:
+            if n or tail:
+                out.append((*at, -1 if pos is None else pos, seq, list(fields.items()), n, head, tail))
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.bool_(), pa.bool_())
+            names = ("_file", "_part", "_pos", "_seq", "fields", "_lines", "_head", "_tail")
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for file, part, place, line in zip(*(batch.column(c).to_pylist() for c in ("_file", "_part", "_pos", "line")), strict=True):
+                if (file, part) != at:
+                    if at is not None:
+                        close(in_parts)
+                    at, seq, pos, fields, n, head = (file, part), 0, None, {}, 0, in_parts
+                if line == "":
+                    close(False)
+                    seq, pos, fields, n, head = seq + 1, None, {}, 0, False
+                    continue
+                if line.startswith("#"):
+                    continue
+                n, pos = n + 1, place if pos is None else pos
+                key, colon, value = line.partition(":")
+                if colon:
+                    fields[key] = value.lstrip(" ")
+            yield made()
+        if at is not None:
+            close(in_parts)
+            yield made()
+
+    return run
 
 
 def ldif(read: DataFrame) -> DataFrame:
-    """Records between blank lines, of key: value lines; # lines are skipped; folded, base64 and URL values fail."""
+    """Records between blank lines, of key: value lines; # lines are skipped; folded, base64 and URL values fail.
+
+    Each task puts its own lines together; only the first and last piece of a part of a file meet those of other parts.
+    """
     refuse = lambda what: raised(ParserError, F.lit(f"LDIF {what} values are unsupported")).cast("string")
     line = F.col("line")
     checked = F.when(line.startswith(" "), refuse("folded")).when(line.rlike("^[^#:][^:]*::|^::"), refuse("base64")).when(line.rlike("^[^#:][^:]*:<|^:<"), refuse("URL")).otherwise(line)
-    rows = _carried(read.withColumn("line", checked).withColumn("_blank", (F.col("line") == "").cast("long")), "_blank", last=False)
-    rows = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    key = F.when(F.contains("line", F.lit(":")), F.substring_index("line", ":", 1))
-    value = F.ltrim(F.col("line").substr(F.instr("line", F.lit(":")) + 1, F.length("line")))
-    entries = F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct("_pos", key.alias("key"), value.alias("value")))))
-    records = rows.groupBy("_file", "_carried").agg(F.min("_pos").alias("_pos"), entries.alias("_found"))
-    return _mapped(records, F.transform("_found", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    in_parts = "_part" in read.columns
+    ship(read.sparkSession)
+    rows = read.select("_file", F.col("_part") if in_parts else F.lit(0).alias("_part"), "_pos", checked.alias("line"))
+    pieces = rows.mapInArrow(_pieces(in_parts), _PIECE)
+    whole = pieces.filter("not _head and not _tail").select("_file", "_pos", "fields")
+    if not in_parts:
+        return whole
+    order = Window.partitionBy("_file").orderBy("_part", "_seq")
+    chained = pieces.filter("_head or _tail").withColumn("_record", F.sum(F.when(F.col("_head"), 0).otherwise(1)).over(order))
+    found = F.array_sort(F.collect_list(F.struct("_part", "_seq", F.map_entries("fields").alias("entries"))))
+    joined = chained.groupBy("_file", "_record").agg(F.min(F.when(F.col("_lines") > 0, F.col("_pos"))).alias("_pos"), F.sum("_lines").alias("_lines"), found.alias("_found")).filter("_lines > 0")
+    return whole.union(_mapped(joined, F.flatten(F.transform("_found", lambda x: x["entries"]))))
+
+
+def _elements(raw: DataFrame, tag: str, value: str) -> Column | None:
+    """Entries of a row's <tag Name=..><value> elements; none if no row has any with a name."""
+    if tag not in raw.columns:
+        return None
+    held = raw.schema[tag].dataType
+    many = isinstance(held, T.ArrayType)
+    element = held.elementType if many else held
+    if not isinstance(element, T.StructType) or "_Name" not in element.names:
+        return None
+    items = F.col(tag) if many else F.array(tag)
+    inside = element[value].dataType if value in element.names else None
+
+    def text(x: Column) -> Column:
+        if inside is None:
+            return F.lit(None)
+        if isinstance(inside, T.StructType):  # an element with attributes of its own
+            return x[value]["_VALUE"] if "_VALUE" in inside.names else F.lit(None)
+        return F.element_at(x[value], -1) if isinstance(inside, T.ArrayType) else x[value]
+
+    named = F.filter(items, lambda x: x["_Name"].isNotNull())
+    return F.transform(named, lambda x: F.struct(x["_Name"].cast("string").alias("key"), text(x).cast("string").alias("value")))
 
 
 def xml_fields(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Rows of <Field Name=..><Value>, <Text Name=..><TextValue> and the row's attributes, as fields."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path)
-    nested = {"Field": "Value", "Text": "TextValue"}
-    parts = []
-    for tag, value in nested.items():
-        if tag in raw.columns:
-            many = raw.schema[tag].dataType.typeName() == "array"
-            items = F.col(tag) if many else F.array(tag)
-            parts.append(F.transform(F.filter(items, lambda x: x["_Name"].isNotNull()), lambda x, value=value: F.struct(x["_Name"].alias("key"), x[value].cast("string").alias("value"))))
+    """Rows of <Field Name=..><Value>, <Text Name=..><TextValue> and the row's attributes, as fields. Rows are read by
+    Spark's XML source; malformed ones fail."""
+    raw = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").option("mode", "FAILFAST").load(path)
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    parts = [e for tag, value in (("Field", "Value"), ("Text", "TextValue")) if (e := _elements(raw, tag, value)) is not None]
     own = [c for c in raw.columns if c.startswith("_")]
-    parts.append(F.filter(F.array(*(F.struct(F.lit(c[1:]).alias("key"), F.col(c).cast("string").alias("value")) for c in own)), lambda e: e["value"].isNotNull()) if own else F.array().cast("array<struct<key:string,value:string>>"))
-    found = F.concat(*(F.coalesce(p, F.array().cast("array<struct<key:string,value:string>>")) for p in parts))
+    if own:
+        parts.append(F.filter(F.array(*(F.struct(F.lit(c[1:]).alias("key"), F.col(c).cast("string").alias("value")) for c in own)), lambda e: e["value"].isNotNull()))
+    found = F.concat(none, *(F.coalesce(p, none) for p in parts))
     rows = raw.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"), found.alias("_found"))
     return _mapped(rows, F.col("_found"))
 
 
+def kind_of_bytes(begin: bytes) -> str | None:
+    """The compression that a file's first bytes tell of."""
+    return "gzip" if begin[:2] == b"\x1f\x8b" else "zstd" if begin[:4] == b"\x28\xb5\x2f\xfd" else "lz4" if begin[:4] == b"\x04\x22\x4d\x18" else None
+
+
 def inflated(content: bytes, most: int = MOST_BYTES) -> bytes:
     """gzip, zstd and lz4 frames by their first bytes, anything else as it is."""
-    kind = "gzip" if content[:2] == b"\x1f\x8b" else "zstd" if content[:4] == b"\x28\xb5\x2f\xfd" else "lz4" if content[:4] == b"\x04\x22\x4d\x18" else None
+    kind = kind_of_bytes(content)
     if kind is None:
         return content
     with gzip.GzipFile(fileobj=io.BytesIO(content)) if kind == "gzip" else pa.CompressedInputStream(pa.BufferReader(content), kind) as stream:
@@ -130,7 +310,7 @@ def inflated(content: bytes, most: int = MOST_BYTES) -> bytes:
     return bytes(out)
 
 
-def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+def whole_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """_file and text of whole files, inflated where they are compressed. Each file is one row, so for modest files."""
     ship(spark)
 

@@ -59,5 +59,7 @@ def split(data: bytes, parts: int, boundaries: Boundaries, least: int = LEAST_PA
     return sorted(cuts)
 
 
-def planned_parts(size: int, threads: int, streaming: bool = False) -> int:
-    return max(1, min(size // LEAST_PART or 1, threads * (PER_THREAD // 2 if streaming else PER_THREAD), MOST_PARTS))
+def planned_parts(size: int, threads: int, streaming: bool = False, least: int = LEAST_PART) -> int:
+    """How many parts a file is cut into: one for each `least` bytes, no fewer than threads, and no more than a few each."""
+    most = threads * (PER_THREAD // 2 if streaming else PER_THREAD)
+    return min(MOST_PARTS, max(threads, min(size // max(1, least), most)))

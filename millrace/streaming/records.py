@@ -34,11 +34,13 @@ class Diagnostics:
 class RecordStream:
     """Feed bytes as they come; whole records come out. The end must be told, and no record may be cut short by it.
 
-    parse(buffer, at_end) gives a record and how many bytes it took, or None if it needs more.
+    parse(buffer, at_end, diagnostics) gives a record and how many bytes it took, or None if it needs more. What it passes
+    over it tells the diagnostics, which the caller drains.
     """
 
-    def __init__(self, parse: Callable[[bytes, bool], tuple[dict, int] | None]) -> None:
+    def __init__(self, parse: Callable[..., tuple[dict, int] | None], diagnostics: Diagnostics | None = None) -> None:
         self.parse, self.buffer, self.ended = parse, b"", False
+        self.diagnostics = diagnostics if diagnostics is not None else Diagnostics()
 
     def feed(self, chunk: bytes) -> list[dict]:
         if self.ended:
@@ -55,13 +57,14 @@ class RecordStream:
 
     def _taken(self, at_end: bool) -> list[dict]:
         out = []
-        while self.buffer and (found := self.parse(self.buffer, at_end)) is not None:
+        while self.buffer and (found := self.parse(self.buffer, at_end, self.diagnostics)) is not None:
             out.append(found[0])
+            self.diagnostics.count("records")
             self.buffer = self.buffer[found[1] :]
         return out
 
 
-def frames(buffer: bytes, at_end: bool) -> tuple[dict, int] | None:
+def frames(buffer: bytes, at_end: bool, diagnostics: Diagnostics | None = None) -> tuple[dict, int] | None:
     """@<length>:k=v|k=v frames."""
     head, colon, rest = buffer.partition(b":")
     if not head.startswith(b"@") or colon and not head[1:].isdigit() or not colon and len(head) > 20:
@@ -75,18 +78,22 @@ def frames(buffer: bytes, at_end: bool) -> tuple[dict, int] | None:
     return {k: v for k, _, v in pairs}, len(head) + 1 + int(head[1:])
 
 
-def kv_lines(buffer: bytes, at_end: bool) -> tuple[dict, int] | None:
-    """k=v lines."""
+def kv_lines(buffer: bytes, at_end: bool, diagnostics: Diagnostics | None = None) -> tuple[dict, int] | None:
+    """k=v lines; tokens without a separator are passed over and counted."""
     line, feed, _ = buffer.partition(b"\n")
     if not feed and not at_end:
         return None
-    return dict(t.split("=", 1) for t in line.decode().rstrip("\r").split(" ") if "=" in t), len(line) + len(feed)
+    tokens = line.decode().rstrip("\r").split(" ")
+    if diagnostics is not None and (passed := sum(bool(t) and "=" not in t for t in tokens)):
+        diagnostics.count("discarded_tokens", passed)
+        diagnostics.warn(f"{passed} tokens without a separator")
+    return dict(t.split("=", 1) for t in tokens if "=" in t), len(line) + len(feed)
 
 
 def stream_records(spark: SparkSession, folder: str, parser: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A streaming DataFrame of records of all files in a folder, now and later; for formats of one line a record."""
     raw = spark.readStream.option("lineSep", "\n").text(folder)
-    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_part"), F.lit(0).cast("long").alias("_pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_pos"), F.regexp_replace("value", "\r$", "").alias("line"))
     return parser(rows)
 
 

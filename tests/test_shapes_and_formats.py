@@ -6,21 +6,24 @@ import gzip
 from datetime import date, datetime
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.errors import MergeError, MillraceError, ParserError, ParseError, PlanError
-from millrace.functions.budget import StreamStats, parse_memory, resolve_engine
+from millrace.functions.budget import Profile, StreamStats, parse_memory, resolve_engine
 from millrace.functions.casts import canonical
 from millrace.functions.types import java_pattern, parse_type
 from millrace.operators import schema, sinks
-from millrace.operators.stages import CastTypes, DropFields, FilterRows, MapRecords, RenameFields, StreamStage
+from millrace.operators.stages import CastTypes, DropFields, FilterRows, MapRecords, ObservedStage, RenameFields, StreamStage, Tally
 from millrace.plans import pipeline
 from millrace.plans.expr import col
 from millrace.sources import formats
-from millrace.sources.splitting import Boundaries, split
-from millrace.streaming.records import RecordStream, frames, kv_lines
+from millrace.sources.datasource import RecordLines, complete
+from millrace.sources.splitting import Boundaries, planned_parts, split
+from millrace.streaming.records import Diagnostics, RecordStream, frames, kv_lines
 
 
 def one(spark, kind, texts):
@@ -41,6 +44,12 @@ def test_cast_grammar(spark):
             parse_type(bad)
 
 
+def test_cast_by_callable(spark):
+    df = spark.createDataFrame([(1.0, "x"), (None, None)], "v double, s string")
+    made = CastTypes({"v": str, "s": lambda t: t * 2, "gone": str}).transform(df)
+    assert [tuple(r) for r in made.collect()] == [("1", "xx"), (None, None)] and [f.dataType.typeName() for f in made.schema] == ["string", "string"]
+
+
 def test_strict_cast_names_the_value(spark):
     df = spark.createDataFrame([("1",), ("bad",)], "n string")
     with pytest.raises(PlanError, match="bad"):
@@ -126,13 +135,154 @@ def test_pipeline_and_sinks(spark, tmp_path):
 
 
 def test_compressed_and_invalid(spark, tmp_path):
-    (tmp_path / "a.kv").write_bytes(gzip.compress(b"A=1\nA=2\n"))
-    assert pipeline.read(spark, str(tmp_path / "a.kv"), compressed=True).count() == 2
+    many = b"".join(b"A=%d\n" % i for i in range(1000))
+    (tmp_path / "d").mkdir()
+    for name, data in (("a.kv", gzip.compress(many)), ("b.kv", zstandard.compress(many)), ("c.kv", lz4(many)), ("e.kv", many), ("_hidden.kv", b"A=x\n")):
+        (tmp_path / "d" / name).write_bytes(data)
+    read = pipeline.read(spark, str(tmp_path / "d"), format="kv", field_types={"A": "int64"}, schema=["A"])
+    assert sorted(r["A"] for r in read.collect()) == sorted([*range(1000)] * 4)
+    assert pipeline.read(spark, str(tmp_path / "d" / "b.kv")).count() == 1000
+    with pytest.raises(ParseError):
+        formats.inflated(gzip.compress(b"x" * 100), most=99)
     (tmp_path / "b.kv").write_bytes(b"A=\xff\n")
     with pytest.raises(ParseError):
         sinks.collect(pipeline.read(spark, str(tmp_path / "b.kv"), schema=["A"]))
 
 
+def lz4(data: bytes) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "lz4") as stream:
+        stream.write(data)
+    return out.getvalue().to_pybytes()
+
+
+REPORT = """<?xml version="1.0" encoding="UTF-8"?>
+<Report Title="t"><Group Name="North">
+%s
+</Group></Report>
+"""
+
+
+def test_xml_reports(spark, tmp_path):
+    rows = [f'<Details Level="{i % 2}"><Field Name="who"><Value>n{i}</Value></Field><Text Name="note"><TextValue>a &amp; {i}</TextValue></Text>' + ('<Field Name="last"/>' if i == 3 else "") + "</Details>" for i in range(15)]
+    (tmp_path / "r.xml").write_text(REPORT % "\n".join(rows))
+    made = pipeline.read(spark, str(tmp_path / "r.xml"), row_tag="Details", schema=["who", "note", "Level", "last"], field_types={"Level": "int64"}).collect()
+    assert [(r["who"], r["note"], r["Level"], r["last"]) for r in made] == [(f"n{i}", f"a & {i}", i % 2, None) for i in range(15)]
+    assert set(pipeline.read(spark, str(tmp_path / "r.xml"), row_tag="Details").columns) == {"who", "note", "Level", "last"}
+    # one field alone, without attributes of the row; values with attributes of their own
+    (tmp_path / "one.xml").write_text('<r><row><Field Name="x"><Value kind="k">1</Value></Field></row></r>')
+    assert [r.asDict() for r in pipeline.read(spark, str(tmp_path / "one.xml")).collect()] == [{"x": "1"}]
+
+
+def test_ini_lines(spark):
+    text = "early = 1\n[x] trailing\na=1\n[a]x]\nb=2\n[ s ]\n\tk\t=\tv\t\n[open\nc : d = e\nsection=own"
+    assert parsed(spark, formats.ini, text) == [{"section": "", "early": "1"}, {"section": "x", "a": "1"}, {"section": "a", "b": "2"}, {"section": " s ", "k": "v"}, {"section": " s ", "c : d": "e"}, {"section": "own"}]
+
+
+@pytest.mark.parametrize("part", ["37b", "64b", "200b", "4000b"])
+def test_ldif_records_across_parts(spark, tmp_path, part):
+    records = [{"dn": str(i), **({"a": f"v{i}"} if i % 3 else {}), **({"b": "x" * (i % 50)} if i % 4 == 0 else {})} for i in range(60)]
+    text = "\n\n\n".join("\n".join(f"{k}: {v}" for k, v in r.items()) + "\n# note" * (i % 2) for i, r in enumerate(records))
+    (tmp_path / "x.ldif").write_text(text)
+    (tmp_path / "y.ldif").write_text("\n\n# only\n\ndn: 60\n")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = pipeline.read(spark, str(tmp_path), format="ldif", schema=["dn", "a", "b"]).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = [(r["dn"], r.get("a"), r.get("b")) for r in records]
+    found = sorted(((r["dn"], r["a"], r["b"]) for r in rows if r["dn"] is not None), key=lambda r: int(r[0]))
+    assert found == [*want, ("60", None, None)]
+    assert len(rows) == 61
+
+
+def test_batches(spark):
+    df = spark.range(1000, numPartitions=3).withColumn("t", F.repeat(F.lit("x"), 100))
+    made = list(pipeline.record_batches(df, 300))
+    assert [b.num_rows for b in made] == [300, 300, 300, 100] and [i for b in made for i in b.column(0).to_pylist()] == list(range(1000))
+    stats = StreamStats()
+    small = list(pipeline.record_batches(df, 300, memory="4KiB", stats=stats))
+    assert all(b.nbytes <= 4096 for b in small) and sum(b.num_rows for b in small) == 1000 and not stats.oversize_batches
+    assert stats.peak_tracked_bytes > 4096  # what waits counts too
+    asked = iter([False, False, True])
+    assert len(list(pipeline.record_batches(df, 100, should_stop=lambda: next(asked)))) == 2
+    frame = sinks.to_pandas(df, "numpy", chunksize=7)
+    assert len(frame) == 1000 and frame["id"].tolist() == list(range(1000))
+    assert len(sinks.to_pandas(df.limit(0), chunksize=7)) == 0
+    with Profile() as p:
+        list(pipeline.record_batches(df))
+    assert {name for name, _, _ in p.snapshot()} == {"parse", "export"}
+
+
+def test_observers_reach_the_caller(spark):
+    accepted, total = Tally(spark), Tally(spark, of=lambda name, value: value)
+
+    class Watch(ObservedStage):
+        def observer_hooks(self):
+            return {"on_row_accepted": accepted, "on_put_field": total, "on_row_rejected": lambda i: 1 / 0}
+
+    stage = Watch(spec=(col("n") > 1).to_spec())
+    assert stage.transform(spark.createDataFrame([(1,), (2,), (3,)], "n long")).count() == 2
+    assert (accepted.value, total.value) == (2, 6)
+    with pytest.raises(PlanError):
+        ObservedStage({"on_nothing": print})
+
+
+def test_adapters(spark, tmp_path):
+    (tmp_path / "x.any").write_text("1\n2\n")
+    calls = []
+
+    class Numbers(pipeline.Adapter):
+        def read(self, spark, path, scale=1, **_):
+            calls.append(scale)
+            return spark.read.text(path).select((F.col("value").cast("long") * scale).alias("n"))
+
+    first, second = Tally(spark), Tally(spark)
+    source = Numbers(spark, str(tmp_path / "x.any"), scale=10, field_mapping={"n": "m"}, observer={"on_row_accepted": first})
+    other = source.with_plan(filter=col("m") > 10, observer={"on_row_accepted": second})
+    assert [r["m"] for r in source.df.collect()] == [10, 20] and source.df is source.df
+    assert [r["m"] for r in other] == [20] and second.value == 1 and first.value >= 3
+    assert sum(b.num_rows for b in source.iter_record_batches()) == 2
+
+    class Wrong(pipeline.Adapter):
+        def read(self, spark, path, **_):
+            return [1]
+
+    with pytest.raises(TypeError, match="DataFrame"):
+        Wrong(spark, str(tmp_path / "x.any")).df  # noqa: B018
+    with pytest.raises(NotImplementedError):
+        pipeline.Adapter(spark, str(tmp_path / "x.any")).df  # noqa: B018
+
+
+def test_record_source(spark, tmp_path):
+    spark.dataSource.register(RecordLines)
+    path = tmp_path / "lines.txt"
+    path.write_text("".join(f"a={i} \\\n  b={i}\n" for i in range(200)))
+    for size in (1, 37, 1000, 1 << 20):
+        read = spark.read.format("millrace_lines").option("partbytes", size).option("continuation", "\\").load(str(path))
+        assert sorted(r["line"] for r in read.collect()) == sorted(f"a={i} \\\n  b={i}" for i in range(200))
+    path.write_text("a\n\nb\nc\n\n\nd\n")
+    read = spark.read.format("millrace_lines").option("partbytes", 2).option("blankLine", "true").load(str(path))
+    assert sorted(r["line"].strip() for r in read.collect()) == ["a", "b\nc", "d"]
+    path.write_text("x=1\nx=2\nx=")
+    assert complete(str(path), Boundaries()) == 8
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def deliver():
+        stream = spark.readStream.format("millrace_lines").option("partbytes", 3).load(str(path))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(processingTime="0 seconds").start().processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+        return sorted(r["line"] for r in spark.read.parquet(out).collect())
+
+    assert deliver() == ["x=1", "x=2"]
+    path.write_text("x=1\nx=2\nx=3\n")
+    assert deliver() == ["x=1", "x=2", "x=3"]
+
+
 def test_python_stages(spark):
     df = spark.createDataFrame([(1,), (2,)], "n long")
     assert sorted(r["m"] for r in MapRecords(lambda r: {"m": r["n"] * 2}).transform(df).collect()) == [2, 4]
@@ -165,13 +315,17 @@ def test_boundaries_and_streams():
     with pytest.raises(ParserError):
         stream.finish()
     assert RecordStream(kv_lines).feed(b"a=1\nb") == [{"a": "1"}]
+    told = Diagnostics()
+    assert RecordStream(kv_lines, told).feed(b"a=1 loose\nb=2 c=3\n") == [{"a": "1"}, {"b": "2", "c": "3"}]
+    assert told.drain() == (["1 tokens without a separator"], {"discarded_tokens": 1, "records": 2}) and told.drain() == ([], {})
 
 
 def test_budgets():
-    assert parse_memory("64MiB") == 64 << 20 and parse_memory("1.5 KB") == 1500 and parse_memory(7) == 7
-    for bad in ("", "NaN", "inf", "-1MiB", "1XB", True, 0):
-        with pytest.raises(ValueError):
+    assert parse_memory("64MiB") == 64 << 20 and parse_memory("1.5 KB") == 1500 and parse_memory(7) == 7 and parse_memory(0) == 1 and parse_memory("0.1") == 1
+    for bad in ("", "NaN", "inf", "-1MiB", "1XB", "5k"):
+        with pytest.raises(MillraceError):
             parse_memory(bad)
+    assert planned_parts(1, 8) == 8 and planned_parts(1 << 40, 8) == 128 and planned_parts(1 << 40, 8, streaming=True) == 64 and planned_parts(1 << 50, 1000) == 1024
     assert resolve_engine(1 << 20) == "columnar" and resolve_engine(1 << 30, threads=4) == "parallel_streaming" and resolve_engine(1, memory=5) == "stream"
     with pytest.raises(ValueError):
         resolve_engine(1, threads=0)
