@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.shipping import shared_folder
+
 #: Bytes of an Arrow batch, one longer row excepted.
 BATCH_BYTES = 32 << 20
 #: Rows that a cell of number_within() holds on average.
 CELL_ROWS = 8192
-#: Where durable() writes if the session names no shared folder (tests, local mode).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,8 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application below the cluster's shared checkpoint folder; it goes with the application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    path = f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/millrace-{spark.sparkContext.applicationId}"
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return path
@@ -34,7 +32,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: the lineage ends here and lost executors cost nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._durable_path = path
+    return made
+
+
+def forget(made: DataFrame) -> None:
+    """Deletes the files of a durable() table that nothing reads any more."""
+    path = made.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(made._durable_path)
+    path.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -70,21 +76,13 @@ def number_within(df: DataFrame, groups: list[str], order: list[str], name: str)
     numbered within cells, and a running sum over the cells' counts adds where a cell begins. Groups must not be
     null; rows equal in all order columns get adjacent numbers in any order.
     """
-    cells = max(1, math.ceil(df.count() / CELL_ROWS))
-    salted = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("long"))
-    begins = (
-        salted.groupBy(*groups, "_cell")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_begin", F.sum("_rows").over(Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows"))
-        .drop("_rows")
-    )
-    within = Window.partitionBy(*groups, "_cell").orderBy(*order)
-    return (
-        salted.withColumn("_within", F.row_number().over(within).cast("long") - 1)
-        .join(begins, [*groups, "_cell"])
-        .withColumn(name, F.col("_begin") + F.col("_within"))
-        .drop("_cell", "_begin", "_within")
-    )
+    cells, rows = max(1, math.ceil(df.count() / CELL_ROWS)), fresh(df, "rows")
+    cell, begin, within = (fresh(df, n) for n in ("cell", "begin", "within"))
+    salted = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("long"))
+    running = F.sum(rows).over(Window.partitionBy(*groups).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    begins = salted.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias(rows)).withColumn(begin, running - F.col(rows)).drop(rows)
+    numbered = salted.withColumn(within, F.row_number().over(Window.partitionBy(*groups, cell).orderBy(*order)).cast("long") - 1)
+    return numbered.join(begins, [*groups, cell]).withColumn(name, F.col(begin) + F.col(within)).drop(cell, begin, within)
 
 
 def with_fields(df: DataFrame, columns: list[str], extra: list[tuple[str, T.DataType]]) -> T.StructType:

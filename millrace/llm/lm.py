@@ -4,37 +4,51 @@ Every byte is eight binary decisions; each decision has a tree of contexts of 0
 Krichevsky-Trofimov estimate of its own counts is mixed half and half with the product of its children's mixtures. The
 trees learn from the counts of all training texts; the code length of a text follows from the mixtures' predictions.
 
-The corpus is dealt into blocks of about BLOCK_BYTES. A block tells once which words and which grams (a byte and the
-DEPTH bytes before it) it holds, with their training counts; sums over all blocks give the model; and each block gets
-back the predictions for its own words and grams only, so no task ever holds the whole model. Grams travel as one packed
-row for each pair of bytes just before the predicted one, under which there are at most 2^24 of them.
+A gram is a byte with the DEPTH bytes before it. Grams are ordered by their contexts, nearest byte first, so that every
+node of the trees is a run of grams, and that order is cut into ranges of about RANGE_BYTES positions of the corpus:
+
+1. Each task packs its texts into blocks of about BLOCK_BYTES and writes, for every range, the distinct grams that a
+   block has there, with their training counts.
+2. A range gathers its grams from all blocks and mixes the nodes that lie inside it, bottom up. Nodes that a cut runs
+   through, at most one of each depth at each cut, are summed up over their ranges by the bytes nearest to the prediction.
+3. With those nodes' weights a range predicts its grams, top down, and answers every block with the probabilities of the
+   grams that the block sent, in the block's order.
+4. A block puts its own grams in order again and adds up the answers over its texts.
+
+So what is sent follows the text: a block's grams meet the model of their own ranges only, and no task holds the model.
+Nothing is pruned. Words travel alike, dealt by a hash instead of ranges.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, held_out, small_batches, table
 
-#: Bytes of the longest context.
-DEPTH = 4  # at least 3, at most 4: a gram below its pair must fit 32 bits
-BLOCK_BYTES = 8 << 20
+#: Bytes of the longest context; a context fits 64 bits.
+DEPTH = 8
+#: Bytes of text of a block, positions of the corpus in a range, and the most ranges (a cut is 8 bytes that all tasks see).
+BLOCK_BYTES, RANGE_BYTES, MOST_RANGES = 16 << 20, 2 << 20, 1 << 22
+#: Sampled contexts for each cut.
+SAMPLES = 32
 #: Stands before a text's start and for its end; no UTF-8 text holds this byte.
 EDGE = 0xFF
-#: Bytes of a block that are counted or scored at a time.
-STRIDE = 1 << 20
-#: Blocks whose counts one merge takes in.
-FAN_IN = 64
-#: Counts up to which gamma functions are looked up.
-TABLED = 1 << 13
-LOG10_2 = math.log10(2)
+#: Positions that a block sorts at a time, unless more follow one byte.
+GROUP = 2 << 20
+#: Counts up to which gamma functions are looked up, and those up to which pairs are.
+TABLED, PAIRED = 1 << 13, 64
+DOCS, GRAMS, WORDS = 0, 1, 2
+LOG10_2, LN_HALF = math.log10(2), math.log(0.5)
+PIECE = "block long, kind int, key int, part int, payload binary"
+CUT_NODE = "key int, depth int, node long, place array<int>, zeros array<double>, ones array<double>, product array<double>"
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -45,349 +59,517 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + inner / z - down
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at each of the 255 decisions of a byte, from counts of bytes in the last axis."""
-    zeros, ones = [], []
-    for level in range(8):
-        halves = counts.reshape(len(counts), 2 << level, -1).sum(2)
-        zeros.append(halves[:, 0::2])
-        ones.append(halves[:, 1::2])
-    return np.concatenate(zeros, 1).astype("f8"), np.concatenate(ones, 1).astype("f8")
-
-
 _HALVES, _WHOLES = log_gamma(np.arange(TABLED) + 0.5), log_gamma(np.arange(TABLED) + 1.0)
+_PAIRS = (_HALVES[:PAIRED, None] + _HALVES[None, :PAIRED] - math.log(math.pi) - _WHOLES[np.arange(PAIRED)[:, None] + np.arange(PAIRED)[None, :]]).ravel()
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability of a sequence with these counts under the Krichevsky-Trofimov estimator."""
-    both = zeros + ones
-    small = np.minimum(both, TABLED - 1).astype("i8")
-    out = _HALVES[np.minimum(zeros, small).astype("i8")] + _HALVES[np.minimum(ones, small).astype("i8")] - math.log(math.pi) - _WHOLES[small]
-    big = both >= TABLED
-    if big.any():
-        z, o = zeros[big], ones[big]
-        out[big] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - math.log(math.pi) - log_gamma(z + o + 1)
+    small = (zeros < PAIRED) & (ones < PAIRED)
+    out = _PAIRS[np.where(small, zeros * PAIRED + ones, 0).astype("i8")]
+    if not small.all():
+        z, o = zeros[~small].astype("f8"), ones[~small].astype("f8")
+        some = log_gamma(z + 0.5) + log_gamma(o + 0.5) - math.log(math.pi) - log_gamma(z + o + 1)
+        low = z + o < TABLED
+        zi, oi = z[low].astype("i8"), o[low].astype("i8")
+        some[low] = _HALVES[zi] + _HALVES[oi] - math.log(math.pi) - _WHOLES[zi + oi]
+        out[~small] = some
     return out
 
 
 def mixed(log_own: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log of the half-and-half mixture, and the share of the own estimate in it after all that was seen."""
-    log_all = np.logaddexp(log_own, log_children) + math.log(0.5)
-    return log_all, np.exp(log_own + math.log(0.5) - log_all)
-
-
-def byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes, from the probability of a one at each decision."""
-    out = np.zeros((len(ones), 1))
-    for level in range(8):
-        p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], 2).reshape(len(ones), -1)
-    return out
-
-
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all positions of the texts, ends included, and where each text's begin.
-
-    From the top, a gram holds the two bytes before the predicted one, the earlier one first, then the further ones back,
-    the nearest first, then the predicted byte.
-    """
-    edge = bytes([EDGE])
-    joined = np.frombuffer(b"".join(x for t in texts for x in (edge * DEPTH, t, edge)), "u1")
-    begins = np.r_[0, np.cumsum([len(t) + 1 for t in texts])[:-1]].astype("i8")
-    keep = np.ones(len(joined), bool)
-    for i in range(DEPTH):
-        keep[begins + DEPTH * np.arange(len(texts)) + i] = False
-    at = np.flatnonzero(keep)
-    gram = np.zeros(len(at), "i8")
-    for back in (2, 1, *range(3, DEPTH + 1), 0):
-        gram <<= 8
-        gram |= joined[at - back]
-    return gram, begins
-
-
-#: Bits of a gram below its pair.
-INNER = 8 * (DEPTH - 1)
-
-
-class Table:
-    """Values of grams, looked up by steps: the pair and nearest byte back, then the others one at a time."""
-
-    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
-        self.numbers, found, shift = [], np.zeros(0, "i8"), INNER - 8
-        heads = np.unique(grams >> shift)
-        first = np.zeros(1 << 24, "i4")
-        first[heads] = np.arange(len(heads), dtype="i4")
-        self.numbers.append(first)
-        found = first[grams >> shift].astype("i8")
-        while shift > 8:
-            shift -= 8
-            cell = found << 8 | grams >> shift & 0xFF
-            here = np.unique(cell)
-            number = np.zeros(256 * len(heads), "i4")
-            number[here] = np.arange(len(here), dtype="i4")
-            self.numbers.append(number)
-            found, heads = number[cell].astype("i8"), here
-        self.values = np.zeros(256 * max(1, len(heads)), "f4")
-        self.values[found << 8 | grams & 0xFF] = values
-
-    def __getitem__(self, grams: np.ndarray) -> np.ndarray:
-        shift = INNER - 8
-        found = self.numbers[0][grams >> shift].astype("i8")
-        for number in self.numbers[1:]:
-            shift -= 8
-            found = number[found << 8 | grams >> shift & 0xFF].astype("i8")
-        return self.values[found << 8 | grams & 0xFF]
-
-
-def _strides(texts: list[bytes], most: int = STRIDE):
-    """Ranges of texts that hold about `most` bytes together, or one longer text."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(at, i)
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield slice(at, len(texts))
+    log_all = np.logaddexp(log_own, log_children) + LN_HALF
+    return log_all, np.exp(log_own + LN_HALF - log_all)
+
+
+class Block:
+    """The bytes of some texts, with DEPTH edges before and one after each, and their grams group by group."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        edge = bytes([EDGE])
+        self.bytes = np.frombuffer(b"".join(x for t in texts for x in (edge * DEPTH, t, edge)), "u1")
+        sizes = np.array([len(t) + DEPTH + 1 for t in texts], "i8")
+        self.begins = np.r_[0, np.cumsum(sizes)[:-1]].astype("i8")
+        self.spoken = np.ones(len(self.bytes), bool)
+        for i in range(DEPTH):
+            self.spoken[self.begins + i] = False
+        # the context of place p is the eight bytes that follow place n - p in the reversed text
+        back = np.r_[self.bytes[::-1], np.zeros(8, "u1")]
+        self._contexts = np.ndarray((len(self.bytes) + 1,), ">u8", back.tobytes(), strides=(1,))
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        return self._contexts[len(self.bytes) - at].astype("u8")
+
+    def groups(self) -> Iterator[np.ndarray]:
+        """Places of predicted bytes, group by group in the order of the bytes before them."""
+        before = np.r_[np.uint8(0), self.bytes[:-1]]
+        counts = np.bincount(before[self.spoken], minlength=256)
+        chosen, size = np.zeros(256, bool), 0
+        for byte in range(256):
+            if size and size + counts[byte] > GROUP:
+                yield np.flatnonzero(chosen[before] & self.spoken)
+                chosen[:], size = False, 0
+            chosen[byte], size = True, size + counts[byte]
+        if size:
+            yield np.flatnonzero(chosen[before] & self.spoken)
+
+
+def ordered(contexts: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by context and last byte, the numbers of distinct grams along it, and where each first comes."""
+    by_context = np.argsort(contexts)
+    held = contexts[by_context]
+    rank = np.cumsum(np.r_[False, held[1:] != held[:-1]])
+    key = rank << 8 | last[by_context]
+    again = np.argsort(key)
+    key = key[again]
+    opens = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    return by_context[again], np.cumsum(opens) - 1, np.flatnonzero(opens)
+
+
+def packed(contexts: np.ndarray, last: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ordered grams: of each context the bytes from the first one on that differs from the gram's before it."""
+    n = len(contexts)
+    planes = contexts.astype(">u8").view("u1").reshape(n, 8)
+    kept = np.ones((n, 8), bool)
+    kept[1:] = np.logical_or.accumulate(planes[1:] != planes[:-1], axis=1)
+    small = np.minimum(counts, 255).astype("u1")
+    parts = (np.array([n], "<u4"), (8 - kept.sum(1)).astype("u1"), last, small, planes[kept], counts[counts >= 255].astype("<u4"))
+    return pa.compress(b"".join(p.tobytes() for p in parts), "zstd", asbytes=True) + sum(p.nbytes for p in parts).to_bytes(4, "little")
+
+
+def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = pa.decompress(payload[:-4], int.from_bytes(payload[-4:], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    shared, last, small = (np.frombuffer(data, "u1", n, 4 + i * n) for i in range(3))
+    kept = np.arange(8)[None, :] >= shared[:, None]
+    planes, given = np.zeros((n, 8), "u1"), int(kept.sum())
+    planes[kept] = np.frombuffer(data, "u1", given, 4 + 3 * n)
+    for j in range(8):
+        planes[:, j] = planes[np.maximum.accumulate(np.where(kept[:, j], np.arange(n), 0)), j]
+    counts = small.astype("i8")
+    counts[small == 255] = np.frombuffer(data, "<u4", offset=4 + 3 * n + given)
+    return planes.view(">u8").ravel().astype("u8"), last, counts
+
+
+def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """Words of some texts by first appearance, the text's end being the empty word; and each text's tokens as numbers."""
+    number: dict[bytes, int] = {}
+    tokens = []
+    for t in texts:
+        words = t.split()
+        words.append(b"")
+        tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "i4", len(words)))
+    return number, tokens
+
+
+def _dealt(words: dict[bytes, int], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each word, and the order by range."""
+    to = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in words), "i8", len(words))
+    return to, np.argsort(to, kind="stable")
+
+
+def _slices(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of equal values: value, begin, end."""
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, "i8")
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield int(to[a]), a, b
+
+
+def _zipped(*parts: np.ndarray | bytes) -> bytes:
+    data = b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    return pa.compress(data, "zstd", asbytes=True) + len(data).to_bytes(8, "little")
+
+
+def _unzipped(payload: bytes) -> bytes:
+    return pa.decompress(payload[:-8], int.from_bytes(payload[-8:], "little"), "zstd", asbytes=True)
+
+
+def _pieces(number: int, docs: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """PIECE rows of a block: its documents, and its grams and words by range."""
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([number] * len(rows), *columns), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "kind", "key", "part", "payload"])
+        rows.clear()
+        return made
+
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(docs)
+    rows.append((DOCS, 0, 0, out.getvalue().to_pybytes()))
+    texts, train = _texts(docs.column("text")), np.array(docs.column("train").to_pylist(), bool)
+    words, tokens = _numbered(texts)
+    counts = np.zeros(len(words), "i8")
+    for t, learn in zip(tokens, train.tolist(), strict=True):
+        if learn:
+            np.add.at(counts, t, 1) if len(t) < 64 else np.add(counts, np.bincount(t, minlength=len(words)), out=counts)
+    to, order = _dealt(words, len(cuts) + 1)
+    spelled = list(words)
+    for key, a, b in _slices(to[order]):
+        some = [spelled[i] for i in order[a:b].tolist()]
+        rows.append((WORDS, key, 0, _zipped(np.array([len(some)], "<u4"), counts[order[a:b]].astype("<u4"), np.array([len(w) for w in some], "<u4"), b"".join(some))))
+    del words, tokens, spelled
+    yield batch()
+    block = Block(texts)
+    learnt = np.repeat(train, np.diff(np.r_[block.begins, len(block.bytes)]))
+    for part, at in enumerate(block.groups()):
+        contexts, last = block.contexts(at), block.bytes[at]
+        order, gram, first = ordered(contexts, last)
+        times = np.bincount(gram, learnt[at[order]], len(first)).astype("i8")
+        contexts, last = contexts[order[first]], last[order[first]]
+        for key, a, b in _slices(np.searchsorted(cuts, contexts, "right")):
+            rows.append((GRAMS, key, part, packed(contexts[a:b], last[a:b], times[a:b])))
+        yield batch()
 
 
 def _texts(column) -> list[bytes]:
     return [(t or "").encode().lower() for t in column.to_pylist()]
 
 
-def _packed(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
-
-
-def _count_block(block: pa.Table) -> pa.Table:
-    """(block, key, n) for every word of a block and (block, pair, grams, counts) for its grams; n and counts are those
-    in training texts."""
-    texts, train = _texts(block.column("text")), np.array(block.column("train").to_pylist(), bool)
-    words: Counter = Counter()
-    others: set = set()
-    for t, learn in zip(texts, train.tolist(), strict=True):
-        if learn:
-            words.update(t.split())
-            words[b""] += 1
-        else:
-            others.update(t.split())
-    marked = []
-    for some in _strides(texts):
-        gram, begins = _grams(texts[some])
-        gram <<= 1
-        gram |= np.repeat(train[some], np.diff(np.r_[begins, len(gram)]))
-        marked.append(gram)
-    marked = np.concatenate(marked)
-    marked.sort()
-    edges = np.flatnonzero(np.r_[True, marked[1:] != marked[:-1]])
-    times, marked = np.diff(np.r_[edges, len(marked)]), marked[edges]
-    grams, learnt = _summed(marked >> 1, times * (marked & 1))
-    del marked
-    rest = [w for w in others if w not in words]
-    keys = [*words, *rest, *([] if b"" in words else [b""])]
-    n = np.r_[np.fromiter(words.values(), "i8", len(words)), np.zeros(len(keys) - len(words), "i8")]
-    pairs, cuts = _by_pair(grams)
-    parts = [(grams[a:b] & (1 << INNER) - 1, learnt[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    lacking = lambda kind, rows: pa.nulls(rows, kind)
-    columns = {
-        "block": pa.array(np.full(len(keys) + len(pairs), block.column("block")[0].as_py()), pa.int64()),
-        "key": pa.concat_arrays([pa.array(keys, pa.binary()), lacking(pa.binary(), len(pairs))]),
-        "n": pa.concat_arrays([pa.array(n), lacking(pa.int64(), len(pairs))]),
-        "pair": pa.concat_arrays([lacking(pa.int64(), len(keys)), pa.array(pairs, pa.int64())]),
-        "grams": pa.concat_arrays([lacking(pa.binary(), len(keys)), pa.array([_packed(g, "<u4") for g, _ in parts], pa.binary())]),
-        "counts": pa.concat_arrays([lacking(pa.binary(), len(keys)), pa.array([_packed(c, "<u4") for _, c in parts], pa.binary())]),
-    }
-    return pa.table(columns)
-
-
-def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a sorted list and the sums of their counts."""
-    if not len(grams):
-        return grams, counts
-    edges = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    return grams[edges], np.add.reduceat(counts, edges)
-
-
-def _by_pair(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of sorted grams, and where each one's begin and end."""
-    pairs = grams >> INNER
-    cuts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(grams) else np.zeros(0, "i8")
-    return pairs[cuts], np.r_[cuts, len(grams)]
-
-
-def _merged(kind: str):
-    """Sums the counts of a pair's grams over some blocks. kind: of the counts that come in."""
-
-    def run(group: pa.Table) -> pa.Table:
-        grams = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("grams").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, kind) for x in group.column("counts").to_pylist()]).astype("i8")
-        order = np.argsort(grams, kind="stable")
-        grams, counts = _summed(grams[order], counts[order])
-        return pa.table({"pair": group.column("pair")[:1], "part": group.column("part")[:1], "grams": pa.array([_packed(grams, "<u4")], pa.binary()), "counts": pa.array([_packed(counts, "<i8")], pa.binary())})
-
-    return run
-
-
-def _heads(grams: np.ndarray, rest: int) -> np.ndarray:
-    """Where the grams under each child context begin and end; rest: context bytes below this node."""
-    head = grams >> 8 * rest
-    return np.r_[np.flatnonzero(np.r_[True, head[1:] != head[:-1]]), len(grams)]
-
-
-def _leaves(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of next bytes of each of a node's children, which are leaves, and the row of each gram."""
-    cuts = _heads(grams, 1)
-    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    table = np.zeros((len(cuts) - 1, 256), "i8")
-    table[row, grams & 0xFF] = counts
-    return table, row
-
-
-def _node(grams: np.ndarray, counts: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of next bytes in a context, and the log of its children's product at each decision."""
-    if rest == 1:
-        table, _ = _leaves(grams, counts)
-        return table.sum(0), log_kt(*decisions(table)).sum(0)
-    own, product = np.zeros(256, "i8"), np.zeros(255)
-    cuts = _heads(grams, rest)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        below, inner = _node(grams[a:b], counts[a:b], rest - 1)
-        own += below
-        product += mixed(log_kt(*decisions(below[None])), inner[None])[0][0]
-    return own, product
-
-
-def _logs(grams: np.ndarray, counts: np.ndarray, rest: int, added: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's last byte, given what the contexts above add and leave."""
-    own, product = _node(grams, counts, rest)
-    _, share = mixed(log_kt(*decisions(own[None])), product[None])
-    added, left = added + left * share[0] * _ones(own[None])[0], left * (1 - share[0])
-    if rest == 1:
-        table, row = _leaves(grams, counts)
-        return byte_logs(added + left * _ones(table))[row, grams & 0xFF]
-    cuts = _heads(grams, rest)
-    return np.concatenate([_logs(grams[a:b], counts[a:b], rest - 1, added, left) for a, b in zip(cuts, cuts[1:], strict=False)])
-
-
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["grams"], "<u4").astype("i8"), np.frombuffer(row["counts"], "<i8")
-
-
-def _subtrees(batches):
-    """Of two-byte contexts: counts of next bytes, and the log of their children's product at each decision."""
-    for batch in batches:
-        made = [_node(*_unpacked(r), DEPTH - 2) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array([c.tolist() for c, _ in made], pa.list_(pa.int64())), pa.array([p.tolist() for _, p in made], pa.list_(pa.float64()))], names=["pair", "counts", "children"])
-
-
-def _branch(group: pa.Table) -> pa.Table:
-    """Of a one-byte context, the same."""
-    counts, children = (np.array(group.column(c).to_pylist()) for c in ("counts", "children"))
-    log_all, _ = mixed(log_kt(*decisions(counts)), children)
-    return pa.table({"last": group.column("last")[:1], "counts": pa.array([counts.sum(0).tolist()], pa.list_(pa.int64())), "children": pa.array([log_all.sum(0).tolist()], pa.list_(pa.float64()))})
-
-
-def _ones(counts: np.ndarray) -> np.ndarray:
-    zeros, ones = decisions(counts)
-    return (ones + 0.5) / (zeros + ones + 1)
-
-
-def _top(branches: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each last byte: what the empty and the one-byte context add to a one's probability, and the share left below."""
-    if not branches:
-        return {}
-    last = [r["last"] for r in branches]
-    counts, children = np.array([r["counts"] for r in branches], "i8").reshape(-1, 256), np.array([r["children"] for r in branches]).reshape(-1, 255)
-    log_all, own = mixed(log_kt(*decisions(counts)), children)
-    whole = counts.sum(0, keepdims=True)
-    _, root = mixed(log_kt(*decisions(whole)), log_all.sum(0, keepdims=True))
-    added = root * _ones(whole) + (1 - root) * own * _ones(counts)
-    left = (1 - root) * (1 - own)
-    return {x: (added[i], left[i]) for i, x in enumerate(last)}
-
-
-def gram_scores(held: DataFrame, blocks: int) -> DataFrame:
-    """pair, all_grams and all_logs: all grams under a pair and log10 probabilities of their last bytes, from the blocks'
-    (block, pair, grams, counts). Counts may be 0."""
-    parts, kind, level = held.withColumn("part", F.col("block")), "<u4", blocks
-    while True:
-        level = -(-level // FAN_IN)
-        parts = parts.select("pair", F.floor(F.col("part") / FAN_IN).cast("long").alias("part"), "grams", "counts").groupBy("pair", "part").applyInArrow(_merged(kind), "pair long, part long, grams binary, counts binary")
-        kind = "<i8"
-        if level == 1:
-            break
-    merged = durable(parts.select("pair", "grams", "counts"), "grams")
-    pairs = merged.mapInArrow(_subtrees, "pair long, counts array<long>, children array<double>")
-    branches = pairs.withColumn("last", F.col("pair").bitwiseAND(0xFF)).groupBy("last").applyInArrow(_branch, "last long, counts array<long>, children array<double>")
-    top = merged.sparkSession.sparkContext.broadcast(_top(branches.collect()))  # at most 256 rows of 511 numbers
-
-    def scored(batches):
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct grams of a range with their counts, and the numbers of each row's grams among them."""
+    found = [unpacked(p) for p in group.column("payload").to_pylist()]
+    contexts, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, gram, first = ordered(contexts, last)
+    number = np.empty(len(order), "i8")
+    number[order] = gram
+    sums = np.bincount(gram, counts[order], len(first)).astype("i8")
+    return contexts[order[first]], last[order[first]], sums, np.split(number, np.cumsum([len(f[0]) for f in found])[:-1])
+
+
+class Range:
+    """The trees over one range's grams, which lie between two cuts (None: the end of all contexts)."""
+
+    def __init__(self, contexts: np.ndarray, last: np.ndarray, counts: np.ndarray, low: int | None, high: int | None) -> None:
+        opens = np.r_[True, contexts[1:] != contexts[:-1]]
+        nodes, key = contexts[opens], np.cumsum(opens) - 1 << 8 | last
+        #: by depth: node number and byte of each row, in order, its count, and the row above it that it belongs to
+        self.keys, self.counts, self.above = [key], [counts], []
+        #: by depth: (node number, node) of those that a cut runs through
+        self.cut: list[list[tuple[int, int]]] = [[]]
+        for depth in range(DEPTH - 1, -1, -1):
+            nodes = nodes >> np.uint64(8)
+            opens = np.r_[True, nodes[1:] != nodes[:-1]]
+            key = (np.cumsum(opens) - 1)[self.keys[0] >> 8] << 8 | self.keys[0] & 0xFF
+            nodes = nodes[opens]
+            order = np.argsort(key, kind="stable")
+            opens = np.r_[True, key[order][1:] != key[order][:-1]]
+            above = np.empty(len(key), "i8")
+            above[order] = np.cumsum(opens) - 1
+            self.above.insert(0, above)
+            self.counts.insert(0, np.bincount(above, self.counts[0]).astype("i8"))
+            self.keys.insert(0, key[order][opens])
+            below = 8 * (DEPTH - depth)
+            through = sorted({c >> below for c in (low, high) if c is not None and c & (1 << below) - 1})
+            at = [int(np.searchsorted(nodes, np.uint64(node))) for node in through]
+            self.cut.insert(0, [(i, node) for i, node in zip(at, through, strict=True) if i < len(nodes) and int(nodes[i]) == node])
+
+    def mixtures(self, level: int, given: dict | None = None) -> tuple[list[tuple], list[tuple]]:
+        """From the longest contexts up, at one decision of a byte: (run of each row, first row of each run, share,
+        estimate, run above) by depth, a run being the rows of one node and decision; and of cut nodes their sums
+        (depth, node, place, zeros, ones, product). given: shares and estimates of cut nodes by (depth, node) and place."""
+        made: list[tuple] = []
+        sums: list[tuple] = []
+        for depth in range(DEPTH, -1, -1):
+            key, counts = self.keys[depth], self.counts[depth]
+            opens = np.r_[True, key[1:] >> 8 - level != key[:-1] >> 8 - level]
+            run, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
+            total = np.add.reduceat(counts, first)
+            ones = np.add.reduceat(np.where(key >> 7 - level & 1, counts, 0), first)
+            own, estimate = log_kt(total - ones, ones), (ones + 0.5) / (total + 1)
+            if depth == DEPTH:
+                whole, share = own, np.ones(len(own))
+            else:
+                begins = made[0][1]
+                above = run[self.above[depth][begins]]
+                for at, _ in self.cut[depth + 1]:
+                    whole = np.where(self.keys[depth + 1][begins] >> 8 == at, 0, whole)
+                product = np.bincount(above, whole, len(first))
+                made[0] = (*made[0][:4], above)
+                whole, share = mixed(own, product)
+                for at, node in self.cut[depth]:
+                    here = np.flatnonzero(key[first] >> 8 == at)
+                    place = (1 << level | (key[first[here]] & 0xFF) >> 8 - level).astype("i4")
+                    if given is None:
+                        sums.append((depth, node, place, (total - ones)[here], ones[here], product[here]))
+                    else:
+                        share[here], estimate[here] = (x[place] for x in given[depth, node])
+            made.insert(0, (run, first, share, estimate, None))
+        return made, sums
+
+    def cut_nodes(self) -> list[tuple]:
+        """(depth, node, place, zeros, ones, product) of the nodes that a cut runs through, over all decisions."""
+        found: dict = {}
+        for level in range(8):
+            for depth, node, *values in self.mixtures(level)[1]:
+                found.setdefault((depth, node), []).append(values)
+        return [(depth, node, *(np.concatenate(x) for x in zip(*parts, strict=True))) for (depth, node), parts in found.items()]
+
+    def logs(self, given: dict) -> np.ndarray:
+        """log10 probability of each gram's byte after its context."""
+        out = np.zeros(len(self.keys[DEPTH]))
+        for level in range(8):
+            made, _ = self.mixtures(level, given)
+            added, left = np.zeros(1), np.ones(1)
+            for depth, (run, first, share, estimate, above) in enumerate(made):
+                up = above if depth else np.zeros(len(first), "i8")
+                added, left = added[up] + left[up] * share * estimate, left[up] * (1 - share)
+            ones = added[run]
+            out += np.log10(np.where(self.keys[DEPTH] >> 7 - level & 1, ones, 1 - ones))
+        return out
+
+
+def _bounds(cuts: np.ndarray, key: int) -> tuple[int | None, int | None]:
+    return (int(cuts[key - 1]) if key else None), (int(cuts[key]) if key < len(cuts) else None)
+
+
+def _weighed(nodes: np.ndarray, place: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    """Sums of values over equal nodes, which are numbered, and places."""
+    size = 256 * (int(nodes.max()) + 1)
+    return [np.bincount(nodes * 256 + place, x, size).reshape(-1, 256) for x in sums]
+
+
+def _finished(zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixture, share and estimate of nodes by place; places without counts have the mixture 1."""
+    whole, share = mixed(log_kt(zeros, ones), product)
+    return whole, share, (ones + 0.5) / (zeros + ones + 1)
+
+
+def _summed_up(group: pa.Table) -> pa.Table:
+    """Cut nodes of two bytes and more that begin with the same two: shares and estimates of each range's nodes, and (with
+    no range) what the nodes of two bytes add to the product of that of one."""
+    depth, key = (group.column(c).to_numpy() for c in ("depth", "key"))
+    node = group.column("node").to_numpy().view("u8")
+    flat = {c: group.column(c).combine_chunks() for c in ("place", "zeros", "ones", "product")}
+    sizes = np.diff(flat["place"].offsets.to_numpy())
+    values = {c: x.flatten().to_numpy() for c, x in flat.items()}
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    rows: list[tuple] = []
+    came: tuple[np.ndarray, np.ndarray] | None = None
+    for d in range(DEPTH - 1, 1, -1):
+        here = np.flatnonzero(depth == d)
+        if not len(here):
+            continue
+        nodes, number = np.unique(node[here], return_inverse=True)
+        numbered = np.full(len(sizes), -1, "i8")
+        numbered[here] = number
+        cell = numbered[row] >= 0
+        zeros, ones, product = _weighed(numbered[row][cell], values["place"][cell], *(values[c][cell] for c in ("zeros", "ones", "product")))
+        if came is not None:
+            np.add.at(product, np.searchsorted(nodes, came[0] >> np.uint64(8)), came[1])
+        whole, share, estimate = _finished(zeros, ones, product)
+        came = nodes, whole
+        for i, n in zip(here.tolist(), number.tolist(), strict=True):
+            place = values["place"][row == i]
+            rows.append((int(key[i]), d, int(node[i : i + 1].view("i8")[0]), place, share[n][place], estimate[n][place]))
+    nodes, whole = came
+    for n, w in zip((nodes >> np.uint64(8)).tolist(), whole, strict=True):
+        place = np.flatnonzero(w)
+        rows.append((None, 1, n, place.astype("i4"), w[place], np.zeros(len(place))))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "depth", "node", "place", "share", "estimate"), zip(*rows, strict=True), kinds, strict=True)})
+
+
+def _top(nodes: DataFrame, weights: DataFrame) -> dict:
+    """Shares and estimates of the nodes of one byte and none that cuts run through: at most 257, of 255 decisions each."""
+    own = nodes.filter("depth < 2").select("depth", "node", F.explode(F.arrays_zip("place", "zeros", "ones", "product")).alias("x"))
+    added = weights.filter(F.col("key").isNull()).select("depth", "node", F.explode(F.arrays_zip("place", "share")).alias("x"))
+    added = added.select("depth", "node", "x.place", F.lit(0.0).alias("zeros"), F.lit(0.0).alias("ones"), F.col("x.share").alias("product"))
+    sums = own.select("depth", "node", "x.*").union(added).groupBy("depth", "node", "place").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).collect()
+    made: dict = {}
+    held: dict = {}
+    for r in sums:
+        held.setdefault((r["depth"], r["node"]), np.zeros((3, 256)))[:, r["place"]] = r["zeros"], r["ones"], r["product"]
+    for at in sorted(held, reverse=True):
+        zeros, ones, product = held[at]
+        whole, *made[at] = _finished(zeros, ones, product)
+        if at[0]:
+            held[0, 0][2] += whole
+    return made
+
+
+def _total(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+
+
+def _cuts(texts: DataFrame, total: int, range_bytes: int) -> np.ndarray:
+    """Contexts that cut the corpus's positions into ranges of about range_bytes, from a sample of all texts' positions."""
+    size = max(range_bytes, total // MOST_RANGES)
+    step, tasks = max(1, size // SAMPLES), max(1, total // size * SAMPLES >> 20)
+    if total <= size:
+        return np.zeros(0, "u8")
+
+    def sampled(batches):
+        at = TaskContext.get().partitionId() * 7919 % step  # how far the next sampled position is
         for batch in batches:
-            logs = [_packed(_logs(*_unpacked(r), DEPTH - 2, *top.value[r["pair"] & 0xFF]), "<f4") for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("grams"), pa.array(logs, pa.binary())], names=["pair", "all_grams", "all_logs"])
-
-    return merged.mapInArrow(scored, "pair long, all_grams binary, all_logs binary")
+            found = []
+            for t in _texts(batch.column(0)):
+                padded = bytes([EDGE]) * DEPTH + t
+                while at <= len(t):
+                    found.append(int.from_bytes(padded[at : at + DEPTH][::-1], "big") - (1 << 63))
+                    at += step
+                at -= len(t) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
+
+    def thinned(batches):
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-seen % SAMPLES, batch.num_rows, SAMPLES)))
+            seen += batch.num_rows
 
+    found = texts.select("text").mapInArrow(sampled, "at long").repartitionByRange(tasks, "at").sortWithinPartitions("at").mapInArrow(thinned, "at long")
+    cuts = np.unique(np.array([r["at"] for r in found.collect()], "i8"))
+    return cuts.view("u8") ^ np.uint64(1 << 63)
 
-def _picked(batches):
-    """Of all logs under a pair, those of one block's grams."""
-    for batch in batches:
-        logs = []
-        for r in batch.to_pylist():
-            own, every = np.frombuffer(r["grams"], "<u4"), np.frombuffer(r["all_grams"], "<u4")
-            logs.append(np.frombuffer(r["all_logs"], "<f4")[np.searchsorted(every, own)].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("pair"), batch.column("grams"), pa.array(logs, pa.binary())], names=["block", "pair", "grams", "logs"])
 
+def _in_blocks(texts: DataFrame, cuts: np.ndarray, block_bytes: int) -> DataFrame:
+    """The PIECE rows of all texts. A block holds texts of one task, as they come, so that equal rows are nothing special."""
+    shared = texts.sparkSession.sparkContext.broadcast(cuts)  # at most MOST_RANGES, of 8 bytes
 
-def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            ends = np.cumsum([len(t or "") + 1 for t in batch.column(1).to_pylist()])
+            at = 0
+            while at < batch.num_rows:
+                room = (ends[at - 1] if at else 0) + max(1, block_bytes - size)
+                upto = max(at + (not size), int(np.searchsorted(ends, room, "right")))
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1] - (ends[at - 1] if at else 0)) if upto > at else 0
+                if upto < batch.num_rows or size >= block_bytes:
+                    yield from _pieces(number, pa.Table.from_batches(held), shared.value)
+                    number, held, size = number + 1, [], 0
+                at = upto
+        if size:
+            yield from _pieces(number, pa.Table.from_batches(held), shared.value)
+
+    return texts.mapInArrow(run, PIECE)
+
+
+def _word_answers(group: pa.Table) -> pa.Table:
+    """To each block the training counts of the words that it sent; and once their sum and how many are not 0."""
+    number: dict[bytes, int] = {}
+    sent = []
+    for payload in group.column("payload").to_pylist():
+        data = _unzipped(payload)
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        counts, sizes = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n)
+        ends = 4 + 8 * n + np.cumsum(sizes, dtype="i8")
+        ids = np.fromiter((number.setdefault(data[e - k : e], len(number)) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)), "i8", n)
+        sent.append((ids, counts))
+    sums = np.zeros(len(number), "i8")
+    for ids, counts in sent:
+        sums[ids] += counts
+    rows = len(sent)
+    payloads = [_zipped(sums[ids].astype("<i8")) for ids, _ in sent]
+    return pa.table({
+        "block": pa.concat_arrays([group.column("block").combine_chunks(), pa.array([-1], pa.int64())]),
+        "kind": pa.array([WORDS] * (rows + 1), pa.int32()),
+        "key": pa.array([group.column("key")[0].as_py()] * (rows + 1), pa.int32()),
+        "part": pa.array([0] * (rows + 1), pa.int32()),
+        "payload": pa.array([*payloads, b""], pa.binary()),
+        "n": pa.array([0] * rows + [int(sums.sum())], pa.int64()),
+        "v": pa.array([0] * rows + [int((sums > 0).sum())], pa.int64()),
+    })
+
+
+def _gram_answers(grams: DataFrame, cuts: np.ndarray, tasks: int) -> DataFrame:
+    """PIECE rows with the log10 probabilities of the grams that each block sent."""
+    spark = grams.sparkSession
+    shared = spark.sparkContext.broadcast(cuts)
+    dealt = grams.repartition(tasks, "key")
+
+    def cut_nodes(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
+        contexts, last, counts, _ = _merged(group)
+        found = Range(contexts, last, counts, *_bounds(shared.value, key)).cut_nodes()
+        columns = list(zip(*found, strict=True)) if found else [()] * 6
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3)
+        columns[1] = [n - (1 << 64) if n >> 63 else n for n in columns[1]]
+        names = ("depth", "node", "place", "zeros", "ones", "product")
+        return pa.table({"key": pa.array([key] * len(found), pa.int32())} | {n: pa.array([x.astype("f8") if n in ("zeros", "ones") else x for x in c], k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    top, weights = {}, None
+    if len(cuts):
+        nodes = durable(dealt.groupBy("key").applyInArrow(cut_nodes, CUT_NODE), "cut-nodes")
+        head = F.expr("shiftrightunsigned(node, 8 * (depth - 2))")
+        deep = nodes.filter("depth >= 2").withColumn("head", head)
+        weights = durable(deep.groupBy("head").applyInArrow(_summed_up, "key int, depth int, node long, place array<int>, share array<double>, estimate array<double>"), "cut-weights")
+        top = _top(nodes, weights)
+    known = spark.sparkContext.broadcast(top)  # at most 257 nodes of 255 decisions
+
+    def answers(group: pa.Table, held: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in (("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()))})
+        contexts, last, counts, numbers = _merged(group)
+        given = dict(known.value)
+        for r in held.to_pylist():
+            share, estimate = np.zeros(256), np.zeros(256)
+            share[r["place"]], estimate[r["place"]] = r["share"], r["estimate"]
+            given[r["depth"], r["node"] & (1 << 64) - 1] = share, estimate
+        logs = Range(contexts, last, counts, *_bounds(shared.value, group.column("key")[0].as_py())).logs(given).astype("<f4")
+        payloads = pa.array([_zipped(logs[n]) for n in numbers], pa.binary())
+        return group.select(["block", "kind", "key", "part"]).append_column("payload", payloads)
+
+    if weights is None:
+        return dealt.groupBy("key").applyInArrow(lambda group: answers(group, pa.table({})), PIECE)
+    return dealt.groupBy("key").cogroup(weights.filter(F.col("key").isNotNull()).groupBy("key")).applyInArrow(answers, PIECE)
+
+
+def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row.
 
-    train: a condition, true for the rows whose texts the model learns from. Texts are lower-cased from A to Z; score
-    is the log10 probability of a text's bytes and end, bits_per_byte its code length in bits over its bytes and end.
-    base_score is that of its words and end under add-half unigram counts. A null text is empty, an empty one has its
-    end alone. Without training texts all decisions are even. Repeated rows count, and are scored, each time. An empty
-    table gives an empty one.
+    train: a condition, true for the rows whose texts the model learns from (null: false). Texts are lower-cased from A
+    to Z; score is the log10 probability of a text's bytes and end, bits_per_byte its code length in bits over its bytes
+    and end. base_score is that of its words and end under add-half unigram counts. A null text is empty, an empty one
+    has its end alone, and one longer than a block is a block by itself. Without training texts all decisions are even.
+    Repeated rows and ids, null ones too, count and are scored each time. An empty table gives an empty one; other
+    columns are not looked at.
     """
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    counted = durable(texts.groupBy("block").applyInArrow(_count_block, "block long, key binary, n long, pair long, grams binary, counts binary"), "block-counts")
-    held, packed = counted.filter(F.col("pair").isNull()).select("block", "key", "n"), counted.filter(F.col("pair").isNotNull()).select("block", "pair", "grams", "counts")
-    words = durable(held.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    base = F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (distinct + 1)))
-    of_words = held.select("block", "key").join(words.select("key", base.alias("log"), (F.col("n") > 0).alias("known")), "key")
-    of_grams = packed.select("block", "pair", "grams").join(gram_scores(packed, blocks), "pair").select("block", "pair", "grams", "all_grams", "all_logs").mapInArrow(_picked, "block long, pair long, grams binary, logs binary")
-    back = of_words.unionByName(of_grams, allowMissingColumns=True)
+    total = _total(texts)
+    cuts = _cuts(texts, total, range_bytes)
+    # Tables of few files are dealt out, so that all cores take part.
+    wanted = min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20)))
+    spread = texts.repartition(wanted) if texts.rdd.getNumPartitions() < wanted else texts
+    pieces = durable(_in_blocks(spread, cuts, block_bytes), "pieces")
+    tasks = min(len(cuts) + 1, 100_000)
+    of = lambda kind: pieces.filter(F.col("kind") == kind)
     kind = df.schema[id_col].dataType.simpleString()
-
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+    words = durable(of(WORDS).repartition(tasks, "key").groupBy("key").applyInArrow(_word_answers, PIECE + ", n long, v long"), "word-answers")
+    n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    back = words.filter("block >= 0").select("block", "kind", "key", "part", "payload").union(_gram_answers(of(GRAMS), cuts, tasks))
+    log_all, ranges = math.log10(n_train + 0.5 * (distinct + 1)), len(cuts) + 1
+
+    def run(sent: pa.Table, answers: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(sent.column("payload")[0].as_py()) as stream:
+            docs = stream.read_all()
         texts = _texts(docs.column("text"))
-        is_word = known.column("pair").is_null()
-        own_words, own_grams = known.filter(is_word), known.filter(pc.invert(is_word))
-        number = {w: i for i, w in enumerate(own_words.column("key").to_pylist())}
-        logs, met = own_words.column("log").to_numpy(), own_words.column("known").to_numpy()
-        n_tokens, n_known, base = [], [], []
-        for t in texts:
-            tokens = t.split()
-            tokens.append(b"")
-            at = np.fromiter(map(number.__getitem__, tokens), "i4", len(tokens))
-            n_tokens.append(len(tokens))
-            n_known.append(int(np.count_nonzero(met[at])))
-            base.append(float(logs[at].sum()))
-        grams = [(p << INNER) + np.frombuffer(g, "<u4").astype("i8") for p, g in zip(own_grams.column("pair").to_pylist(), own_grams.column("grams").to_pylist(), strict=True)]
-        table = Table(np.concatenate(grams), np.concatenate([np.frombuffer(x, "<f4") for x in own_grams.column("logs").to_pylist()]))
-        scores = np.zeros(len(texts))
-        for some in _strides(texts):
-            gram, begins = _grams(texts[some])
-            scores[some] = np.add.reduceat(table[gram].astype("f8"), begins)
+        order = sorted(range(answers.num_rows), key=list(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "key")), strict=True)).__getitem__)
+        payloads, parts = answers.column("payload"), answers.column("part").to_pylist()
+        kinds = answers.column("kind").to_pylist()
+        number, tokens = _numbered(texts)
+        counts = np.empty(len(number), "i8")
+        counts[_dealt(number, ranges)[1]] = np.concatenate([np.frombuffer(_unzipped(payloads[i].as_py()), "<i8") for i in order if kinds[i] == WORDS])
+        logs = np.log10(counts + 0.5)
+        n_tokens = np.array([len(t) for t in tokens], "i8")
+        base = np.array([logs[t].sum() for t in tokens]) - n_tokens * log_all
+        n_known = np.array([np.count_nonzero(counts[t]) for t in tokens], "i8")
+        del number, tokens
+        block, scores = Block(texts), np.zeros(len(texts))
+        for part, at in enumerate(block.groups()):
+            logs = np.concatenate([np.frombuffer(_unzipped(payloads[i].as_py()), "<f4") for i in order if kinds[i] == GRAMS and parts[i] == part])
+            by, gram, _ = ordered(block.contexts(at), block.bytes[at])
+            scores += np.bincount(np.searchsorted(block.begins, at[by], "right") - 1, logs[gram], len(texts))
         n_bytes = np.array([len(t) for t in texts], "i8")
-        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base), "score": pa.array(scores), "n_bytes": pa.array(n_bytes), "bits_per_byte": pa.array(-scores / LOG10_2 / (n_bytes + 1))})
+        made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": scores, "n_bytes": n_bytes, "bits_per_byte": -scores / LOG10_2 / (n_bytes + 1)}
+        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train")} | {n: pa.array(x) for n, x in made.items()})
 
-    made = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
+    made = of(DOCS).repartition(max(1, -(-total // block_bytes)), "block").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return made.withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 

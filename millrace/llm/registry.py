@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from millrace.llm import bpe, lm, packing, quality, rules, search, sharding, simhash, tokens, urls
 
 
@@ -18,9 +17,8 @@ def queries() -> dict:
         "op8_pattern_packing": packing.op8_pattern_packing,
         "op9_kd_sharding": sharding.op9_kd_sharding,
         "op10_exact_top_k": search.op10_exact_top_k,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(search.ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(search.ORACLES)

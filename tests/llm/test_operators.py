@@ -212,6 +212,30 @@ def test_language_model(spark):
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("range_bytes", [32, 200])
+def test_language_model_over_many_ranges(spark, range_bytes):
+    rng = np.random.default_rng(range_bytes)
+    words = ["the", "cat", "cats", "é", "of", "a", "zzzzzzzzzzzzzzz", "Sat"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 14)))) for i in range(50)] + [(50, None), (3, "the cat sat"), (None, "the cat of the cat"), (None, "the cat of the cat")] + [(100 + i, "same row of a text") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [i is None or i % 3 != 1 for i, _ in rows]
+    made = lm.score(df, F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True)), block_bytes=150, range_bytes=range_bytes).collect()
+    texts = [(t or "").encode().lower() for _, t in rows]
+    expected = plain_tree_scores(texts, train)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (i, n, s), r in zip(sorted(((i, len(t), s) for (i, _), t, s in zip(rows, texts, expected, strict=True)), key=key), sorted(made, key=lambda r: key((r["doc_id"], r["n_bytes"]))), strict=True):
+        assert (r["doc_id"], r["n_bytes"]) == (i, n) and r["score"] == pytest.approx(s, rel=1e-6)
+
+
+def test_grams_travel_whole():
+    rng = np.random.default_rng(1)
+    contexts = np.unique(np.r_[rng.integers(0, 1 << 64, 500, "u8"), rng.integers(0, 1 << 16, 500).astype("u8"), np.array([0, 2**64 - 1], "u8")])
+    contexts = np.repeat(contexts, 2)
+    last, counts = np.tile(np.array([3, 250], "u1"), len(contexts) // 2), rng.integers(0, 600, len(contexts))
+    for got, put in zip(lm.unpacked(lm.packed(contexts, last, counts)), (contexts, last, counts), strict=True):
+        assert (got == put).all()
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
