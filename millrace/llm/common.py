@@ -43,6 +43,11 @@ def forget(made: DataFrame) -> None:
     path.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage, so that Spark deletes shuffle files that no plan refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows and bytes: whole texts are long, and Python holds one batch at a time."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -7,11 +7,11 @@ trees learn from the counts of all training texts; the code length of a text fol
 A gram is a byte with the DEPTH bytes before it. Grams are ordered by their contexts, nearest byte first, so that every
 node of the trees is a run of grams, and that order is cut into ranges of about RANGE_BYTES positions of the corpus:
 
-1. Each task packs its texts into blocks of about BLOCK_BYTES and writes, for every range, the distinct grams that a
-   block has there, with their training counts.
+1. Texts are packed into blocks of about BLOCK_BYTES, as they come. A block sends every range the distinct grams that it
+   has there, with their training counts.
 2. A range gathers its grams from all blocks and mixes the nodes that lie inside it, bottom up. Nodes that a cut runs
    through, at most one of each depth at each cut, are summed up over their ranges by the bytes nearest to the prediction.
-3. With those nodes' weights a range predicts its grams, top down, and answers every block with the probabilities of the
+3. With those nodes' weights a range predicts its grams, top down, and answers every block with the code lengths of the
    grams that the block sent, in the block's order.
 4. A block puts its own grams in order again and adds up the answers over its texts.
 
@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, held_out, small_batches, table
+from millrace.llm.common import durable, forget, held_out, release, small_batches, table
 
 #: Bytes of the longest context; a context fits 64 bits.
 DEPTH = 8
@@ -45,10 +46,15 @@ EDGE = 0xFF
 GROUP = 2 << 20
 #: Counts up to which gamma functions are looked up, and those up to which pairs are.
 TABLED, PAIRED = 1 << 13, 64
-DOCS, GRAMS, WORDS = 0, 1, 2
+#: Parts of a bit in which code lengths travel; longer ones than 16 bits of these hold travel whole.
+STEPS = 2048
+#: Cut nodes' weights, in rows, that are broadcast at most; beyond, they meet the ranges by a shuffle.
+BROADCAST_ROWS = 20_000
+GRAMS, WORDS, CUT = 1, 2, 3
 LOG10_2, LN_HALF = math.log10(2), math.log(0.5)
-PIECE = "block long, kind int, key int, part int, payload binary"
-CUT_NODE = "key int, depth int, node long, place array<int>, zeros array<double>, ones array<double>, product array<double>"
+BLOCK = "block long, payload binary"
+PIECE = "kind int, key int, block long, part int, payload binary"
+_REST = np.uint64((1 << 56) - 1)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -84,96 +90,72 @@ def mixed(log_own: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Block:
-    """The bytes of some texts, with DEPTH edges before and one after each, and their grams group by group."""
+    """The bytes of some texts, with DEPTH edges before and one after each, and their grams byte by byte."""
 
     def __init__(self, texts: list[bytes]) -> None:
         edge = bytes([EDGE])
         self.bytes = np.frombuffer(b"".join(x for t in texts for x in (edge * DEPTH, t, edge)), "u1")
         sizes = np.array([len(t) + DEPTH + 1 for t in texts], "i8")
         self.begins = np.r_[0, np.cumsum(sizes)[:-1]].astype("i8")
-        self.spoken = np.ones(len(self.bytes), bool)
-        for i in range(DEPTH):
-            self.spoken[self.begins + i] = False
         # the context of place p is the eight bytes that follow place n - p in the reversed text
-        back = np.r_[self.bytes[::-1], np.zeros(8, "u1")]
-        self._contexts = np.ndarray((len(self.bytes) + 1,), ">u8", back.tobytes(), strides=(1,))
+        self._contexts = np.ndarray((len(self.bytes) + 1,), ">u8", self.bytes[::-1].tobytes() + bytes(8), strides=(1,))
 
-    def contexts(self, at: np.ndarray) -> np.ndarray:
-        return self._contexts[len(self.bytes) - at].astype("u8")
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """Of the places of bytes: their contexts but for the nearest byte, and the byte itself below."""
+        return self._contexts[len(self.bytes) - at].astype("u8") << np.uint64(8) | self.bytes[at]
 
-    def groups(self) -> Iterator[np.ndarray]:
-        """Places of predicted bytes, group by group in the order of the bytes before them."""
+    def groups(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each byte that comes before another, and the places of those that it comes before."""
         before = np.r_[np.uint8(0), self.bytes[:-1]]
-        counts = np.bincount(before[self.spoken], minlength=256)
-        chosen, size = np.zeros(256, bool), 0
+        spoken = np.ones(len(before), bool)
+        for i in range(DEPTH):
+            spoken[self.begins + i] = False
+        counts = np.bincount(before, minlength=256)
+        group, number, size = np.zeros(256, "u1"), 0, 0
         for byte in range(256):
             if size and size + counts[byte] > GROUP:
-                yield np.flatnonzero(chosen[before] & self.spoken)
-                chosen[:], size = False, 0
-            chosen[byte], size = True, size + counts[byte]
-        if size:
-            yield np.flatnonzero(chosen[before] & self.spoken)
-
-
-def ordered(contexts: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by context and last byte, the numbers of distinct grams along it, and where each first comes."""
-    by_context = np.argsort(contexts)
-    held = contexts[by_context]
-    rank = np.cumsum(np.r_[False, held[1:] != held[:-1]])
-    key = rank << 8 | last[by_context]
-    again = np.argsort(key)
-    key = key[again]
-    opens = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    return by_context[again], np.cumsum(opens) - 1, np.flatnonzero(opens)
-
-
-def packed(contexts: np.ndarray, last: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ordered grams: of each context the bytes from the first one on that differs from the gram's before it."""
-    n = len(contexts)
-    planes = contexts.astype(">u8").view("u1").reshape(n, 8)
-    kept = np.ones((n, 8), bool)
-    kept[1:] = np.logical_or.accumulate(planes[1:] != planes[:-1], axis=1)
-    small = np.minimum(counts, 255).astype("u1")
-    parts = (np.array([n], "<u4"), (8 - kept.sum(1)).astype("u1"), last, small, planes[kept], counts[counts >= 255].astype("<u4"))
-    return pa.compress(b"".join(p.tobytes() for p in parts), "zstd", asbytes=True) + sum(p.nbytes for p in parts).to_bytes(4, "little")
-
-
-def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = pa.decompress(payload[:-4], int.from_bytes(payload[-4:], "little"), "zstd", asbytes=True)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    shared, last, small = (np.frombuffer(data, "u1", n, 4 + i * n) for i in range(3))
-    kept = np.arange(8)[None, :] >= shared[:, None]
-    planes, given = np.zeros((n, 8), "u1"), int(kept.sum())
-    planes[kept] = np.frombuffer(data, "u1", given, 4 + 3 * n)
-    for j in range(8):
-        planes[:, j] = planes[np.maximum.accumulate(np.where(kept[:, j], np.arange(n), 0)), j]
-    counts = small.astype("i8")
-    counts[small == 255] = np.frombuffer(data, "<u4", offset=4 + 3 * n + given)
-    return planes.view(">u8").ravel().astype("u8"), last, counts
-
-
-def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """Words of some texts by first appearance, the text's end being the empty word; and each text's tokens as numbers."""
-    number: dict[bytes, int] = {}
-    tokens = []
-    for t in texts:
-        words = t.split()
-        words.append(b"")
-        tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "i4", len(words)))
-    return number, tokens
-
-
-def _dealt(words: dict[bytes, int], ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each word, and the order by range."""
-    to = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in words), "i8", len(words))
-    return to, np.argsort(to, kind="stable")
-
-
-def _slices(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Runs of equal values: value, begin, end."""
-    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, "i8")
-    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-        yield int(to[a]), a, b
+                number, size = number + 1, 0
+            group[byte], size = number, size + counts[byte]
+        of = group[before]
+        of[~spoken] = 255  # there are fewer groups than that, as GROUP bytes make one
+        for k in range(min(number, 254) + 1):
+            at = np.flatnonzero(of == k)
+            first = before[at]
+            if len(at) and first.min() == first.max():
+                yield int(first[0]), at
+                continue
+            at = at[np.argsort(first, kind="stable")]
+            held = np.bincount(first, minlength=256)
+            ends = np.cumsum(held)
+            for byte in np.flatnonzero(held).tolist():
+                yield byte, at[ends[byte] - held[byte] : ends[byte]]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each comes."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def _learnt(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each comes in training texts."""
+    seen, counts = _counted(keys[train])
+    other, _ = _counted(keys[~train])
+    both = np.concatenate([seen, other])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    kept = np.r_[True, both[1:] != both[:-1]] if len(both) else np.zeros(0, bool)
+    return both[kept], np.r_[counts, np.zeros(len(other), "i8")][order[kept]]
+
+
+def _cut_up(byte: int, keys: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Range, begin and end of the pieces of ordered keys after one byte."""
+    low, high = np.searchsorted(cuts, np.uint64(byte << 56)), np.searchsorted(cuts, np.uint64(byte << 56) | _REST, "right")
+    ends = [0, *np.searchsorted(keys, cuts[low:high] << np.uint64(8)).tolist(), len(keys)]
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        if b > a:
+            yield int(low) + i, a, b
 
 
 def _zipped(*parts: np.ndarray | bytes) -> bytes:
@@ -185,58 +167,147 @@ def _unzipped(payload: bytes) -> bytes:
     return pa.decompress(payload[:-8], int.from_bytes(payload[-8:], "little"), "zstd", asbytes=True)
 
 
-def _pieces(number: int, docs: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """PIECE rows of a block: its documents, and its grams and words by range."""
-    rows: list[tuple] = []
+def packed(byte: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ordered grams after one byte: of each key the bytes from the first one on that differs from the key before it."""
+    n = len(keys)
+    differ = np.r_[np.uint64(2**64 - 1), keys[1:] ^ keys[:-1]]
+    kept = np.zeros(n, "u1")
+    for j in range(8):
+        kept += differ >= np.uint64(1 << 8 * j)
+    planes = keys.astype(">u8").view("u1").reshape(n, 8)
+    given = planes[np.arange(8)[None, :] >= 8 - kept[:, None].astype("i1")]
+    return _zipped(np.array([n, byte], "<u4"), kept, np.minimum(counts, 255).astype("u1"), given, counts[counts >= 255].astype("<u4"))
+
+
+def unpacked(payload: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    data = _unzipped(payload)
+    n, byte = np.frombuffer(data, "<u4", 2).tolist()
+    kept, small = np.frombuffer(data, "u1", n, 8), np.frombuffer(data, "u1", n, 8 + n)
+    mask = np.arange(8)[None, :] >= 8 - kept[:, None].astype("i1")
+    given = int(kept.sum(dtype="i8"))
+    planes = np.zeros((n, 8), "u1")
+    planes[mask] = np.frombuffer(data, "u1", given, 8 + 2 * n)
+    for j in range(7):
+        at = np.flatnonzero(mask[:, j])
+        planes[:, j] = np.repeat(planes[at, j], np.diff(np.r_[at, n]))
+    counts = small.astype("i8")
+    counts[small == 255] = np.frombuffer(data, "<u4", offset=8 + 2 * n + given)
+    return byte, planes.view(">u8").ravel().astype("u8"), counts
 
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([number] * len(rows), *columns), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "kind", "key", "part", "payload"])
-        rows.clear()
-        return made
 
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(docs)
-    rows.append((DOCS, 0, 0, out.getvalue().to_pybytes()))
-    texts, train = _texts(docs.column("text")), np.array(docs.column("train").to_pylist(), bool)
-    words, tokens = _numbered(texts)
-    counts = np.zeros(len(words), "i8")
-    for t, learn in zip(tokens, train.tolist(), strict=True):
-        if learn:
-            np.add.at(counts, t, 1) if len(t) < 64 else np.add(counts, np.bincount(t, minlength=len(words)), out=counts)
-    to, order = _dealt(words, len(cuts) + 1)
-    spelled = list(words)
-    for key, a, b in _slices(to[order]):
-        some = [spelled[i] for i in order[a:b].tolist()]
-        rows.append((WORDS, key, 0, _zipped(np.array([len(some)], "<u4"), counts[order[a:b]].astype("<u4"), np.array([len(w) for w in some], "<u4"), b"".join(some))))
-    del words, tokens, spelled
-    yield batch()
-    block = Block(texts)
-    learnt = np.repeat(train, np.diff(np.r_[block.begins, len(block.bytes)]))
-    for part, at in enumerate(block.groups()):
-        contexts, last = block.contexts(at), block.bytes[at]
-        order, gram, first = ordered(contexts, last)
-        times = np.bincount(gram, learnt[at[order]], len(first)).astype("i8")
-        contexts, last = contexts[order[first]], last[order[first]]
-        for key, a, b in _slices(np.searchsorted(cuts, contexts, "right")):
-            rows.append((GRAMS, key, part, packed(contexts[a:b], last[a:b], times[a:b])))
-        yield batch()
+def _steps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    differ = np.diff(np.r_[0, numbers])
+    return _zipped(np.array([len(numbers)], "<u4"), np.minimum(differ, 255).astype("u1"), differ[differ >= 255].astype("<u4"))
 
 
-def _texts(column) -> list[bytes]:
-    return [(t or "").encode().lower() for t in column.to_pylist()]
+def _stepped(payload: bytes) -> np.ndarray:
+    data = _unzipped(payload)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    small = np.frombuffer(data, "u1", n, 4)
+    differ = small.astype("i8")
+    differ[small == 255] = np.frombuffer(data, "<u4", offset=4 + n)
+    return np.cumsum(differ)
+
+
+def _lengths(bits: np.ndarray) -> bytes:
+    """Code lengths in bits, in STEPS of a bit; those beyond 16 bits of steps in full besides."""
+    steps = np.minimum(np.rint(bits * STEPS), 65535).astype("<u2")
+    return _zipped(np.array([len(bits)], "<u4"), steps.view("u1").reshape(-1, 2).T.tobytes(), bits[steps == 65535].astype("<f8"))
 
 
-def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct grams of a range with their counts, and the numbers of each row's grams among them."""
-    found = [unpacked(p) for p in group.column("payload").to_pylist()]
-    contexts, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-    order, gram, first = ordered(contexts, last)
-    number = np.empty(len(order), "i8")
-    number[order] = gram
-    sums = np.bincount(gram, counts[order], len(first)).astype("i8")
-    return contexts[order[first]], last[order[first]], sums, np.split(number, np.cumsum([len(f[0]) for f in found])[:-1])
+def _in_bits(payload: bytes) -> np.ndarray:
+    data = _unzipped(payload)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    steps = np.frombuffer(data, "u1", 2 * n, 4).reshape(2, n).T.copy().view("<u2").ravel()
+    bits = steps / STEPS
+    bits[steps == 65535] = np.frombuffer(data, "<f8", offset=4 + 2 * n)
+    return bits
+
+
+class Words:
+    """The words of some lower-cased texts: distinct ones, and each token's text and number. Ends are not among them."""
+
+    def __init__(self, texts: pa.Array, ranges: int) -> None:
+        lists = pc.ascii_split_whitespace(texts)
+        of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        coded = lists.flatten().dictionary_encode()
+        # white space at a text's ends leaves empty words, which are none
+        written = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0 if len(coded.dictionary) else np.zeros(0, bool)
+        self.spelled = coded.dictionary.filter(pa.array(written))
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        real = written[number] if len(number) else np.zeros(0, bool)
+        self.texts, self.tokens = of[real], (np.cumsum(written) - 1)[number[real]]
+        to = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in self.spelled.to_pylist()), "i8", len(self.spelled))
+        self.order = np.argsort(to, kind="stable")
+        self.to = to[self.order]
+
+    def sent(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each range its words with their training counts."""
+        counts = np.bincount(self.tokens[train[self.texts]], minlength=len(self.spelled))[self.order].astype("<u4")
+        spelled = self.spelled.take(pa.array(self.order))
+        ends = np.frombuffer(spelled.buffers()[1], "<i4", len(spelled) + 1, 4 * spelled.offset) if len(spelled) else np.zeros(1, "<i4")
+        data = spelled.buffers()[2]
+        cuts = np.flatnonzero(np.r_[True, self.to[1:] != self.to[:-1], True]) if len(spelled) else np.zeros(1, "i8")
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            yield int(self.to[a]), _zipped(np.array([b - a], "<u4"), counts[a:b], np.diff(ends[a : b + 1]).astype("<u4"), bytes(data[ends[a] : ends[b]]))
+
+
+def _lowered(column) -> pa.Array:
+    return pc.ascii_lower(pc.fill_null(column, "").combine_chunks() if isinstance(column, pa.ChunkedArray) else pc.fill_null(column, ""))
+
+
+def _opened(payload: bytes) -> pa.Table:
+    with pa.ipc.open_stream(payload) as stream:
+        return stream.read_all()
+
+
+def _closed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _pieces(number: int, docs: pa.Table, cuts: np.ndarray) -> Iterator[tuple]:
+    """PIECE rows of a block: its grams and words by range."""
+    lowered, train = _lowered(docs.column("text")), np.array(docs.column("train").to_pylist(), bool)
+    for key, payload in Words(lowered, len(cuts) + 1).sent(train):
+        yield WORDS, key, number, 0, payload
+    block = Block([x.as_buffer().to_pybytes() for x in lowered])
+    del lowered
+    learnt = np.repeat(train, np.diff(np.r_[block.begins, len(block.bytes)]))
+    for byte, at in block.groups():
+        keys, counts = _learnt(block.keys(at), learnt[at])
+        for key, a, b in _cut_up(byte, keys, cuts):
+            yield GRAMS, key, number, byte, packed(byte, keys[a:b], counts[a:b])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "block", "part", "payload"])
+
+
+def _merged(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts, last bytes and counts of the distinct grams of a range, and the numbers of each row's grams among them."""
+    found = [unpacked(p) for p in payloads]
+    numbers: list = [None] * len(found)
+    contexts, last, sums, so_far = [], [], [], 0
+    for byte in sorted({f[0] for f in found}):
+        rows = [i for i, f in enumerate(found) if f[0] == byte]
+        keys, counts = np.concatenate([found[i][1] for i in rows]), np.concatenate([found[i][2] for i in rows])
+        order = np.argsort(keys, kind="stable")
+        opens = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        number = np.empty(len(keys), "i8")
+        number[order] = np.cumsum(opens) - 1
+        distinct = keys[order[opens]]
+        sums.append(np.bincount(number, counts, len(distinct)).astype("i8"))
+        contexts.append(distinct >> np.uint64(8) | np.uint64(byte << 56))
+        last.append((distinct & np.uint64(0xFF)).astype("u1"))
+        for i, part in zip(rows, np.split(number, np.cumsum([len(found[i][1]) for i in rows])[:-1]), strict=True):
+            numbers[i] = part + so_far
+        so_far += len(distinct)
+    return np.concatenate(contexts), np.concatenate(last), np.concatenate(sums), numbers
 
 
 class Range:
@@ -307,8 +378,8 @@ class Range:
                 found.setdefault((depth, node), []).append(values)
         return [(depth, node, *(np.concatenate(x) for x in zip(*parts, strict=True))) for (depth, node), parts in found.items()]
 
-    def logs(self, given: dict) -> np.ndarray:
-        """log10 probability of each gram's byte after its context."""
+    def bits(self, given: dict) -> np.ndarray:
+        """Code length of each gram's byte after its context."""
         out = np.zeros(len(self.keys[DEPTH]))
         for level in range(8):
             made, _ = self.mixtures(level, given)
@@ -317,7 +388,7 @@ class Range:
                 up = above if depth else np.zeros(len(first), "i8")
                 added, left = added[up] + left[up] * share * estimate, left[up] * (1 - share)
             ones = added[run]
-            out += np.log10(np.where(self.keys[DEPTH] >> 7 - level & 1, ones, 1 - ones))
+            out -= np.log2(np.where(self.keys[DEPTH] >> 7 - level & 1, ones, 1 - ones))
         return out
 
 
@@ -337,15 +408,24 @@ def _finished(zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> tuple
     return whole, share, (ones + 0.5) / (zeros + ones + 1)
 
 
+_FLAT = "key int, depth int, node long, place int, zeros double, ones double, product double"
+
+
+def _flat(batches):
+    """Rows of the cut nodes' decisions."""
+    for batch in batches:
+        for key, depth, node, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "block", "payload")), strict=True):
+            values = np.frombuffer(_unzipped(payload), "<f8").reshape(4, -1)
+            n = values.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key), pa.int32()), pa.array(np.full(n, depth), pa.int32()), pa.array(np.full(n, node), pa.int64()), pa.array(values[0].astype("i4")), *(pa.array(v) for v in values[1:])], names=["key", "depth", "node", "place", "zeros", "ones", "product"])
+
+
 def _summed_up(group: pa.Table) -> pa.Table:
     """Cut nodes of two bytes and more that begin with the same two: shares and estimates of each range's nodes, and (with
     no range) what the nodes of two bytes add to the product of that of one."""
-    depth, key = (group.column(c).to_numpy() for c in ("depth", "key"))
+    key, depth, place = (group.column(c).to_numpy() for c in ("key", "depth", "place"))
     node = group.column("node").to_numpy().view("u8")
-    flat = {c: group.column(c).combine_chunks() for c in ("place", "zeros", "ones", "product")}
-    sizes = np.diff(flat["place"].offsets.to_numpy())
-    values = {c: x.flatten().to_numpy() for c, x in flat.items()}
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    values = [group.column(c).to_numpy() for c in ("zeros", "ones", "product")]
     rows: list[tuple] = []
     came: tuple[np.ndarray, np.ndarray] | None = None
     for d in range(DEPTH - 1, 1, -1):
@@ -353,31 +433,39 @@ def _summed_up(group: pa.Table) -> pa.Table:
         if not len(here):
             continue
         nodes, number = np.unique(node[here], return_inverse=True)
-        numbered = np.full(len(sizes), -1, "i8")
-        numbered[here] = number
-        cell = numbered[row] >= 0
-        zeros, ones, product = _weighed(numbered[row][cell], values["place"][cell], *(values[c][cell] for c in ("zeros", "ones", "product")))
+        zeros, ones, product = _weighed(number, place[here], *(v[here] for v in values))
         if came is not None:
             np.add.at(product, np.searchsorted(nodes, came[0] >> np.uint64(8)), came[1])
         whole, share, estimate = _finished(zeros, ones, product)
         came = nodes, whole
-        for i, n in zip(here.tolist(), number.tolist(), strict=True):
-            place = values["place"][row == i]
-            rows.append((int(key[i]), d, int(node[i : i + 1].view("i8")[0]), place, share[n][place], estimate[n][place]))
+        by_range = np.lexsort((number, key[here]))
+        edges = np.flatnonzero(np.r_[True, (np.diff(key[here][by_range]) != 0) | (np.diff(number[by_range]) != 0), True])
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            own = by_range[a:b]
+            n, at = number[own[0]], place[here[own]]
+            rows.append((int(key[here[own[0]]]), d, int(node[here[own[:1]]].view("i8")[0]), np.stack([at, share[n][at], estimate[n][at]]).astype("<f8").tobytes()))
     nodes, whole = came
     for n, w in zip((nodes >> np.uint64(8)).tolist(), whole, strict=True):
-        place = np.flatnonzero(w)
-        rows.append((None, 1, n, place.astype("i4"), w[place], np.zeros(len(place))))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "depth", "node", "place", "share", "estimate"), zip(*rows, strict=True), kinds, strict=True)})
+        at = np.flatnonzero(w)
+        rows.append((None, 1, n, np.stack([at, w[at], w[at]]).astype("<f8").tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "depth", "node", "payload"), zip(*rows, strict=True), kinds, strict=True)})
+
 
+def _lifted(batches):
+    """What finished nodes of two bytes add to those of one, as rows of decisions."""
+    for batch in batches:
+        for depth, node, payload in zip(*(batch.column(c).to_pylist() for c in ("depth", "node", "payload")), strict=True):
+            place, whole, _ = np.frombuffer(payload, "<f8").reshape(3, -1)
+            n = len(place)
+            zero = pa.array(np.zeros(n))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(np.full(n, depth), pa.int32()), pa.array(np.full(n, node), pa.int64()), pa.array(place.astype("i4")), zero, zero, pa.array(whole)], names=["key", "depth", "node", "place", "zeros", "ones", "product"])
 
-def _top(nodes: DataFrame, weights: DataFrame) -> dict:
+
+def _top(flat: DataFrame, weights: DataFrame) -> dict:
     """Shares and estimates of the nodes of one byte and none that cuts run through: at most 257, of 255 decisions each."""
-    own = nodes.filter("depth < 2").select("depth", "node", F.explode(F.arrays_zip("place", "zeros", "ones", "product")).alias("x"))
-    added = weights.filter(F.col("key").isNull()).select("depth", "node", F.explode(F.arrays_zip("place", "share")).alias("x"))
-    added = added.select("depth", "node", "x.place", F.lit(0.0).alias("zeros"), F.lit(0.0).alias("ones"), F.col("x.share").alias("product"))
-    sums = own.select("depth", "node", "x.*").union(added).groupBy("depth", "node", "place").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).collect()
+    lifted = weights.filter(F.col("key").isNull()).mapInArrow(_lifted, _FLAT)
+    sums = flat.filter("depth < 2").union(lifted).groupBy("depth", "node", "place").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).collect()
     made: dict = {}
     held: dict = {}
     for r in sums:
@@ -390,10 +478,6 @@ def _top(nodes: DataFrame, weights: DataFrame) -> dict:
     return made
 
 
-def _total(texts: DataFrame) -> int:
-    return texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-
-
 def _cuts(texts: DataFrame, total: int, range_bytes: int) -> np.ndarray:
     """Contexts that cut the corpus's positions into ranges of about range_bytes, from a sample of all texts' positions."""
     size = max(range_bytes, total // MOST_RANGES)
@@ -405,12 +489,12 @@ def _cuts(texts: DataFrame, total: int, range_bytes: int) -> np.ndarray:
         at = TaskContext.get().partitionId() * 7919 % step  # how far the next sampled position is
         for batch in batches:
             found = []
-            for t in _texts(batch.column(0)):
-                padded = bytes([EDGE]) * DEPTH + t
-                while at <= len(t):
-                    found.append(int.from_bytes(padded[at : at + DEPTH][::-1], "big") - (1 << 63))
+            for t in _lowered(batch.column(0)):
+                t = t.as_buffer()
+                while at <= t.size:
+                    found.append(int.from_bytes((bytes([EDGE]) * DEPTH + bytes(t[max(0, at - DEPTH) : at]))[-DEPTH:][::-1], "big") - (1 << 63))
                     at += step
-                at -= len(t) + 1
+                at -= t.size + 1
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
 
     def thinned(batches):
@@ -424,155 +508,186 @@ def _cuts(texts: DataFrame, total: int, range_bytes: int) -> np.ndarray:
     return cuts.view("u8") ^ np.uint64(1 << 63)
 
 
-def _in_blocks(texts: DataFrame, cuts: np.ndarray, block_bytes: int) -> DataFrame:
-    """The PIECE rows of all texts. A block holds texts of one task, as they come, so that equal rows are nothing special."""
-    shared = texts.sparkSession.sparkContext.broadcast(cuts)  # at most MOST_RANGES, of 8 bytes
+def _in_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """BLOCK rows of all texts. A block holds texts of one task, as they come, so that equal rows are nothing special."""
 
     def run(batches):
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def closed():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_closed(pa.Table.from_batches(held))], pa.binary())], names=["block", "payload"])
+
         for batch in batches:
-            ends = np.cumsum([len(t or "") + 1 for t in batch.column(1).to_pylist()])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype("i8") + 1)
             at = 0
             while at < batch.num_rows:
-                room = (ends[at - 1] if at else 0) + max(1, block_bytes - size)
-                upto = max(at + (not size), int(np.searchsorted(ends, room, "right")))
-                held.append(batch.slice(at, upto - at))
-                size += int(ends[upto - 1] - (ends[at - 1] if at else 0)) if upto > at else 0
+                before = int(ends[at - 1]) if at else 0
+                upto = max(at + (not size), int(np.searchsorted(ends, before + block_bytes - size, "right")))
+                if upto > at:
+                    held.append(batch.slice(at, upto - at))
+                    size += int(ends[upto - 1]) - before
                 if upto < batch.num_rows or size >= block_bytes:
-                    yield from _pieces(number, pa.Table.from_batches(held), shared.value)
+                    yield closed()
                     number, held, size = number + 1, [], 0
                 at = upto
         if size:
-            yield from _pieces(number, pa.Table.from_batches(held), shared.value)
+            yield closed()
 
-    return texts.mapInArrow(run, PIECE)
+    return texts.mapInArrow(run, BLOCK)
 
 
-def _word_answers(group: pa.Table) -> pa.Table:
-    """To each block the training counts of the words that it sent; and once their sum and how many are not 0."""
-    number: dict[bytes, int] = {}
-    sent = []
-    for payload in group.column("payload").to_pylist():
+def _word_answers(key: int, blocks: list[int], payloads: list[bytes]) -> Iterator[tuple]:
+    """To each block the training counts of the words that it sent; and once (for no block) all counts above 0."""
+    arrays, counts = [], []
+    for payload in payloads:
         data = _unzipped(payload)
         n = int(np.frombuffer(data, "<u4", 1)[0])
-        counts, sizes = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n)
-        ends = 4 + 8 * n + np.cumsum(sizes, dtype="i8")
-        ids = np.fromiter((number.setdefault(data[e - k : e], len(number)) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)), "i8", n)
-        sent.append((ids, counts))
-    sums = np.zeros(len(number), "i8")
-    for ids, counts in sent:
-        sums[ids] += counts
-    rows = len(sent)
-    payloads = [_zipped(sums[ids].astype("<i8")) for ids, _ in sent]
-    return pa.table({
-        "block": pa.concat_arrays([group.column("block").combine_chunks(), pa.array([-1], pa.int64())]),
-        "kind": pa.array([WORDS] * (rows + 1), pa.int32()),
-        "key": pa.array([group.column("key")[0].as_py()] * (rows + 1), pa.int32()),
-        "part": pa.array([0] * (rows + 1), pa.int32()),
-        "payload": pa.array([*payloads, b""], pa.binary()),
-        "n": pa.array([0] * rows + [int(sums.sum())], pa.int64()),
-        "v": pa.array([0] * rows + [int((sums > 0).sum())], pa.int64()),
-    })
-
-
-def _gram_answers(grams: DataFrame, cuts: np.ndarray, tasks: int) -> DataFrame:
-    """PIECE rows with the log10 probabilities of the grams that each block sent."""
-    spark = grams.sparkSession
-    shared = spark.sparkContext.broadcast(cuts)
-    dealt = grams.repartition(tasks, "key")
-
-    def cut_nodes(group: pa.Table) -> pa.Table:
-        key = group.column("key")[0].as_py()
-        contexts, last, counts, _ = _merged(group)
-        found = Range(contexts, last, counts, *_bounds(shared.value, key)).cut_nodes()
-        columns = list(zip(*found, strict=True)) if found else [()] * 6
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3)
-        columns[1] = [n - (1 << 64) if n >> 63 else n for n in columns[1]]
-        names = ("depth", "node", "place", "zeros", "ones", "product")
-        return pa.table({"key": pa.array([key] * len(found), pa.int32())} | {n: pa.array([x.astype("f8") if n in ("zeros", "ones") else x for x in c], k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    top, weights = {}, None
-    if len(cuts):
-        nodes = durable(dealt.groupBy("key").applyInArrow(cut_nodes, CUT_NODE), "cut-nodes")
-        head = F.expr("shiftrightunsigned(node, 8 * (depth - 2))")
-        deep = nodes.filter("depth >= 2").withColumn("head", head)
-        weights = durable(deep.groupBy("head").applyInArrow(_summed_up, "key int, depth int, node long, place array<int>, share array<double>, estimate array<double>"), "cut-weights")
-        top = _top(nodes, weights)
-    known = spark.sparkContext.broadcast(top)  # at most 257 nodes of 255 decisions
-
-    def answers(group: pa.Table, held: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in (("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()))})
-        contexts, last, counts, numbers = _merged(group)
-        given = dict(known.value)
-        for r in held.to_pylist():
-            share, estimate = np.zeros(256), np.zeros(256)
-            share[r["place"]], estimate[r["place"]] = r["share"], r["estimate"]
-            given[r["depth"], r["node"] & (1 << 64) - 1] = share, estimate
-        logs = Range(contexts, last, counts, *_bounds(shared.value, group.column("key")[0].as_py())).logs(given).astype("<f4")
-        payloads = pa.array([_zipped(logs[n]) for n in numbers], pa.binary())
-        return group.select(["block", "kind", "key", "part"]).append_column("payload", payloads)
+        counts.append(np.frombuffer(data, "<u4", n, 4))
+        ends = np.r_[0, np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n), dtype="i8")].astype("<i4")
+        arrays.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[4 + 8 * n :])]))
+    coded = pa.concat_arrays(arrays).dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    sums = np.bincount(number, np.concatenate(counts), len(coded.dictionary)).astype("<i8")
+    for block, part in zip(blocks, np.split(number, np.cumsum([len(a) for a in arrays])[:-1]), strict=True):
+        yield WORDS, key, block, 0, _zipped(sums[part])
+    yield WORDS, key, -1, 0, np.array([sums.sum(), np.count_nonzero(sums)], "<i8").tobytes()
+
+
+def _gathered(cuts):
+    """Of one range: the answers to its words; or one row with its merged grams and the numbers of each block's, and a CUT
+    row (part: depth, block: node) for each node that a cut runs through."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kind, key = group.column("kind")[0].as_py(), group.column("key")[0].as_py()
+        group = group.sort_by([("block", "ascending"), ("part", "ascending")])
+        blocks, payloads = group.column("block").to_pylist(), group.column("payload").to_pylist()
+        if kind == WORDS:
+            return pa.Table.from_batches([_batch(list(_word_answers(key, blocks, payloads)))])
+        contexts, last, counts, numbers = _merged(payloads)
+        del payloads
+        model = _zipped(np.array([len(last)], "<u4"), contexts.astype(">u8").view("u1").reshape(-1, 8).T.tobytes(), last, counts.astype("<i8"))
+        held = pa.table({"block": pa.array([-1, *blocks], pa.int64()), "part": pa.array([0, *group.column("part").to_pylist()], pa.int32()), "payload": pa.array([model, *map(_steps, numbers)], pa.binary())})
+        rows = [(GRAMS, key, -1, 0, _closed(held))]
+        for depth, node, *values in Range(contexts, last, counts, *_bounds(cuts.value, key)).cut_nodes():
+            rows.append((CUT, key, node - (1 << 64) if node >> 63 else node, depth, _zipped(np.stack([v.astype("<f8") for v in values]))))
+        return pa.Table.from_batches([_batch(rows)])
+
+    return run
+
+
+def _answers(cuts, top):
+    """To each block the code lengths of the grams that it sent. Rows: key, payload of _gathered(), weights of cut nodes."""
 
-    if weights is None:
-        return dealt.groupBy("key").applyInArrow(lambda group: answers(group, pa.table({})), PIECE)
-    return dealt.groupBy("key").cogroup(weights.filter(F.col("key").isNotNull()).groupBy("key")).applyInArrow(answers, PIECE)
+    def run(batches):
+        for batch in batches:
+            for key, payload, weights in zip(*(batch.column(c).to_pylist() for c in ("key", "payload", "weights")), strict=True):
+                given = dict(top.value)
+                for w in weights or ():
+                    place, share, estimate = np.frombuffer(w["payload"], "<f8").reshape(3, -1)
+                    shares, estimates = np.zeros(256), np.zeros(256)
+                    shares[place.astype("i4")], estimates[place.astype("i4")] = share, estimate
+                    given[w["depth"], w["node"] & (1 << 64) - 1] = shares, estimates
+                held = _opened(payload)
+                sent = held.column("payload")
+                data = _unzipped(sent[0].as_py())
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                contexts = np.frombuffer(data, "u1", 8 * n, 4).reshape(8, n).T.copy().view(">u8").ravel().astype("u8")
+                last, counts = np.frombuffer(data, "u1", n, 4 + 8 * n), np.frombuffer(data, "<i8", n, 4 + 9 * n)
+                bits = Range(contexts, last, counts, *_bounds(cuts.value, key)).bits(given)
+                parts = zip(held.column("block").to_pylist()[1:], held.column("part").to_pylist()[1:], range(1, len(sent)), strict=True)
+                yield _batch([(GRAMS, key, block, part, _lengths(bits[_stepped(sent[i].as_py())])) for block, part, i in parts])
+
+    return run
 
 
 def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row.
 
     train: a condition, true for the rows whose texts the model learns from (null: false). Texts are lower-cased from A
-    to Z; score is the log10 probability of a text's bytes and end, bits_per_byte its code length in bits over its bytes
-    and end. base_score is that of its words and end under add-half unigram counts. A null text is empty, an empty one
-    has its end alone, and one longer than a block is a block by itself. Without training texts all decisions are even.
-    Repeated rows and ids, null ones too, count and are scored each time. An empty table gives an empty one; other
-    columns are not looked at.
+    to Z; score is the log10 probability of a text's bytes and end, each byte's code length being rounded to 1/STEPS bit
+    on its way; bits_per_byte is its code length in bits over its bytes and end. base_score is that of its words and end
+    under add-half unigram counts. A null text is empty, an empty one has its end alone, and one longer than a block is a
+    block by itself. Without training texts all decisions are even. Repeated rows and ids, null ones too, count and are
+    scored each time. An empty table gives an empty one; other columns are not looked at.
     """
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total = _total(texts)
+    total, ends = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("int")), F.lit(0))).first()
     cuts = _cuts(texts, total, range_bytes)
+    shared, ranges = spark.sparkContext.broadcast(cuts), len(cuts) + 1  # at most MOST_RANGES, of 8 bytes
     # Tables of few files are dealt out, so that all cores take part.
     wanted = min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20)))
     spread = texts.repartition(wanted) if texts.rdd.getNumPartitions() < wanted else texts
-    pieces = durable(_in_blocks(spread, cuts, block_bytes), "pieces")
-    tasks = min(len(cuts) + 1, 100_000)
-    of = lambda kind: pieces.filter(F.col("kind") == kind)
-    kind = df.schema[id_col].dataType.simpleString()
-    words = durable(of(WORDS).repartition(tasks, "key").groupBy("key").applyInArrow(_word_answers, PIECE + ", n long, v long"), "word-answers")
-    n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    back = words.filter("block >= 0").select("block", "kind", "key", "part", "payload").union(_gram_answers(of(GRAMS), cuts, tasks))
-    log_all, ranges = math.log10(n_train + 0.5 * (distinct + 1)), len(cuts) + 1
+    blocks = durable(_in_blocks(spread, block_bytes), "blocks")
+
+    def sending(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in _pieces(number, _opened(payload), shared.value):
+                    rows.append(row)
+                    if len(rows) >= 64:
+                        yield _batch(rows)
+                        rows.clear()
+        if rows:
+            yield _batch(rows)
+
+    sent = blocks.mapInArrow(sending, PIECE).repartition(min(2 * ranges, 100_000), "kind", "key")
+    gathered = durable(sent.groupBy("kind", "key").applyInArrow(_gathered(shared), PIECE), "gathered")
+    release(spark)
+    of = lambda kind: gathered.filter(F.col("kind") == kind)
+    top: dict = {}
+    ready = of(GRAMS).select("key", "payload")
+    if len(cuts):
+        flat = durable(of(CUT).mapInArrow(_flat, _FLAT), "cut-nodes")
+        deep = flat.filter("depth >= 2").withColumn("head", F.expr("shiftrightunsigned(node, 8 * (depth - 2))"))
+        weights = durable(deep.groupBy("head").applyInArrow(_summed_up, "key int, depth int, node long, payload binary"), "cut-weights")
+        top = _top(flat, weights)
+        own = weights.filter(F.col("key").isNotNull()).groupBy("key").agg(F.collect_list(F.struct("depth", "node", "payload")).alias("weights"))
+        ready = ready.join(F.broadcast(own) if weights.count() <= BROADCAST_ROWS else own, "key", "left")
+    else:
+        ready = ready.withColumn("weights", F.lit(None).cast("array<struct<depth:int,node:bigint,payload:binary>>"))
+    known = spark.sparkContext.broadcast(top)  # at most 257 nodes of 255 decisions
+    totals = of(WORDS).filter("block < 0").select("payload").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
+    back = of(WORDS).filter("block >= 0").union(ready.mapInArrow(_answers(shared, known), PIECE))
+    log_all, log_end, kind = math.log10(n_train + 0.5 * (distinct + 1)), math.log10(ends + 0.5), df.schema[id_col].dataType.simpleString()
 
     def run(sent: pa.Table, answers: pa.Table) -> pa.Table:
-        with pa.ipc.open_stream(sent.column("payload")[0].as_py()) as stream:
-            docs = stream.read_all()
-        texts = _texts(docs.column("text"))
-        order = sorted(range(answers.num_rows), key=list(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "key")), strict=True)).__getitem__)
-        payloads, parts = answers.column("payload"), answers.column("part").to_pylist()
-        kinds = answers.column("kind").to_pylist()
-        number, tokens = _numbered(texts)
-        counts = np.empty(len(number), "i8")
-        counts[_dealt(number, ranges)[1]] = np.concatenate([np.frombuffer(_unzipped(payloads[i].as_py()), "<i8") for i in order if kinds[i] == WORDS])
-        logs = np.log10(counts + 0.5)
-        n_tokens = np.array([len(t) for t in tokens], "i8")
-        base = np.array([logs[t].sum() for t in tokens]) - n_tokens * log_all
-        n_known = np.array([np.count_nonzero(counts[t]) for t in tokens], "i8")
-        del number, tokens
-        block, scores = Block(texts), np.zeros(len(texts))
-        for part, at in enumerate(block.groups()):
-            logs = np.concatenate([np.frombuffer(_unzipped(payloads[i].as_py()), "<f4") for i in order if kinds[i] == GRAMS and parts[i] == part])
-            by, gram, _ = ordered(block.contexts(at), block.bytes[at])
-            scores += np.bincount(np.searchsorted(block.begins, at[by], "right") - 1, logs[gram], len(texts))
-        n_bytes = np.array([len(t) for t in texts], "i8")
-        made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": scores, "n_bytes": n_bytes, "bits_per_byte": -scores / LOG10_2 / (n_bytes + 1)}
+        docs = _opened(sent.column("payload")[0].as_py())
+        answers = answers.sort_by([("kind", "ascending"), ("part", "ascending"), ("key", "ascending")])
+        kinds, parts, payloads = answers.column("kind").to_numpy(), answers.column("part").to_numpy(), answers.column("payload")
+        received = lambda at, read: np.concatenate([read(payloads[i].as_py()) for i in at.tolist()]) if len(at) else np.zeros(0)
+        lowered = _lowered(docs.column("text"))
+        rows, words = len(lowered), Words(lowered, ranges)
+        counts = np.zeros(len(words.spelled))
+        counts[words.order] = received(np.flatnonzero(kinds == WORDS), lambda p: np.frombuffer(_unzipped(p), "<i8"))
+        n_tokens = np.bincount(words.texts, minlength=rows) + 1
+        base = np.bincount(words.texts, np.log10(counts + 0.5)[words.tokens], rows) + log_end - n_tokens * log_all
+        n_known = np.bincount(words.texts, (counts > 0)[words.tokens], rows).astype("i8") + (ends > 0)
+        del words
+        block, bits = Block([x.as_buffer().to_pybytes() for x in lowered]), np.zeros(rows)
+        for byte, at in block.groups():
+            keys = block.keys(at)
+            order = np.argsort(keys)
+            keys = keys[order]
+            own = received(np.flatnonzero((kinds == GRAMS) & (parts == byte)), _in_bits)[np.cumsum(np.r_[False, keys[1:] != keys[:-1]])]
+            bits += np.bincount(np.searchsorted(block.begins, at[order], "right") - 1, own, rows)
+        n_bytes = np.diff(np.r_[block.begins, len(block.bytes)]) - DEPTH - 1
+        made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": -bits * LOG10_2, "n_bytes": n_bytes, "bits_per_byte": bits / (n_bytes + 1)}
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train")} | {n: pa.array(x) for n, x in made.items()})
 
-    made = of(DOCS).repartition(max(1, -(-total // block_bytes)), "block").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
+    made = blocks.repartition(max(1, -(-total // block_bytes)), "block").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return made.withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 
+def _totals(batches):
+    for batch in batches:
+        sums = np.array([np.frombuffer(p, "<i8") for p in batch.column(0).to_pylist()], "i8").reshape(-1, 2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(sums[:1]), pa.array(sums[1:])], names=["n", "v"])
+
+
 def op6_context_tree_scores(spark, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5)
     made = score(table(spark, sf_dir, "documents"), ~out)
