@@ -13,6 +13,8 @@ from millrace.shipping import shared_folder
 
 #: Bytes of an Arrow batch, one longer row excepted.
 BATCH_BYTES = 32 << 20
+#: Whether Spark deletes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that a cell of number_within() holds on average.
 CELL_ROWS = 8192
 
@@ -29,9 +31,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: the lineage ends here and lost executors cost nothing."""
+    """df written to the shared folder as Parquet and read again: the lineage ends here and lost executors cost nothing.
+    The shuffle files of the write go with it."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    held = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, held)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._durable_path = path
     return made
@@ -43,11 +52,6 @@ def forget(made: DataFrame) -> None:
     path.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect garbage, so that Spark deletes shuffle files that no plan refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows and bytes: whole texts are long, and Python holds one batch at a time."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

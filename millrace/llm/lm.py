@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, forget, held_out, release, small_batches, table
+from millrace.llm.common import durable, held_out, small_batches, table
 
 #: Bytes of the longest context; a context fits 64 bits.
 DEPTH = 8
@@ -311,7 +311,12 @@ def _merged(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Range:
-    """The trees over one range's grams, which lie between two cuts (None: the end of all contexts)."""
+    """The trees over one range's grams, which lie between two cuts (None: the end of all contexts).
+
+    A node after which one byte alone was met in this range, and that no cut runs through, is plain: its counts are all
+    zeros or all ones at every decision of that byte, so one mixture serves all eight, and below it all nodes are plain.
+    The others are mixed decision by decision.
+    """
 
     def __init__(self, contexts: np.ndarray, last: np.ndarray, counts: np.ndarray, low: int | None, high: int | None) -> None:
         opens = np.r_[True, contexts[1:] != contexts[:-1]]
@@ -326,39 +331,86 @@ class Range:
             key = (np.cumsum(opens) - 1)[self.keys[0] >> 8] << 8 | self.keys[0] & 0xFF
             nodes = nodes[opens]
             order = np.argsort(key, kind="stable")
-            opens = np.r_[True, key[order][1:] != key[order][:-1]]
+            key = key[order]
+            opens = np.r_[True, key[1:] != key[:-1]]
             above = np.empty(len(key), "i8")
             above[order] = np.cumsum(opens) - 1
             self.above.insert(0, above)
             self.counts.insert(0, np.bincount(above, self.counts[0]).astype("i8"))
-            self.keys.insert(0, key[order][opens])
+            self.keys.insert(0, key[opens])
             below = 8 * (DEPTH - depth)
             through = sorted({c >> below for c in (low, high) if c is not None and c & (1 << below) - 1})
             at = [int(np.searchsorted(nodes, np.uint64(node))) for node in through]
             self.cut.insert(0, [(i, node) for i, node in zip(at, through, strict=True) if i < len(nodes) and int(nodes[i]) == node])
+        self._plain()
+
+    def _plain(self) -> None:
+        #: by depth: the rows of nodes that are not plain, and their places among these
+        self.rows, self.place = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
+        #: by depth: of plain rows under one that is not, the place of that one, and the log of their mixture
+        self.joins: list = [None] * (DEPTH + 1)
+        whole, share = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
+        plain: list = [None] * (DEPTH + 1)
+        for depth in range(DEPTH, -1, -1):
+            node = self.keys[depth] >> 8
+            alone = np.r_[True, node[1:] != node[:-1]] & np.r_[node[1:] != node[:-1], True]
+            for at, _ in self.cut[depth]:
+                alone[node == at] = False
+            plain[depth] = alone
+            self.rows[depth] = np.flatnonzero(~alone)
+            self.place[depth] = np.cumsum(~alone) - 1
+            own = log_kt(np.zeros(len(node), "i8"), self.counts[depth])
+            if depth == DEPTH:
+                whole[depth], share[depth] = own, np.ones(len(node))
+                continue
+            # what is not plain is left out here: the sums of its rows are overwritten decision by decision
+            product = np.bincount(self.above[depth], np.where(plain[depth + 1], whole[depth + 1], 0), len(node))
+            whole[depth], share[depth] = mixed(own, product)
+            under = np.flatnonzero(plain[depth + 1] & ~alone[self.above[depth]])
+            self.joins[depth + 1] = self.place[depth][self.above[depth][under]], whole[depth + 1][under]
+        #: by depth: grams whose nodes are plain from there on, the place of the row above, and the chance that the plain
+        #: nodes give each decision of the gram's byte
+        self.ends: list = [None] * (DEPTH + 1)
+        told, left, begun = (np.zeros(len(self.keys[0])), np.ones(len(self.keys[0])), np.zeros(len(self.keys[0]), "i8"))
+        above = np.zeros(len(self.keys[0]), "i8")
+        for depth in range(DEPTH + 1):
+            if depth:
+                up = self.above[depth - 1]
+                fresh = plain[depth] & ~plain[depth - 1][up]
+                told, left, begun, above = told[up], left[up], np.where(fresh, depth, begun[up]), np.where(fresh, self.place[depth - 1][up], above[up])
+            on = plain[depth]
+            chance = (self.counts[depth] + 0.5) / (self.counts[depth] + 1)
+            told, left = np.where(on, told + left * share[depth] * chance, told), np.where(on, left * (1 - share[depth]), left)
+        for depth in range(DEPTH + 1):
+            grams = np.flatnonzero(plain[DEPTH] & (begun == depth))
+            self.ends[depth] = grams, above[grams], told[grams]
 
     def mixtures(self, level: int, given: dict | None = None) -> tuple[list[tuple], list[tuple]]:
-        """From the longest contexts up, at one decision of a byte: (run of each row, first row of each run, share,
-        estimate, run above) by depth, a run being the rows of one node and decision; and of cut nodes their sums
-        (depth, node, place, zeros, ones, product). given: shares and estimates of cut nodes by (depth, node) and place."""
+        """From the longest contexts up, at one decision of a byte: (run of each row, share, estimate, run above) by depth,
+        over the rows that are not plain, a run being those of one node and decision; and of cut nodes their sums (depth,
+        node, place, zeros, ones, product). given: shares and estimates of cut nodes by (depth, node) and place."""
         made: list[tuple] = []
         sums: list[tuple] = []
+        begins = whole = None
         for depth in range(DEPTH, -1, -1):
-            key, counts = self.keys[depth], self.counts[depth]
-            opens = np.r_[True, key[1:] >> 8 - level != key[:-1] >> 8 - level]
+            rows = self.rows[depth]
+            key, counts = self.keys[depth][rows], self.counts[depth][rows]
+            prefix = key >> 8 - level
+            opens = np.r_[True, prefix[1:] != prefix[:-1]] if len(key) else np.zeros(0, bool)
             run, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
-            total = np.add.reduceat(counts, first)
-            ones = np.add.reduceat(np.where(key >> 7 - level & 1, counts, 0), first)
+            total = np.add.reduceat(counts, first) if len(first) else counts
+            ones = np.add.reduceat(counts * (key >> 7 - level & 1), first) if len(first) else counts
             own, estimate = log_kt(total - ones, ones), (ones + 0.5) / (total + 1)
             if depth == DEPTH:
                 whole, share = own, np.ones(len(own))
             else:
-                begins = made[0][1]
-                above = run[self.above[depth][begins]]
+                # the rows of the depth below that open its runs, and what they hang from
+                over = run[self.place[depth][self.above[depth][begins]]]
                 for at, _ in self.cut[depth + 1]:
                     whole = np.where(self.keys[depth + 1][begins] >> 8 == at, 0, whole)
-                product = np.bincount(above, whole, len(first))
-                made[0] = (*made[0][:4], above)
+                hung, weights = self.joins[depth + 1]
+                product = np.bincount(over, whole, len(first)) + np.bincount(run[hung], weights, len(first))
+                made[0] = (*made[0][:3], over)
                 whole, share = mixed(own, product)
                 for at, node in self.cut[depth]:
                     here = np.flatnonzero(key[first] >> 8 == at)
@@ -367,7 +419,8 @@ class Range:
                         sums.append((depth, node, place, (total - ones)[here], ones[here], product[here]))
                     else:
                         share[here], estimate[here] = (x[place] for x in given[depth, node])
-            made.insert(0, (run, first, share, estimate, None))
+            begins = rows[first]
+            made.insert(0, (run, share, estimate, None))
         return made, sums
 
     def cut_nodes(self) -> list[tuple]:
@@ -384,11 +437,21 @@ class Range:
         for level in range(8):
             made, _ = self.mixtures(level, given)
             added, left = np.zeros(1), np.ones(1)
-            for depth, (run, first, share, estimate, above) in enumerate(made):
-                up = above if depth else np.zeros(len(first), "i8")
-                added, left = added[up] + left[up] * share * estimate, left[up] * (1 - share)
-            ones = added[run]
-            out -= np.log2(np.where(self.keys[DEPTH] >> 7 - level & 1, ones, 1 - ones))
+            for depth, (run, share, estimate, over) in enumerate(made):
+                grams, hung, told = self.ends[depth]
+                if len(grams):
+                    # the nodes above, if there are any, leave a part of the chance to the plain ones
+                    at = made[depth - 1][0][hung] if depth else np.zeros(len(grams), "i8")
+                    bit = self.keys[DEPTH][grams] >> 7 - level & 1
+                    out[grams] -= np.log2(np.where(bit, added[at], 1 - left[at] - added[at]) + left[at] * told)
+                if depth:
+                    added, left = added[over], left[over]
+                elif len(share) != 1:
+                    added, left = np.zeros(len(share)), np.ones(len(share))
+                added, left = added + left * share * estimate, left * (1 - share)
+            rows = self.rows[DEPTH]
+            ones = added[made[DEPTH][0]]
+            out[rows] -= np.log2(np.where(self.keys[DEPTH][rows] >> 7 - level & 1, ones, 1 - ones))
         return out
 
 
@@ -635,7 +698,6 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
 
     sent = blocks.mapInArrow(sending, PIECE).repartition(min(2 * ranges, 100_000), "kind", "key")
     gathered = durable(sent.groupBy("kind", "key").applyInArrow(_gathered(shared), PIECE), "gathered")
-    release(spark)
     of = lambda kind: gathered.filter(F.col("kind") == kind)
     top: dict = {}
     ready = of(GRAMS).select("key", "payload")
