@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +36,11 @@ from millrace.llm.common import durable, held_out, small_batches, table
 #: Bytes of the longest context; a context fits 64 bits.
 DEPTH = 8
 #: Bytes of text of a block, positions of the corpus in a range, and the most ranges (a cut is 8 bytes that all tasks see).
-BLOCK_BYTES, RANGE_BYTES, MOST_RANGES = 16 << 20, 2 << 20, 1 << 22
+BLOCK_BYTES, RANGE_BYTES, MOST_RANGES = 12 << 20, 2 << 20, 1 << 22
 #: Sampled contexts for each cut.
 SAMPLES = 32
-#: Stands before a text's start and for its end; no UTF-8 text holds this byte.
-EDGE = 0xFF
-#: Positions that a block sorts at a time, unless more follow one byte.
-GROUP = 2 << 20
+#: Stands before a text's start and for its end, and marks the places before a start; no UTF-8 text holds these bytes.
+EDGE, PASSED = 0xFF, 0xFE
 #: Counts up to which gamma functions are looked up, and those up to which pairs are.
 TABLED, PAIRED = 1 << 13, 64
 #: Parts of a bit in which code lengths travel; longer ones than 16 bits of these hold travel whole.
@@ -85,8 +82,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def mixed(log_own: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log of the half-and-half mixture, and the share of the own estimate in it after all that was seen."""
-    log_all = np.logaddexp(log_own, log_children) + LN_HALF
-    return log_all, np.exp(log_own + LN_HALF - log_all)
+    ahead = log_children - log_own
+    less = np.exp(-np.abs(ahead))
+    return np.maximum(log_own, log_children) + np.log1p(less) + LN_HALF, np.where(ahead > 0, less, 1) / (1 + less)
 
 
 class Block:
@@ -107,28 +105,14 @@ class Block:
     def groups(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each byte that comes before another, and the places of those that it comes before."""
         before = np.r_[np.uint8(0), self.bytes[:-1]]
-        spoken = np.ones(len(before), bool)
         for i in range(DEPTH):
-            spoken[self.begins + i] = False
+            before[self.begins + i] = PASSED
         counts = np.bincount(before, minlength=256)
-        group, number, size = np.zeros(256, "u1"), 0, 0
-        for byte in range(256):
-            if size and size + counts[byte] > GROUP:
-                number, size = number + 1, 0
-            group[byte], size = number, size + counts[byte]
-        of = group[before]
-        of[~spoken] = 255  # there are fewer groups than that, as GROUP bytes make one
-        for k in range(min(number, 254) + 1):
-            at = np.flatnonzero(of == k)
-            first = before[at]
-            if len(at) and first.min() == first.max():
-                yield int(first[0]), at
-                continue
-            at = at[np.argsort(first, kind="stable")]
-            held = np.bincount(first, minlength=256)
-            ends = np.cumsum(held)
-            for byte in np.flatnonzero(held).tolist():
-                yield byte, at[ends[byte] - held[byte] : ends[byte]]
+        order, ends = np.argsort(before, kind="stable"), np.cumsum(counts)
+        del before
+        for byte in np.flatnonzero(counts).tolist():
+            if byte != PASSED:
+                yield byte, order[ends[byte] - counts[byte] : ends[byte]]
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +209,19 @@ def _in_bits(payload: bytes) -> np.ndarray:
     return bits
 
 
+def _hashed(words: pa.Array, ranges: int) -> np.ndarray:
+    """A range for each word, that follows from its bytes alone: a polynomial of them, well mixed."""
+    if not len(words):
+        return np.zeros(0, "i8")
+    ends = np.frombuffer(words.buffers()[1], "<i4", len(words) + 1, 4 * words.offset).astype("i8")
+    data, starts = np.frombuffer(words.buffers()[2], "u1")[ends[0] : ends[-1]], ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, "u8"))
+    value = np.add.reduceat((data + np.uint64(1)) * powers[place], starts)
+    value = (value ^ value >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (value >> np.uint64(33)).astype("i8") % ranges
+
+
 class Words:
     """The words of some lower-cased texts: distinct ones, and each token's text and number. Ends are not among them."""
 
@@ -238,7 +235,7 @@ class Words:
         number = coded.indices.to_numpy(zero_copy_only=False)
         real = written[number] if len(number) else np.zeros(0, bool)
         self.texts, self.tokens = of[real], (np.cumsum(written) - 1)[number[real]]
-        to = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in self.spelled.to_pylist()), "i8", len(self.spelled))
+        to = _hashed(self.spelled, ranges)
         self.order = np.argsort(to, kind="stable")
         self.to = to[self.order]
 
@@ -385,65 +382,71 @@ class Range:
             grams = np.flatnonzero(plain[DEPTH] & (begun == depth))
             self.ends[depth] = grams, above[grams], told[grams]
 
-    def mixtures(self, level: int, given: dict | None = None) -> tuple[list[tuple], list[tuple]]:
-        """From the longest contexts up, at one decision of a byte: (run of each row, share, estimate, run above) by depth,
-        over the rows that are not plain, a run being those of one node and decision; and of cut nodes their sums (depth,
-        node, place, zeros, ones, product). given: shares and estimates of cut nodes by (depth, node) and place."""
-        made: list[tuple] = []
-        sums: list[tuple] = []
-        begins = whole = None
-        for depth in range(DEPTH, -1, -1):
-            rows = self.rows[depth]
-            key, counts = self.keys[depth][rows], self.counts[depth][rows]
-            prefix = key >> 8 - level
-            opens = np.r_[True, prefix[1:] != prefix[:-1]] if len(key) else np.zeros(0, bool)
-            run, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
-            total = np.add.reduceat(counts, first) if len(first) else counts
-            ones = np.add.reduceat(counts * (key >> 7 - level & 1), first) if len(first) else counts
-            own, estimate = log_kt(total - ones, ones), (ones + 0.5) / (total + 1)
-            if depth == DEPTH:
-                whole, share = own, np.ones(len(own))
-            else:
-                # the rows of the depth below that open its runs, and what they hang from
-                over = run[self.place[depth][self.above[depth][begins]]]
-                for at, _ in self.cut[depth + 1]:
-                    whole = np.where(self.keys[depth + 1][begins] >> 8 == at, 0, whole)
-                hung, weights = self.joins[depth + 1]
-                product = np.bincount(over, whole, len(first)) + np.bincount(run[hung], weights, len(first))
-                made[0] = (*made[0][:3], over)
-                whole, share = mixed(own, product)
-                for at, node in self.cut[depth]:
-                    here = np.flatnonzero(key[first] >> 8 == at)
-                    place = (1 << level | (key[first[here]] & 0xFF) >> 8 - level).astype("i4")
-                    if given is None:
-                        sums.append((depth, node, place, (total - ones)[here], ones[here], product[here]))
-                    else:
-                        share[here], estimate[here] = (x[place] for x in given[depth, node])
-            begins = rows[first]
-            made.insert(0, (run, share, estimate, None))
-        return made, sums
+    def mixtures(self, given: dict | None = None) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
+        """For each decision of a byte, the last one first, from the longest contexts up: (run of each row, share, estimate,
+        run above) by depth, over the rows that are not plain, a run being those of one node and decision; and of cut
+        nodes their sums (depth, node, place, zeros, ones, product). given: shares and estimates of cut nodes by (depth,
+        node) and place."""
+        keys = [k[r] for k, r in zip(self.keys, self.rows, strict=True)]
+        firsts, totals = [np.arange(len(r)) for r in self.rows], [c[r] for c, r in zip(self.counts, self.rows, strict=True)]
+        for level in range(7, -1, -1):
+            made: list[tuple] = []
+            sums: list[tuple] = []
+            whole = None
+            for depth in range(DEPTH, -1, -1):
+                # the runs of the next decision, in pairs
+                key, total = keys[depth][firsts[depth]], totals[depth]
+                prefix = key >> 8 - level
+                opens = np.r_[True, prefix[1:] != prefix[:-1]] if len(key) else np.zeros(0, bool)
+                pair = np.flatnonzero(opens)
+                ones = np.add.reduceat(total * (key >> 7 - level & 1), pair) if len(pair) else total
+                total = np.add.reduceat(total, pair) if len(pair) else total
+                first, key = firsts[depth][pair], key[pair]
+                run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys[depth])]))
+                own, estimate = log_kt(total - ones, ones), (ones + 0.5) / (total + 1)
+                if depth == DEPTH:
+                    whole, share = own, np.ones(len(own))
+                else:
+                    # the rows of the depth below that open its runs, and what they hang from
+                    begins = self.rows[depth + 1][firsts[depth + 1]]
+                    over = run[self.place[depth][self.above[depth][begins]]]
+                    for at, _ in self.cut[depth + 1]:
+                        whole = np.where(self.keys[depth + 1][begins] >> 8 == at, 0, whole)
+                    hung, weights = self.joins[depth + 1]
+                    product = np.bincount(over, whole, len(first)) + np.bincount(run[hung], weights, len(first))
+                    made[0] = (*made[0][:3], over)
+                    whole, share = mixed(own, product)
+                    for at, node in self.cut[depth]:
+                        here = np.flatnonzero(key >> 8 == at)
+                        place = (1 << level | (key[here] & 0xFF) >> 8 - level).astype("i4")
+                        if given is None:
+                            sums.append((depth, node, place, (total - ones)[here], ones[here], product[here]))
+                        else:
+                            share[here], estimate[here] = (x[place] for x in given[depth, node])
+                firsts[depth], totals[depth] = first, total
+                made.insert(0, (run, share, estimate, None))
+            yield level, made, sums
 
     def cut_nodes(self) -> list[tuple]:
         """(depth, node, place, zeros, ones, product) of the nodes that a cut runs through, over all decisions."""
         found: dict = {}
-        for level in range(8):
-            for depth, node, *values in self.mixtures(level)[1]:
+        for _, _, sums in self.mixtures():
+            for depth, node, *values in sums:
                 found.setdefault((depth, node), []).append(values)
         return [(depth, node, *(np.concatenate(x) for x in zip(*parts, strict=True))) for (depth, node), parts in found.items()]
 
     def bits(self, given: dict) -> np.ndarray:
         """Code length of each gram's byte after its context."""
         out = np.zeros(len(self.keys[DEPTH]))
-        for level in range(8):
-            made, _ = self.mixtures(level, given)
+        for level, made, _ in self.mixtures(given):
             added, left = np.zeros(1), np.ones(1)
             for depth, (run, share, estimate, over) in enumerate(made):
                 grams, hung, told = self.ends[depth]
                 if len(grams):
                     # the nodes above, if there are any, leave a part of the chance to the plain ones
                     at = made[depth - 1][0][hung] if depth else np.zeros(len(grams), "i8")
-                    bit = self.keys[DEPTH][grams] >> 7 - level & 1
-                    out[grams] -= np.log2(np.where(bit, added[at], 1 - left[at] - added[at]) + left[at] * told)
+                    bit, rest = self.keys[DEPTH][grams] >> 7 - level & 1, left[at]
+                    out[grams] -= np.log2(np.where(bit, added[at], 1 - rest - added[at]) + rest * told)
                 if depth:
                     added, left = added[over], left[over]
                 elif len(share) != 1:
@@ -722,6 +725,7 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
         kinds, parts, payloads = answers.column("kind").to_numpy(), answers.column("part").to_numpy(), answers.column("payload")
         received = lambda at, read: np.concatenate([read(payloads[i].as_py()) for i in at.tolist()]) if len(at) else np.zeros(0)
         lowered = _lowered(docs.column("text"))
+        docs = docs.drop_columns(["text"])
         rows, words = len(lowered), Words(lowered, ranges)
         counts = np.zeros(len(words.spelled))
         counts[words.order] = received(np.flatnonzero(kinds == WORDS), lambda p: np.frombuffer(_unzipped(p), "<i8"))
@@ -730,12 +734,14 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
         n_known = np.bincount(words.texts, (counts > 0)[words.tokens], rows).astype("i8") + (ends > 0)
         del words
         block, bits = Block([x.as_buffer().to_pybytes() for x in lowered]), np.zeros(rows)
+        del lowered
+        text = np.repeat(np.arange(rows, dtype="i4"), np.diff(np.r_[block.begins, len(block.bytes)]))
         for byte, at in block.groups():
             keys = block.keys(at)
             order = np.argsort(keys)
             keys = keys[order]
             own = received(np.flatnonzero((kinds == GRAMS) & (parts == byte)), _in_bits)[np.cumsum(np.r_[False, keys[1:] != keys[:-1]])]
-            bits += np.bincount(np.searchsorted(block.begins, at[order], "right") - 1, own, rows)
+            bits += np.bincount(text[at[order]], own, rows)
         n_bytes = np.diff(np.r_[block.begins, len(block.bytes)]) - DEPTH - 1
         made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": -bits * LOG10_2, "n_bytes": n_bytes, "bits_per_byte": bits / (n_bytes + 1)}
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train")} | {n: pa.array(x) for n, x in made.items()})
