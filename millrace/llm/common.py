@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,22 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
             spark.conf.set(key, most)
 
 
+def kept_rows(df: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows whose texts judge(list of texts) finds good (an array of booleans), with all their columns, of any type."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(batch.column(at).to_pylist())))
+
+    # under plain names, as names may hold dots
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    kept = plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return kept.select(*(F.col("`" + f.name.replace("`", "``") + "`").alias(f.name, metadata=f.metadata or {}) for f in df.schema))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its letters' case."""
     held = {c.lower() for c in df.columns}
@@ -94,6 +111,19 @@ def number_within(df: DataFrame, groups: list[str], order: list[str], name: str)
     return numbered.join(begins, [*groups, cell]).withColumn(name, F.col(begin) + F.col(within)).drop(cell, begin, within)
 
 
+#: Keys that more than one row in so many bears are joined by broadcast; there are fewer than this of them.
+HEAVY = 1000
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of labels, which has each key once and in `rows` how many rows bear it. Rows of a key that
+    more than one row in HEAVY bears stay where they are, the others meet their label by a shuffle."""
+    heavy = labels.filter(F.col("rows") * HEAVY > total).drop("rows")
+    others = labels.filter(F.col("rows") * HEAVY <= total).drop("rows")
+    of_others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(others, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(of_others)
+
+
 def with_fields(df: DataFrame, columns: list[str], extra: list[tuple[str, T.DataType]]) -> T.StructType:
     """Output schema of a mapInArrow(): some columns of df as they are, and new ones."""
     kinds = {f.name: f.dataType for f in df.schema}

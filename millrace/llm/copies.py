@@ -1,15 +1,15 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
-Candidates come from MinHash: the least values of a text's shingles under BANDS x ROWS orders, band by band. A pair at
-LEAST meets in no band with a chance of (1 - 0.8^4)^32, below 1 in 10^7, and a more similar pair more rarely. Every
-candidate is verified with both texts' whole sets of shingles. A band's list of n texts is not paired off at once: all
-are held against the one that most others meet, and lists that this does not join are compared in place.
+Candidates come from two sides. SimHash components of the same shingles (simhash.py) hold copies and the nearest of near
+copies, but most pairs at LEAST lie further apart than its index can guarantee to find. So MinHash adds the least values
+of a text's shingles under BANDS x ROWS orders, band by band: a pair at LEAST meets in no band with a chance of
+(1 - 0.8^4)^32, below 1 in 10^7, and a more similar pair more rarely. Every candidate is verified with both texts' whole
+sets of shingles. The list of a band, or of a component, is not paired off at once: all its texts are held against the
+one that most others meet, and lists that this does not join are compared in place.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, small_batches
-from millrace.llm.simhash import SEED, components
+from millrace.llm.simhash import SEED, components, connected, majority, shingle_hashes
 
 #: Words of a shingle; the least similarity of a link, as a fraction.
 SHINGLE_WORDS, LEAST = 5, (4, 5)
@@ -29,16 +29,7 @@ _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, "u8") |
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """The sorted set of 64-bit hashes of a whole text's shingles; a shorter text is one shingle, one without words none."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, "u8")
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "u8")
-    ends = list(accumulate([len(found[0]), *(len(w) + 1 for w in found[1:])]))
-    starts = [0, *(e + 1 for e in ends[: len(found) - words])]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)], "u8"))
+    return np.unique(shingle_hashes(text, words))
 
 
 def bands(of: np.ndarray) -> np.ndarray:
@@ -64,18 +55,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(df: DataFrame) -> DataFrame:
-    """key, rank, seal (128 bits of the set of shingles) and bands of rows with key, rank and text."""
+    """key, rank, seal (128 bits of the set of shingles), fp (SimHash) and bands of rows with key, rank and text."""
     small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
             seals = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            prints = pa.array(np.array([majority(h) for h in hashes], "u8").view("i8"))
             keys = pa.array([bands(s).view("i8") for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), seals, keys], names=["key", "rank", "seal", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), seals, prints, keys], names=["key", "rank", "seal", "fp", "bands"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select("key", "rank", "text").mapInArrow(run, f"key {kinds['key']}, rank {kinds['rank']}, seal binary, bands array<bigint>")
+    return df.select("key", "rank", "text").mapInArrow(run, f"key {kinds['key']}, rank {kinds['rank']}, seal binary, fp long, bands array<bigint>")
 
 
 def _sets(df: DataFrame, members: DataFrame) -> DataFrame:
@@ -153,10 +146,12 @@ def _compared(apart: DataFrame) -> DataFrame:
 
 def heads(df: DataFrame) -> DataFrame:
     """From rows with key (not null, alike only for rows alike), rank and text: of each group of near copies, which
-    chains of links join, the key of the row with the least rank. Texts without words are copies of each other."""
-    nodes = signatures(df).groupBy("seal").agg(F.min(F.struct("rank", "key")).alias("first"), F.first("bands").alias("bands"))
-    nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "bands"), "signatures")
-    listed = nodes.select("node", F.explode("bands").alias("band")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
+    chains of links join, the key of the row with the least rank. Texts without words are copies of each other. A null
+    text has no words; repeated rows and ties of rank fall to the least key; an empty table gives an empty one."""
+    nodes = signatures(df).groupBy("seal").agg(F.min(F.struct("rank", "key")).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "bands"), "signatures")
+    near = connected(nodes.select(F.col("node").alias("id"), "fp")).select(F.col("id").alias("node"), F.xxhash64(F.lit("simhash"), "component").alias("band"))
+    listed = nodes.select("node", F.explode("bands").alias("band")).union(near).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
     listed = durable(listed.filter(F.col("n") > 1), "bands")
     degree = listed.groupBy("node").agg(F.sum("n").alias("degree"))
     sets = durable(_sets(df, nodes.select("node", F.col("first.key").alias("key")).join(degree.select("node"), "node")), "sets")
