@@ -8,21 +8,22 @@ label, then the lines of low documents are marked anew by the field itself.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, table
+from millrace.llm.common import kept_rows, small_batches, table
 from millrace.llm.shapes import FEATURES, Scaler, adam, buffers, features
 
 #: Fixed values of the base rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = "#*$%&|<>", 3, 50, 50
 WHITE = " \t\n\v\f\r"
-#: Labelled documents that the field is trained on at most: those whose ids hash lowest.
-TRAINING_DOCS = 2000
+#: Labelled documents that the field is trained on at most: those whose ids hash lowest; and their bytes.
+TRAINING_DOCS, TRAINING_BYTES = 2000, 32 << 20
 #: Longer texts are trained on as several chains of so many lines.
 CHAIN_LINES = 64
 #: Least share of words in content lines of a kept text.
@@ -193,43 +194,63 @@ def fit(texts: list[str | None], quality: np.ndarray, steps: int = STEPS) -> Fie
     return train_field(rows, first, again, found.astype("f8"), steps) if found[quality == 0].any() else field
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, np.ndarray]:
-    """Whole texts and labels 0 or 1 of at most `most` labelled documents: those whose ids hash lowest, whatever the size."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1))
-    chosen = marks.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text")).collect()  # of repeated ids one text
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = TRAINING_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, np.ndarray]:
+    """Whole texts and labels 0 or 1 of labelled documents: those whose ids hash lowest, at most `most` of them and no
+    more than hold most_bytes together (the first is taken whatever its size). Rows that lack an id, or a label of 0 or
+    1, are passed over; an id with both labels counts twice, and of repeated ids one text is taken.
+
+    Ids are thinned by their hash before they are ordered, so that not much more than `most` reach the last task.
+    """
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 32))
+    thinned = marks.filter(place < math.ceil((1 << 32) * min(1.0, (2 * most + 1000) / max(1, marks.count()))))
+    chosen = thinned.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").distinct().orderBy(place, "_id", "_label").limit(most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most `most` ids
+    one = texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
+    so_far = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 1).over(Window.orderBy(place, "_id", "_label").rowsBetween(Window.unboundedPreceding, -1))
+    rows = one.withColumn("_before", F.coalesce(so_far, F.lit(0))).filter(F.col("_before") + F.when(F.col("_before") > 0, F.octet_length("_text")).otherwise(0) <= most_bytes).collect()
     rows = sorted(rows, key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], "i8")
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def verdicts(texts: list[str | None], field: Field | None, content_share: float = CONTENT_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (NAMES), whether the base rules fail, content share and whether it is kept, of each text."""
+    counted = np.array([counts(t) for t in texts], "i8").reshape(-1, len(NAMES))
+    rows, words, first = lines_of(texts)
+    states = field.decode(rows, first) if field is not None else np.full(len(words), CONTENT)
+    share = np.add.reduceat(np.where(states == CONTENT, words, 0), first[:-1]) / np.maximum(1, np.add.reduceat(words, first[:-1]))
+    failed = (counted[:, 0] < LEAST_WORDS) | (100 * counted[:, 4] > MOST_REPEATED_PERCENT * counted[:, 0])
+    return counted, failed, share, ~failed & (share >= content_share)
+
+
 def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
     """doc_id, the counts, base_failed, content_share and kept of every row.
 
     A null text has no words and fails the base rules, as an empty one does. Without a field all lines are content.
-    Repeated rows are judged each alike. An empty table gives an empty one.
+    A long text is read whole. Repeated rows are judged each alike. An empty table gives an empty one; other columns are
+    not looked at.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(field)  # some hundred numbers
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # some hundred numbers
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
-                continue
-            counted = np.array([counts(t) for t in texts], "i8")
-            rows, words, first = lines_of(texts)
-            states = shared.value.decode(rows, first) if shared.value is not None else np.full(len(words), CONTENT)
-            in_content = np.add.reduceat(np.where(states == CONTENT, words, 0), first[:-1])
-            share = in_content / np.maximum(1, np.add.reduceat(words, first[:-1]))
-            failed = (counted[:, 0] < LEAST_WORDS) | (100 * counted[:, 4] > MOST_REPEATED_PERCENT * counted[:, 0])
-            columns = [batch.column(0), *(pa.array(counted[:, i]) for i in range(5)), pa.array(failed), pa.array(share), pa.array(~failed & (share >= content_share))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "base_failed", "content_share", "kept"])
+            if batch.num_rows:
+                counted, failed, share, kept = verdicts(batch.column(1).to_pylist(), shared.value, content_share)
+                columns = [batch.column(0), *(pa.array(counted[:, i]) for i in range(len(NAMES))), pa.array(failed), pa.array(share), pa.array(kept)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *NAMES, "base_failed", "content_share", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, {', '.join(n + ' long' for n in names)}, base_failed boolean, content_share double, kept boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, {', '.join(n + ' long' for n in NAMES)}, base_failed boolean, content_share double, kept boolean")
+
+
+def keep(docs: DataFrame, field: Field | None, text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows that judge() keeps, with all their columns. Rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return kept_rows(docs, text_col, lambda texts: verdicts(texts, shared.value, content_share)[3])
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
