@@ -6,6 +6,7 @@ The rules label the URLs that they fit; the trees learn from a bounded sample of
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Labelled URLs that the trees are trained on at most: those that hash lowest.
 TRAINING_URLS = 20_000
 ROUNDS, LEAVES_DEPTH, RATE, BINS, RIDGE, LEAST_ROWS = 60, 3, 0.15, 32, 1.0, 5
+#: Folds of the training URLs for their suffix rates.
+FOLDS = 5
 #: Weight of the overall rate in a suffix's rate, in URLs.
 PRIOR = 10.0
 FEATURES = (
@@ -59,40 +62,52 @@ def suffixes(url: str) -> tuple[str, str]:
 
 @dataclass
 class Suffixes:
-    """Rates of blocked URLs by suffix in the training sample, drawn towards the overall rate; as many as the sample has."""
+    """Rates of blocked URLs by suffix in the training sample, drawn towards the overall rate; as many as the sample has.
+
+    Counts are kept by folds of the sample, so that a training URL's rates come from the other folds alone: with its own
+    label among them the trees would learn to read it off.
+    """
 
     overall: float
-    seen: dict[str, tuple[int, int]]
+    seen: dict[str, np.ndarray]  # URLs and blocked ones, by fold
 
     @classmethod
     def of(cls, urls: list[str], blocked: np.ndarray) -> Suffixes:
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, np.ndarray] = {}
         for u, b in zip(urls, blocked.tolist(), strict=True):
             for s in set(suffixes(u)):
-                held = seen.setdefault(s, [0, 0])
-                held[0] += 1
-                held[1] += int(b)
-        return cls(float(blocked.mean()) if len(blocked) else 0.0, {k: (n, b) for k, (n, b) in seen.items()})
+                seen.setdefault(s, np.zeros((2, FOLDS), "i8"))[:, fold_of(u)] += (1, int(b))
+        return cls(float(blocked.mean()) if len(blocked) else 0.0, seen)
+
+    def counts(self, suffix: str, without: int | None) -> tuple[int, int]:
+        if (held := self.seen.get(suffix)) is None:
+            return 0, 0
+        n, b = held.sum(1) if without is None else held.sum(1) - held[:, without]
+        return int(n), int(b)
+
+    def rates(self, url: str, without: int | None = None) -> tuple[float, float, float]:
+        """Of the last label and the last two, and how often these are seen."""
+        (n1, b1), (n2, b2) = (self.counts(s, without) for s in suffixes(url))
+        return (b1 + PRIOR * self.overall) / (n1 + PRIOR), (b2 + PRIOR * self.overall) / (n2 + PRIOR), math.log1p(n2)
+
 
-    def rate(self, suffix: str) -> float:
-        n, b = self.seen.get(suffix, (0, 0))
-        return (b + PRIOR * self.overall) / (n + PRIOR)
+def fold_of(url: str) -> int:
+    return zlib.crc32(url.encode()) % FOLDS
 
 
-def lexical(url: str | None, known: Suffixes) -> list[float]:
-    """FEATURES of a url; a null one is empty."""
+def lexical(url: str | None, known: Suffixes, without: int | None = None) -> list[float]:
+    """FEATURES of a url; a null one is empty. without: the fold whose counts are left out."""
     url = url or ""
     rest = url.partition("://")[2] if "://" in url else url
     before, _, fragment = rest.partition("#")
     address, _, query = before.partition("?")
     host, slash, path = address.partition("/")
     parts = [p for p in path.split("/") if p]
-    top, two = suffixes(url)
     digits = lambda s: sum(map(str.isdigit, s)) / max(1, len(s))
     return [
         len(url), len(host), len(slash + path), len(query), len(parts), host.count(".") + 1, digits(url), digits(host), entropy(url), entropy(host),
         len([q for q in query.split("&") if q]), url.count("-"), url.count("%"), float(url.lower().startswith("https")), max(map(len, parts), default=0),
-        sum(p.isdigit() for p in parts), float("." in parts[-1]) if parts else 0.0, float(bool(fragment)), known.rate(top), known.rate(two), math.log1p(known.seen.get(two, (0, 0))[0]),
+        sum(p.isdigit() for p in parts), float("." in parts[-1]) if parts else 0.0, float(bool(fragment)), *known.rates(url, without),
     ]
 
 
@@ -153,18 +168,23 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
 
     The longest rule that fits decides; else the trees do, blocking from an even chance on. A null url, or one without
     ://, has an empty host and path, fits no rule and is judged as the text that it is. Without rule-labelled URLs all
-    others are allowed; with one label alone, that label goes to all. Repeated rows are judged alike. An empty table
-    gives an empty one.
+    others are allowed; with one label alone, that label goes to all. Repeated rows and ids, null ones too, are judged
+    each alike; of equally long rules the last stands; a url of any length is judged as a whole. An empty table gives an
+    empty one; other columns are not looked at.
     """
     spark = df.sparkSession
     small_batches(spark, 5000)
     host, path = host_and_path(F.col(url_col))
     rule, verdict = ruling(F.col("host"), F.col("path"), rules)
     parsed = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("_ruled", verdict)
-    chosen = parsed.filter(F.col("_ruled").isNotNull()).select("_url", "_ruled").distinct().orderBy(F.xxhash64("_url"), "_url").limit(most).collect()
+    # Ruled URLs are thinned by their hash before they are ordered, so that not much more than `most` reach the last task.
+    ruled, place = parsed.filter(F.col("_ruled").isNotNull()).select("_url", "_ruled"), F.pmod(F.xxhash64("_url"), F.lit(1 << 32))
+    found = ruled.agg(F.approx_count_distinct("_url")).first()[0]
+    thinned = ruled.filter(place < math.ceil((1 << 32) * min(1.0, (2 * most + 1000) / max(1, found))))
+    chosen = thinned.distinct().orderBy(place, "_url").limit(most).collect()
     urls, blocked = [r["_url"] for r in chosen], np.array([r["_ruled"] == "block" for r in chosen], "f8")
     known = Suffixes.of(urls, blocked)
-    model = boost(np.array([lexical(u, known) for u in urls]).reshape(-1, len(FEATURES)), blocked)
+    model = boost(np.array([lexical(u, known, fold_of(u)) for u in urls]).reshape(-1, len(FEATURES)), blocked)
     shared = spark.sparkContext.broadcast((known, model))  # suffixes of at most `most` URLs, and ROUNDS trees
 
     def run(batches):
