@@ -1,7 +1,9 @@
 """Exact top-k inner-product search over integer vectors.
 
-Queries and candidates are packed into tiles. Every pair of a block of queries and a tile of candidates is one matrix
-product, of which only each query's best k are kept; lists of neighbouring tiles are then merged, level by level.
+Queries are packed into blocks and candidates into tiles, and these are dealt into groups. A cell of the grid of groups
+holds its query blocks and lets its tiles stream past them: every pair is one matrix product, of which only each query's
+best k are kept and merged with those of the tiles before. Lists of neighbouring groups are then merged, level by level.
+So a tile is sent once for each group of query blocks, and a block once for each group of tiles.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from millrace.llm.common import durable, number_within, table
 QUERY_ROWS, TILE_ROWS, FAN_IN = 1024, 4096, 16
 #: Factor before rounding down.
 SCALE = 64
-#: Tasks that the tile products are dealt over at most.
-MOST_TASKS = 100_000
+#: Query blocks and tiles in a cell of the grid at most.
+CELL_BLOCKS, CELL_TILES = 64, 64
 TILE_SCHEMA = "tile long, dims int, ids binary, cells binary, kind string"
 LONGEST = 2**63 - 1
 
@@ -99,17 +101,30 @@ def best(scores: np.ndarray, ids: np.ndarray, barred: np.ndarray, k: int) -> tup
     return rows[place < k], cols[place < k]
 
 
-def _partial(k: int):
-    """Each query's best k of one tile."""
-
-    def run(batches):
-        names = ["query_id", "group", "vec_id", "score"]
-        for batch in batches:
-            for r in batch.to_pylist():
-                query_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                scores = products(_unpacked(r["q_cells"], r["q_kind"], r["dims"]), _unpacked(r["cells"], r["kind"], r["dims"]))
+def _cell(k: int):
+    """Each query's best k of the tiles of one cell."""
+
+    def run(asked: pa.Table, tiles: pa.Table) -> pa.Table:
+        made: list[list[np.ndarray]] = [[np.zeros(0, "i8")] for _ in range(4)]
+        group = tiles.column("group")[0].as_py() if tiles.num_rows else 0
+        held = tiles.select(["dims", "ids", "cells", "kind"]).to_pylist() if asked.num_rows else []
+        for q in asked.select(["dims", "ids", "cells", "kind"]).to_pylist():
+            query_ids, queries = np.frombuffer(q["ids"], "<i8"), _unpacked(q["cells"], q["kind"], q["dims"])
+            row, vec, score = (np.zeros(0, "i8") for _ in range(3))
+            for t in held:
+                if t["dims"] != q["dims"]:
+                    continue
+                ids = np.frombuffer(t["ids"], "<i8")
+                scores = products(queries, _unpacked(t["cells"], t["kind"], t["dims"]))
                 rows, cols = best(scores, ids, query_ids[:, None] == ids[None, :], k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(np.full(len(rows), r["number"]), pa.int64()), pa.array(ids[cols]), pa.array(scores[rows, cols])], names=names)
+                row, vec, score = np.r_[row, rows], np.r_[vec, ids[cols]], np.r_[score, scores[rows, cols]]
+                order = np.lexsort((vec, ~score, row))
+                row, vec, score = row[order], vec[order], score[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, vec, score = row[kept], vec[kept], score[kept]
+            for into, values in zip(made, (query_ids[row], np.full(len(row), group), vec, score), strict=True):
+                into.append(values)
+        return pa.table({n: pa.array(np.concatenate(x), pa.int64()) for n, x in zip(("query_id", "group", "vec_id", "score"), made, strict=True)})
 
     return run
 
@@ -120,7 +135,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     Components are floor(scale * x). Rows whose id or vector is null, whose vector is empty or holds a null or
     non-finite component take no part; vectors of different lengths aren't compared. Ties go to the smaller id. A
     repeated candidate row counts each time; of query rows with one id, the least vector asks. Fewer than k candidates
-    are all returned, and a query with none has no row. Scores beyond 64 bits are the nearest 64-bit integer.
+    are all returned, and a query with none has no row. Scores beyond 64 bits are the nearest 64-bit integer. Empty
+    tables give an empty one; other columns are not looked at.
     """
     spark = candidates.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -131,14 +147,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     n_blocks, n_tiles = blocks.count(), tiles.count()
     if not n_blocks or not n_tiles:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    numbers = number_within(blocks.select("tile", F.lit(0).alias("one")), ["one"], ["tile"], "block").select("tile", "block")
-    q = blocks.join(numbers, "tile").select("block", "dims", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("kind").alias("q_kind"))
-    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    c = tiles.withColumn("number", F.pmod(F.xxhash64("tile"), F.lit(n_tiles))).withColumn("block", every_block)
-    pairs = c.join(q, ["block", "dims"]).select("dims", "number", "block", "ids", "cells", "kind", "q_ids", "q_cells", "q_kind")
-    pairs = pairs.repartition(min(n_blocks * n_tiles, MOST_TASKS), "block", "number")
-    lists = pairs.mapInArrow(_partial(k), "query_id long, group long, vec_id long, score long")
-    groups = n_tiles
+    cores = spark.sparkContext.defaultParallelism
+    block_groups, tile_groups = -(-n_blocks // CELL_BLOCKS), -(-n_tiles // max(1, min(CELL_TILES, n_tiles // (4 * cores))))
+    numbered = lambda df, name: df.join(number_within(df.select("tile", F.lit(0).alias("one")), ["one"], ["tile"], name).select("tile", name), "tile")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = numbered(blocks, "number").withColumn("mine", F.col("number") % block_groups).withColumn("other", every(tile_groups)).withColumn("cell", F.col("mine") * tile_groups + F.col("other"))
+    given = numbered(tiles, "number").withColumn("group", F.col("number") % tile_groups).withColumn("other", every(block_groups)).withColumn("cell", F.col("other") * tile_groups + F.col("group"))
+    columns = ["cell", "dims", "ids", "cells", "kind"]
+    dealt = asked.select(*columns).repartition(min(block_groups * tile_groups, 100_000), "cell").groupBy("cell").cogroup(given.select(*columns, "group").groupBy("cell"))
+    lists = dealt.applyInArrow(_cell(k), "query_id long, group long, vec_id long, score long")
+    groups = tile_groups
     while True:
         groups = -(-groups // FAN_IN)
         merged = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "vec_id")
