@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -117,21 +119,70 @@ def test_rules_and_classifier_tell_quality(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in scored]) > 0.95
 
 
+def test_classifier_reads_content(spark):
+    """Fluent texts, whose letters in another order are bad ones although no character of theirs is."""
+    d = "/root/testdata/sf0.01"
+    model = quality.trained(spark, d)
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1")
+    texts = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"), 3) & (F.length("text") > 300)).collect()]
+    rng = random.Random(1)
+    mixed = [" ".join("".join(rng.sample(w, len(w))) for w in t.split(" ")) for t in texts]
+    assert len(texts) > 50 and model.scores(texts).mean() > 0.95 and model.scores(mixed).mean() < 0.2
+
+
 def test_classifier_edges(docs):
     assert {r["predicted"] for r in quality.classify(docs, quality.fit([], np.zeros(0, "i8"))).collect()} == {1}
     network = quality.fit(["good text here."] * 8 + ["$$$ ### &&&"] * 8, np.array([1] * 8 + [0] * 8))
     rows = quality.classify(docs, network).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.classify(docs.limit(0), network).count() == 0
+    texts = [t for _, t in AWKWARD]
+    assert np.allclose(network.scores(texts), np.concatenate([network.scores([t]) for t in texts]), atol=1e-5)
 
 
-def test_network_gradient():
+def test_known_cells_leave_out_the_own_text():
+    texts, labels = ["abcdefgh", "abcdefgh", "stuvwxyz", "01234567"], np.array([1, 1, 1, 0])
+    known = quality.known_cells(texts, labels)
+    shares = lambda own: quality.passages(texts, known, own)[0][:, :2]  # noqa: E731  of bad and of good texts' grams
+    assert np.allclose(shares(None), [[0, 1], [0, 1], [0, 1], [1, 0]])
+    assert np.allclose(shares(labels), [[0, 1], [0, 1], [0, 0], [0, 0]])
+    assert np.allclose(shares(np.full(4, quality.NOISE)), shares(None))
+
+
+def test_network_forward_and_gradient():
     rng = np.random.default_rng(0)
-    rows, first, labels = rng.normal(size=(12, 5)), np.array([0, 3, 4, 9, 12]), np.array([1, 0, 1, 0])
-    before = quality.train(rows, first, labels, steps=1)
-    after = quality.train(rows, first, labels, steps=200)
-    loss = lambda m: -np.mean(np.log(np.where(labels == 1, m.scores(rows, first), 1 - m.scores(rows, first))))
-    assert loss(after) < 0.3 < loss(before)
+    x, first, labels = rng.normal(size=(12, 5)), np.array([0, 3, 4, 9, 12]), np.array([1, 0, 1, 0])
+    parameters = quality.initial(5, rng)
+    encode, bias, value, gate, weigh, out, offset = parameters
+    logits, _ = quality.forward(parameters, x, first)
+    for i in range(4):
+        encoded = [np.tanh(r @ encode + bias) for r in x[first[i] : first[i + 1]]]
+        attention = [math.exp(float(sum(np.tanh(h @ value) * (1 / (1 + np.exp(-(h @ gate)))) * weigh))) for h in encoded]
+        whole = sum(a * h for a, h in zip(attention, encoded, strict=True)) / sum(attention)
+        assert logits[i] == pytest.approx(whole @ out + offset[0])
+
+    def loss(p):
+        chance = quality.sigmoid(quality.forward(p, x, first)[0])
+        return -np.mean(np.log(np.where(labels == 1, chance, 1 - chance))) + quality.RIDGE / 2 * sum((q**2).sum() for q in p)
+
+    for k, g in enumerate(quality.gradient(parameters, x, first, labels)):
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 12)]:
+            moved = [[q.copy() for q in parameters] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            assert g[at] == pytest.approx((loss(moved[0]) - loss(moved[1])) / 2e-5, abs=1e-7)
+    trained = quality.train(x, first, labels, steps=200)
+    assert loss(trained) < 0.3 < loss(quality.initial(5, np.random.default_rng(quality.SEED)))
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(300)] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, 0), (None, 1), (400, 1)], "doc_id long, quality int")
+    texts, marks = rules.training_sample(docs, labels, "quality", 1000)
+    assert len(texts) == len(marks) == 201  # 5 bears both labels
+    assert len(rules.training_sample(docs, labels, "quality", 20)[0]) == 20
+    assert len(rules.training_sample(docs, labels, "quality", 1000, most_bytes=1000)[0]) <= 10
+    assert len(rules.training_sample(docs, labels, "quality", 1000, most_bytes=1)[0]) == 1
 
 
 def test_urls(spark):
@@ -146,6 +197,39 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def plain_ruling(url):
+    head, sign, rest = (url or "").partition("://")
+    if not sign:
+        return "", "", None, None
+    ends = [i for i, c in enumerate(rest) if c in "/?#"]
+    host, after = (rest[: ends[0]], rest[ends[0] :]) if ends else (rest, "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    path = after[: min([i for i, c in enumerate(after) if c in "?#"], default=len(after))]
+    fits = [(len(h + p), h + p, what) for what, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_urls_of_all_pages(spark):
+    """Hosts, paths and rules against plain code; and the trees' verdicts against the trees on every url by itself."""
+    d = "/root/testdata/sf0.01"
+    odd = [(None, "http://a.com/en/"), (None, None), (-1, "http://" + "x" * 100_000 + ".net/de/"), (-2, "HTTP://A.COM/en/\u00e9?://b"), (-2, "http://org/es/\n://"), (-3, "://"), (-4, "http://net/de/#")]
+    df = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.lit("x").alias("host"), F.lit(1).alias("_ruled"))
+    df = df.union(spark.createDataFrame(odd, "page_id long, url string").select("page_id", "url", F.lit("x"), F.lit(1)))
+    made = urls.judge(df).collect()
+    expected = Counter((r["page_id"], *plain_ruling(r["url"])[:3]) for r in df.collect())
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"]) for r in made) == expected
+    verdict = {"/".join(r[1:2]) + r[2]: r[0] for r in urls.RULES}
+    assert all(r["verdict"] == verdict[r["rule"]] for r in made if r["rule"]) and {r["verdict"] for r in made if not r["rule"]} <= {"allow", "block"}
+    assert all(r["verdict"] == ("block" if r["block_chance"] >= 0.5 else "allow") for r in made if not r["rule"])
+
+
+def test_suffix_rates_are_out_of_fold():
+    known = urls.Suffixes.of(["http://a.x.com/1", "http://b.x.com/2", "http://c.y.org/3"], np.array([1.0, 1.0, 0.0]))
+    one = "http://c.y.org/3"
+    assert known.rates(one)[1] < known.rates(one, urls.fold_of(one))[1] == pytest.approx(known.overall)
+    assert known.rates("http://z.x.com/9")[2] == pytest.approx(math.log1p(2))
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
@@ -284,6 +368,22 @@ def test_simhash(docs, real, bits, list_rows):
     assert Counter(((r["id"], r["fp"] % 2**64), r["component"]) for r in rows) == expected
 
 
+@pytest.mark.parametrize("bits", range(1, 8))
+def test_place_sets_leave_no_pair_out(bits):
+    for agreeing in combinations(range(8), 8 - bits):
+        assert any(set(c) <= set(agreeing) for c in simhash.place_sets(bits))
+
+
+def test_simhash_long_lists(spark):
+    """Near copies that all share most bytes: their lists are far longer than a task takes, and dealt into chunks."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) & ~0xFFF0 for _ in range(20)]
+    near = sorted({0x1234 << 48 | rng.getrandbits(12) << 4 for _ in range(900)} | {f for f in fps} | {f ^ 0b11011 for f in fps})
+    prints = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(near)], "id long, fp long")
+    made = {r["id"]: r["component"] for r in simhash.connected(prints, 4, list_rows=64).collect()}
+    assert [made[i] for i in range(len(near))] == plain_components(near, list(range(len(near))), 4)
+
+
 def test_simhash_long_chains(spark):
     chain = [0]
     for k in range(14):
@@ -354,6 +454,63 @@ def test_sharding(docs, real):
     assert {r["shard"] for r in sharding.shard(real, target_bytes=10**9).collect()} == {0}
 
 
+def plain_shards(rows, dims, leaves, group_tolerance):
+    """Shard of each of (size, keys): nodes are cut one by one, by sorting their rows."""
+    out = {}
+
+    def split(some, leaves, first):
+        if leaves == 1 or not some:
+            out.update({i: first for i in some})
+            return
+        low_bits, left = sharding.TEXT_BITS + sharding.ID_BITS, leaves // 2
+        spread = [max(rows[i][1][d] for i in some) // 2**low_bits - min(rows[i][1][d] for i in some) // 2**low_bits for d in range(dims)]
+        dim = max(range(dims), key=lambda d: (spread[d], -d))
+        total = sum(rows[i][0] for i in some)
+        want, cut, below = total * left / leaves, None, 0
+        for unit in (2**sharding.ID_BITS, 1):  # whole groups first, then rows
+            cells: dict = {}
+            for i in some:
+                cells[rows[i][1][dim] // unit] = cells.get(rows[i][1][dim] // unit, 0) + rows[i][0]
+            below = 0
+            for cell, weight in sorted(cells.items()):
+                if below + weight > want:
+                    break
+                below += weight
+            cut = (cell if want - below <= below + weight - want else cell + 1) * unit
+            if min(want - below, below + weight - want) <= group_tolerance * total / leaves:
+                break
+        split([i for i in some if rows[i][1][dim] < cut], left, first)
+        split([i for i in some if rows[i][1][dim] >= cut], leaves - left, first + left)
+
+    split(list(range(len(rows))), leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("group_tolerance", [0.0, 0.02, 0.5])
+def test_sharding_like_a_plain_tree(spark, group_tolerance):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = ("n_chars", "doc_id", "source", "lang")
+    keyed, n = sharding.keys(df, dims, "doc_id", "text")
+    held = sorted(keyed.collect(), key=lambda r: r["doc_id"])
+    expected = plain_shards([(r["_size"], [r[f"_key{d}"] for d in range(n)]) for r in held], n, 24, group_tolerance)
+    made = {r["doc_id"]: r["shard"] for r in sharding.shard(df, shards=24, tolerance=0.0, group_tolerance=group_tolerance).collect()}
+    assert made == {r["doc_id"]: expected[i] for i, r in enumerate(held)}
+
+
+def test_shards_keep_equal_texts_together(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = sharding.shard(df, shards=24).join(df.select("doc_id", "text"), "doc_id")
+    parted = made.groupBy("text").agg(F.countDistinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    split, groups = parted.filter("n > 1").count(), parted.count()
+    assert groups > 40 and split <= 6
+    sizes = [r[0] for r in made.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= df.agg(F.max(F.octet_length("text"))).first()[0]
+    # a group that is too large for a shard is parted; ties of all dimensions, nulls, clashing names
+    hot = spark.createDataFrame([(i if i % 7 else None, "the same", 8, "z") for i in range(600)] + [(i, f"text {i}", None, None) for i in range(600, 700)], "doc_id long, text string, n_chars long, _size string")
+    sizes = np.bincount([r["shard"] for r in sharding.shard(hot, shards=6).collect()], minlength=6)
+    assert sizes.sum() == 700 and sizes.min() > 60
+
+
 def test_search(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 64]) for i in range(90)]
@@ -375,6 +532,22 @@ def test_search(spark):
     assert search.top_k(huge, huge).first()["score"] == 2**63 - 1
 
 
+def test_search_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "TILE_ROWS", 9)
+    monkeypatch.setattr(search, "CELL_BLOCKS", 2)
+    monkeypatch.setattr(search, "CELL_TILES", 3)
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 64], i, "x") for i in range(300)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, number long, cell string")
+    made = search.top_k(df.filter("vec_id % 6 = 0"), df, k=5).collect()
+    whole = np.array([[math.floor(64 * x) for x in v] for _, v, *_ in vectors])
+    for q in range(0, 300, 6):
+        scored = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted(made, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in scored]
+    assert len(made) == 250
+
+
 def test_search_against_sql(spark):
     import duckdb
 
@@ -398,10 +571,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(expected)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, clean.limit(0), DATA).count() == 0
-    # rows that differ only in which column is null, and a column whose name holds a dot
-    odd = spark.createDataFrame([(1, "a text of its own", 5, None), (1, "a text of its own", None, 5)], "doc_id long, text string, n_chars long, `a.b` long")
-    assert len({tuple(r) for r in odd.select(corpus_pipeline._identity(odd)).collect()}) == 2
-    assert corpus_pipeline.simhash_near_dedup(spark, odd, DATA).columns == odd.columns
+
+
+def test_stages_keep_rows_as_they_are(spark):
+    """Maps and structs, names with dots and of the operators' own, nulls, repeated rows and ties."""
+    clean = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()
+    kind = "doc_id long, text string, lang string, number long, `a.b` map<string,array<int>>, _row struct<key:string,rank:int>"
+    rows = [(r["doc_id"], r["text"], r["lang"], i, {"k": [i, None]}, ("x", i)) for i, r in enumerate(clean)]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None, None, None), (None, None, "en", 1, {}, None), (7, "", None, None, None, None), (None, LONG, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    key = lambda r: repr(r)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns and [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+        held = sorted(map(key, docs.collect()))
+        kept = sorted(map(key, made.collect()))
+        assert not Counter(kept) - Counter(held) and len(kept) >= 40, name
+    field = rules.fit(*rules.training_sample(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"), "quality", rules.TRAINING_DOCS))
+    judged = [r["kept"] for r in rules.judge(docs, field).collect()]
+    assert sorted(map(key, rules.keep(docs, field).collect())) == sorted(key(r) for r, ok in zip(docs.collect(), judged, strict=True) if ok)
+    model = quality.trained(spark, DATA)
+    good = [r["predicted"] for r in quality.classify(docs, model).collect()]
+    assert sorted(map(key, quality.keep(docs, model).collect())) == sorted(key(r) for r, ok in zip(docs.collect(), good, strict=True) if ok)
+    once = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
+    assert sum(r["text"] == rows[0][1] for r in once) == 1
+    assert sum(not (r["text"] or "").strip() for r in once) == 1 and [r["doc_id"] for r in once if r["text"] == rows[1][1]] == [None]
 
 
 def test_token_counts_like_the_library(spark, docs, real):
