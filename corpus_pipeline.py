@@ -1,80 +1,68 @@
 """A corpus, from raw documents to packed sequences: rules, classifier, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+stage's docs. All stages but the last return the columns of documents, of whatever names and types. In every stage a null
+text is an empty one, repeated rows and ids are judged each alike, long texts are read whole, and an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import copies, packing, quality, rules, simhash
 from millrace.llm.common import durable, fresh, table
 
-
-def _columns(docs: DataFrame) -> list[Column]:
-    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-
-
-def _identity(docs: DataFrame) -> Column:
-    """128 bits of all columns of a row and of which of them are null."""
-    seen = [x for c in _columns(docs) for x in (c, c.isNull())]
-    return F.concat(F.lpad(F.hex(F.xxhash64(*seen)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), *seen)), 16, "0"))
-
-
-def _kept(docs: DataFrame, judge, good) -> DataFrame:
-    """The rows of docs that are good as judge(ids and texts) sees them, with their columns.
-
-    Rows are told apart by a hash of all their columns, so null, repeated and clashing ids do no harm; rows alike in all
-    columns are judged alike.
-    """
-    row = fresh(docs, "row")
-    named = docs.withColumn(row, _identity(docs))
-    verdicts = durable(judge(named.select(F.col(row).alias("row"), "text")).filter(good).select(F.col("doc_id").alias(row)).distinct(), "kept")
-    return named.join(verdicts, row, "left_semi").select(*_columns(docs))
+#: Numbers of dropped rows that are broadcast at most (8 bytes each); more of them meet the rows by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or whose content share is too low."""
+    """Drops documents that fail the base rules (as one without words does) or whose content share is too low. The field
+    is trained on labelled documents of the whole table."""
     field = rules.fit(*rules.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", rules.TRAINING_DOCS))
-    return _kept(docs, lambda d: rules.judge(d, field, id_col="row"), F.col("kept"))
+    return rules.keep(docs, field)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier predicts to be of low quality."""
-    model = quality.trained(spark, sf_dir)
-    return _kept(docs, lambda d: quality.classify(d, model, id_col="row"), F.col("predicted") == 1)
+    """Drops documents that the classifier predicts to be of low quality; without labels of both kinds it drops none or
+    all, as the labels say."""
+    return quality.keep(docs, quality.trained(spark, sf_dir))
 
 
 def _firsts(docs: DataFrame, choose) -> DataFrame:
-    """The rows of docs that choose(rows with key, rank and text) names by their keys, of repeated rows one."""
-    head, number = fresh(docs, "head"), fresh(docs, "number")
-    keyed = docs.withColumn(head, _identity(docs))
-    ranked = keyed.select(F.col(head).alias("key"), F.struct("doc_id", F.col(head).alias("hash")).alias("rank"), "text")
-    heads = durable(choose(ranked).select(F.col("key").alias(head)).distinct(), "heads")
-    once = Window.partitionBy(head).orderBy(head)
-    return keyed.join(heads, head, "left_semi").withColumn(number, F.row_number().over(once)).filter(F.col(number) == 1).select(*_columns(docs))
+    """The rows of docs that choose(rows with key, rank and text) names by their keys.
+
+    Rows are numbered and stored once, so that a number names a row whatever its columns hold; rows alike differ in it.
+    """
+    number = fresh(docs, "number")
+    rows = durable(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    ranked = rows.select(F.col(number).alias("key"), F.struct("doc_id", F.col(number).alias("number")).alias("rank"), "text")
+    heads = choose(ranked).select(F.col("key").alias(number))
+    dropped = durable(rows.select(number).join(heads, number, "left_anti"), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if few else dropped, number, "left_anti").drop(number)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more, the
-    document with the smallest doc_id (null first), of repeated rows one."""
+    document with the smallest doc_id (null first), of equal ids one. Documents without words are copies of each other."""
     return _firsts(docs, copies.heads)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same by op7's links of four bits, which most near copies at 0.8 lie beyond; no stage of the pipeline."""
+    """The same by op7's links of four bits alone, which most near copies at 0.8 lie beyond; no stage of the pipeline."""
 
     def choose(ranked):
         found = simhash.near_duplicates(ranked, id_col="rank")
-        return found.filter(F.col("id") == F.col("component")).select(F.col("id.hash").alias("key"))
+        return found.filter(F.col("id") == F.col("component")).select(F.col("id.number").alias("key"))
 
     return _firsts(docs, choose)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of at most 1024 tokens."""
+    """Places of all documents' pieces in sequences of at most 1024 tokens. A document without a text is its end alone."""
     cut = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(durable(cut, "pieces"), order=("doc_id", "piece", "ids_crc32"))
 
