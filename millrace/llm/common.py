@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from millrace.shipping import shared_folder
 
 #: Bytes of an Arrow batch, one longer row excepted.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: Whether Spark deletes a query's shuffle files when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that a cell of number_within() holds on average.
@@ -53,6 +54,15 @@ def forget(made: DataFrame) -> None:
     path.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slim() -> None:
+    """Gives memory that a Python worker has freed back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows and bytes: whole texts are long, and Python holds one batch at a time."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

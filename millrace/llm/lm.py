@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, held_out, small_batches, table
+from millrace.llm.common import durable, held_out, slim, small_batches, table
 
 #: Bytes of the longest context; a context fits 64 bits.
 DEPTH = 8
@@ -41,6 +41,8 @@ BLOCK_BYTES, RANGE_BYTES, MOST_RANGES = 12 << 20, 2 << 20, 1 << 22
 SAMPLES = 32
 #: Stands before a text's start and for its end, and marks the places before a start; no UTF-8 text holds these bytes.
 EDGE, PASSED = 0xFF, 0xFE
+#: Bytes of a block that are dealt out at a time.
+SORTED = 1 << 20
 #: Counts up to which gamma functions are looked up, and those up to which pairs are.
 TABLED, PAIRED = 1 << 13, 64
 #: Parts of a bit in which code lengths travel; longer ones than 16 bits of these hold travel whole.
@@ -92,11 +94,13 @@ class Block:
 
     def __init__(self, texts: list[bytes]) -> None:
         edge = bytes([EDGE])
-        self.bytes = np.frombuffer(b"".join(x for t in texts for x in (edge * DEPTH, t, edge)), "u1")
+        self.bytes = np.frombuffer(edge * DEPTH + (edge * (DEPTH + 1)).join(texts) + edge, "u1")
         sizes = np.array([len(t) + DEPTH + 1 for t in texts], "i8")
         self.begins = np.r_[0, np.cumsum(sizes)[:-1]].astype("i8")
         # the context of place p is the eight bytes that follow place n - p in the reversed text
-        self._contexts = np.ndarray((len(self.bytes) + 1,), ">u8", self.bytes[::-1].tobytes() + bytes(8), strides=(1,))
+        back = np.zeros(len(self.bytes) + 8, "u1")
+        back[: len(self.bytes)] = self.bytes[::-1]
+        self._contexts = np.ndarray((len(self.bytes) + 1,), ">u8", back.data, strides=(1,))
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Of the places of bytes: their contexts but for the nearest byte, and the byte itself below."""
@@ -107,12 +111,13 @@ class Block:
         before = np.r_[np.uint8(0), self.bytes[:-1]]
         for i in range(DEPTH):
             before[self.begins + i] = PASSED
-        counts = np.bincount(before, minlength=256)
-        order, ends = np.argsort(before, kind="stable"), np.cumsum(counts)
-        del before
-        for byte in np.flatnonzero(counts).tolist():
+        parts = []  # sorting some bytes at a time takes little memory besides
+        for at in range(0, len(before), SORTED):
+            some = before[at : at + SORTED]
+            parts.append((at, np.argsort(some, kind="stable").astype("i4"), np.r_[0, np.cumsum(np.bincount(some, minlength=256))]))
+        for byte in np.flatnonzero(np.bincount(before, minlength=256)).tolist():
             if byte != PASSED:
-                yield byte, order[ends[byte] - counts[byte] : ends[byte]]
+                yield byte, np.concatenate([order[ends[byte] : ends[byte + 1]] + np.int64(at) for at, order, ends in parts])
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,14 +232,16 @@ class Words:
 
     def __init__(self, texts: pa.Array, ranges: int) -> None:
         lists = pc.ascii_split_whitespace(texts)
-        of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        of = np.repeat(np.arange(len(texts), dtype="i4"), np.diff(lists.offsets.to_numpy()))
         coded = lists.flatten().dictionary_encode()
+        del lists
         # white space at a text's ends leaves empty words, which are none
         written = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0 if len(coded.dictionary) else np.zeros(0, bool)
         self.spelled = coded.dictionary.filter(pa.array(written))
         number = coded.indices.to_numpy(zero_copy_only=False)
         real = written[number] if len(number) else np.zeros(0, bool)
-        self.texts, self.tokens = of[real], (np.cumsum(written) - 1)[number[real]]
+        self.texts, self.tokens = of[real], (np.cumsum(written, dtype="i4") - np.int32(1))[number[real]]
+        del coded, number, of, real
         to = _hashed(self.spelled, ranges)
         self.order = np.argsort(to, kind="stable")
         self.to = to[self.order]
@@ -636,6 +643,7 @@ def _gathered(cuts):
         rows = [(GRAMS, key, -1, 0, _closed(held))]
         for depth, node, *values in Range(contexts, last, counts, *_bounds(cuts.value, key)).cut_nodes():
             rows.append((CUT, key, node - (1 << 64) if node >> 63 else node, depth, _zipped(np.stack([v.astype("<f8") for v in values]))))
+        slim()
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -662,6 +670,7 @@ def _answers(cuts, top):
                 bits = Range(contexts, last, counts, *_bounds(cuts.value, key)).bits(given)
                 parts = zip(held.column("block").to_pylist()[1:], held.column("part").to_pylist()[1:], range(1, len(sent)), strict=True)
                 yield _batch([(GRAMS, key, block, part, _lengths(bits[_stepped(sent[i].as_py())])) for block, part, i in parts])
+            slim()
 
     return run
 
@@ -696,6 +705,7 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
                     if len(rows) >= 64:
                         yield _batch(rows)
                         rows.clear()
+                slim()
         if rows:
             yield _batch(rows)
 
@@ -743,6 +753,8 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
             own = received(np.flatnonzero((kinds == GRAMS) & (parts == byte)), _in_bits)[np.cumsum(np.r_[False, keys[1:] != keys[:-1]])]
             bits += np.bincount(text[at[order]], own, rows)
         n_bytes = np.diff(np.r_[block.begins, len(block.bytes)]) - DEPTH - 1
+        del block, text
+        slim()
         made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": -bits * LOG10_2, "n_bytes": n_bytes, "bits_per_byte": bits / (n_bytes + 1)}
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train")} | {n: pa.array(x) for n, x in made.items()})
 

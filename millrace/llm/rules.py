@@ -146,33 +146,41 @@ class Field:
         return states[mask]
 
 
+def expectations(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By forward and backward sums over chains of lines: each line's chances of the states (0 where there is no line),
+    and each chain's expected numbers of moves. Sums are kept to 1 step by step instead of taking logarithms."""
+    chains, most, _ = scores.shape
+    weigh, step = np.exp(scores - scores.max(2, keepdims=True)), np.exp(moves - moves.max())
+    ahead, behind, norm = np.empty_like(weigh), np.ones_like(weigh), np.ones((chains, most))
+    ahead[:, 0] = weigh[:, 0] / weigh[:, 0].sum(1, keepdims=True)
+    for t in range(1, most):
+        now = ahead[:, t - 1] @ step * weigh[:, t]
+        norm[:, t] = now.sum(1)
+        ahead[:, t] = np.where(mask[:, t, None], now / norm[:, t, None], ahead[:, t - 1])
+    for t in range(most - 2, -1, -1):
+        now = (weigh[:, t + 1] * behind[:, t + 1]) @ step.T / norm[:, t + 1, None]
+        behind[:, t] = np.where(mask[:, t + 1, None], now, 1)
+    states = ahead * behind
+    states *= mask[:, :, None] / states.sum(2, keepdims=True)
+    later = weigh[:, 1:] * behind[:, 1:] * (mask[:, 1:] / norm[:, 1:])[:, :, None]
+    return states, np.matmul(ahead[:, :-1].transpose(0, 2, 1), later) * step
+
+
 def train_field(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Field:
-    """Maximum likelihood, by forward and backward sums over all texts together; weight is each text's."""
+    """Maximum likelihood over all texts together; weight is each text's."""
     scaler = Scaler(rows)
     x, mask = padded(np.column_stack([scaler(rows), np.ones(len(rows))]), first)
     y, _ = padded(labels.astype("f8"), first)
     truth = np.stack([1 - y, y], 2) * mask[:, :, None]
-    inner = mask[:, 1:]
-    true_moves = np.einsum("n,nta,ntb->ab", weight, truth[:, :-1] * inner[:, :, None], truth[:, 1:])
+    true_moves = np.einsum("n,nab->ab", weight, np.matmul((truth[:, :-1] * mask[:, 1:, None]).transpose(0, 2, 1), truth[:, 1:]))
     total = (weight[:, None] * mask).sum()
+    flat = x.reshape(-1, x.shape[2])
 
     def gradients(parameters, _):
         weights, moves = parameters
-        scores = x @ weights
-        most = scores.shape[1]
-        ahead, behind = scores.copy(), np.zeros_like(scores)
-        for t in range(1, most):
-            step = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1]) + scores[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
-        whole = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        for t in range(most - 2, -1, -1):
-            later = scores[:, t + 1] + behind[:, t + 1]
-            step = np.logaddexp(later[:, :1] + moves[:, 0], later[:, 1:] + moves[:, 1])
-            behind[:, t] = np.where(mask[:, t + 1, None], step, 0)
-        expected = np.exp(np.minimum(0, ahead + behind - whole[:, None, None])) * mask[:, :, None]
-        both = ahead[:, :-1, :, None] + moves + (scores + behind)[:, 1:, None, :] - whole[:, None, None, None]
-        moved = np.einsum("n,ntab->ab", weight, np.exp(np.minimum(0, both)) * inner[:, :, None, None])
-        return [np.einsum("n,ntf,nts->fs", weight, x, expected - truth) / total + RIDGE * weights, (moved - true_moves) / total + RIDGE * moves]
+        states, moved = expectations((flat @ weights).reshape(*mask.shape, 2), moves, mask)
+        off = ((states - truth) * weight[:, None, None]).reshape(-1, 2)
+        return [flat.T @ off / total + RIDGE * weights, (np.einsum("n,nab->ab", weight, moved) - true_moves) / total + RIDGE * moves]
 
     weights, moves = adam([np.zeros((x.shape[2], 2)), np.zeros((2, 2))], gradients, steps, RATE)
     return Field(scaler, weights, moves)

@@ -108,6 +108,20 @@ def test_lines_and_viterbi():
         assert got[a:b].tolist() == [best >> t & 1 for t in range(n)]
 
 
+def test_chances_of_states_by_enumeration():
+    rng = np.random.default_rng(4)
+    scores, moves, lengths = rng.normal(size=(4, 5, 2)) * 3, rng.normal(size=(2, 2)), [1, 2, 5, 4]
+    mask = np.arange(5)[None, :] < np.array(lengths)[:, None]
+    states, moved = rules.expectations(scores, moves, mask)
+    for c, n in enumerate(lengths):
+        weights = {m: math.exp(sum(scores[c, t, m >> t & 1] for t in range(n)) + sum(moves[m >> t & 1, m >> t + 1 & 1] for t in range(n - 1))) for m in range(2**n)}
+        whole = sum(weights.values())
+        for t in range(5):
+            assert states[c, t, 1] == pytest.approx(sum(w for m, w in weights.items() if m >> t & 1) / whole if t < n else 0)
+        for a, b in np.ndindex(2, 2):
+            assert moved[c, a, b] == pytest.approx(sum(w * sum((m >> t & 1, m >> t + 1 & 1) == (a, b) for t in range(n - 1)) for m, w in weights.items()) / whole)
+
+
 def test_rules_and_classifier_tell_quality(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
