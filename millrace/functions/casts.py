@@ -74,6 +74,28 @@ def strict(c: Column, to: FieldType, name: str) -> Column:
     return F.when(c.isNotNull() & parsed.isNull(), raised(PlanError, said).cast(to.spark)).otherwise(parsed)
 
 
+def checked(c: Column, dtype: T.DataType, to: FieldType, name: str) -> Column:
+    """A typed column as the type, where nothing may be lost: a value that the type can't hold as it is fails the query,
+    and kinds that have nothing to do with each other fail the plan."""
+    kind = kind_of(dtype)
+    ways = {
+        ("int", "bool"): lambda: (c != 0, None), ("float", "bool"): lambda: (c != 0, None), ("bool", "int64"): lambda: (c.cast("bigint"), None), ("bool", "float64"): lambda: (c.cast("double"), None),
+        ("float", "int64"): lambda: (F.when(~F.isnan(c), c.try_cast("bigint")), c != F.floor(c)), ("decimal", "int64"): lambda: (c.try_cast("bigint"), c != F.floor(c)), ("decimal", "float64"): lambda: (c.cast("double"), None),
+        ("int", "float64"): lambda: (c.cast("double"), F.abs(c.cast("decimal(20,0)")) > 1 << 53), ("int", "decimal128"): lambda: (c.try_cast(to.spark), None), ("float", "decimal128"): lambda: (c.try_cast(to.spark), None),
+        ("decimal", "decimal128"): lambda: (c.try_cast(to.spark), c.try_cast(to.spark) != c), ("date", "timestamp"): lambda: (c.cast("timestamp_ntz"), None), ("timestamp", "date32"): lambda: (c.cast("date"), None),
+        ("date", "int64"): lambda: (F.unix_date(c).cast("bigint"), None), ("timestamp", "int64"): lambda: (F.unix_micros(c.cast("timestamp")), None),
+    }
+    same = {"int": "int64", "float": "float64", "bool": "bool", "date": "date32", "timestamp": "timestamp"}
+    if same.get(kind) == to.kind:
+        return c.cast(to.spark)
+    if (kind, to.kind) not in ways:
+        raise PlanError(f"column {name!r}: {dtype.simpleString()} can't be cast to {to.kind}")
+    made, lossy = ways[kind, to.kind]()
+    fails = made.isNull() if lossy is None else made.isNull() | lossy
+    said = F.concat(F.lit(f"column {name!r}: "), c.cast("string"), F.lit(f" doesn't fit {to.kind}"))
+    return F.when(c.isNotNull() & fails, raised(PlanError, said).cast(to.spark)).otherwise(made)
+
+
 def converted(c: Column, dtype: T.DataType, to: FieldType, name: str, is_strict: bool) -> Column:
     """Any column as the type: text by the grammar, typed values by the few conversions that keep their meaning."""
     kind = kind_of(dtype)
@@ -81,6 +103,8 @@ def converted(c: Column, dtype: T.DataType, to: FieldType, name: str, is_strict:
         return strict(c, to, name) if is_strict else lenient(c, to)
     if to.kind in ("string", "dictionary"):
         return canonical(c, dtype)
+    if is_strict:
+        return checked(c, dtype, to, name)
     if kind == "int" and to.kind == "float64":
         return c.cast("double")
     if kind == "int" and to.kind == "decimal128":

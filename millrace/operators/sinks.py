@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
-from millrace.errors import unwrapped
+from millrace.errors import MergeError, unwrapped
 from millrace.plans.pipeline import record_batches
 
 
@@ -95,6 +95,28 @@ def collect(source) -> list[dict]:
     return _run(lambda: [r.asDict() for r in frame(source).collect()])
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    """One table of Arrow batches whose schemas fit together: columns by first appearance, null where a batch lacks them;
+    whole numbers with fractions are fractions, dictionaries with texts are texts. Other mixtures are refused."""
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    kinds: dict[str, pa.DataType] = {}
+    for t in tables:
+        for f in t.schema:
+            held = kinds.setdefault(f.name, f.type)
+            pair = {held, f.type}
+            if len(pair) == 1:
+                continue
+            if pair == {pa.int64(), pa.float64()}:
+                kinds[f.name] = pa.float64()
+            elif {k.value_type if pa.types.is_dictionary(k) else k for k in pair} == {pa.string()}:
+                kinds[f.name] = pa.string()
+            else:
+                raise MergeError(f"column {f.name!r} is {held} in one batch and {f.type} in another")
+    schema = pa.schema(kinds.items())
+    parts = [pa.table([t.column(n).cast(k) if n in t.column_names else pa.nulls(t.num_rows, k) for n, k in kinds.items()], schema) for t in tables]
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
 def discard(source) -> None:
     """Runs everything and keeps nothing."""
     _run(lambda: frame(source).write.format("noop").mode("overwrite").save())

@@ -248,6 +248,17 @@ def cast_strict(spark, d):
     return CastTypes({"quantity": int}).transform(table(spark, d, "lineitem").select(*_LINE, text))
 
 
+@register("cast_typed_columns", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS quantity, l_linenumber::DOUBLE AS line, l_linenumber <> 0 AS some, l_shipdate::DATE AS day FROM lineitem")
+def cast_typed_columns(spark, d):
+    df = table(spark, d, "lineitem").select(*_LINE, F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line"), F.col("l_linenumber").alias("some"), F.col("l_shipdate").cast("timestamp_ntz").alias("day"))
+    return CastTypes({"quantity": int, "line": float, "some": bool, "day": date}).transform(df)
+
+
+@register("column_order", "SELECT c_name, c_acctbal, c_custkey, c_nationkey, c_mktsegment FROM customer")
+def column_order(spark, d):
+    return shaped(table(spark, d, "customer"), column_order=["c_name", "gone", "c_acctbal"])
+
+
 @register("canonical_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR END AS q, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN l_extendedprice::BIGINT::VARCHAR ELSE l_extendedprice::VARCHAR END AS p FROM lineitem")
 def canonical_text(spark, d):
     df = table(spark, d, "lineitem")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 import warnings
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from copy import copy
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from millrace.sources import formats
 Reader = Callable[..., DataFrame]
 _adapters: dict[str, Reader] = {}
 _extensions: dict[str, str] = {}
-PLAN = ("field_mapping", "drop_fields", "filter", "field_types", "dictionary_columns", "schema", "auto_dict", "strict_types", "observer")
+PLAN = ("field_mapping", "drop_fields", "filter", "field_types", "dictionary_columns", "schema", "auto_dict", "strict_types", "observer", "column_order")
 
 
 def register_adapter(name: str, adapter: Reader, extensions: tuple[str, ...] = ()) -> None:
@@ -71,8 +72,9 @@ def source_fields(schema=None, field_mapping=None, field_types=None, filter=None
     return [back.get(n, n) for n in dict.fromkeys([*schema, *(field_types or {}), *predicate_fields(filter)])]
 
 
-def shaped(df: DataFrame, field_mapping=None, drop_fields=None, filter=None, field_types=None, dictionary_columns=None, schema=None, auto_dict=False, strict_types=False, observer=None) -> DataFrame:  # noqa: A002
-    """A reader's result under a plan: rename, drop, types, filter, then projection to the declared schema."""
+def shaped(df: DataFrame, field_mapping=None, drop_fields=None, filter=None, field_types=None, dictionary_columns=None, schema=None, auto_dict=False, strict_types=False, observer=None, column_order=None) -> DataFrame:  # noqa: A002
+    """A reader's result under a plan: rename, drop, types, filter, then projection to the declared schema, or the columns
+    of column_order first and the others as they come."""
     mapping, dropped, types = dict(field_mapping or {}), set(drop_fields or ()), dict(field_types or {})
     if {"_file", "_pos", "fields"} <= set(df.columns):
         used = source_fields(schema, mapping, types, filter)
@@ -86,6 +88,8 @@ def shaped(df: DataFrame, field_mapping=None, drop_fields=None, filter=None, fie
         df = predicate.filtered(df, filter)
     if schema:
         df = shaping.project(df, [c for c in schema if c not in dropped], types)
+    elif column_order:
+        df = shaping.reorder(df, list(column_order))
     return shaping.auto_dictionary(df) if auto_dict else df
 
 
@@ -212,6 +216,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["arrow"])
 
 
+def _as_done(df: DataFrame, threads: int) -> Iterator:
+    """Rows of whole partitions, in the order in which these are done; no more than `threads` are on their way."""
+    rdd = df.rdd
+    waiting = list(range(rdd.getNumPartitions()))[::-1]
+    with ThreadPoolExecutor(threads) as pool:
+        one = lambda p: rdd.context.runJob(rdd, list, [p])
+        running = {pool.submit(one, waiting.pop()) for _ in range(min(threads, len(waiting)))}
+        while running:
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            for f in done:
+                if waiting:
+                    running.add(pool.submit(one, waiting.pop()))
+                yield from f.result()
+
+
 def _fitting(batch: pa.RecordBatch, budget: int) -> Iterator[pa.RecordBatch]:
     """A batch in halves until each is within the budget or one row."""
     if batch.num_rows <= 1 or batch.nbytes <= budget:
@@ -222,21 +241,22 @@ def _fitting(batch: pa.RecordBatch, budget: int) -> Iterator[pa.RecordBatch]:
     yield from _fitting(batch.slice(half), budget)
 
 
-def record_batches(df: DataFrame, batch_size: int = 1024, memory: int | str | None = None, strict: bool = False, stats: StreamStats | None = None, should_stop: Callable[[], bool] | None = None) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the rows in order, of batch_size rows, the last one fewer; with a memory budget smaller ones, so
+def record_batches(df: DataFrame, batch_size: int = 1024, memory: int | str | None = None, strict: bool = False, stats: StreamStats | None = None, should_stop: Callable[[], bool] | None = None, ordered: bool = True, threads: int = 4) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the rows in order (or of partitions as they are done, `threads` of them at a time), of batch_size rows, the last one fewer; with a memory budget smaller ones, so
     that each is within it unless a single row is beyond. One partition is computed ahead at most; should_stop is asked
     between batches, and nothing more is computed once it says so."""
     if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
         raise ValueError("batch_size must be a positive integer")
-    return _record_batches(df, batch_size, parse_memory(memory) if memory is not None else None, strict, stats if stats is not None else StreamStats(), should_stop)
+    return _record_batches(df, batch_size, parse_memory(memory) if memory is not None else None, strict, stats if stats is not None else StreamStats(), should_stop, None if ordered else max(1, threads))
 
 
-def _record_batches(df: DataFrame, batch_size: int, budget: int | None, strict: bool, stats: StreamStats, should_stop: Callable[[], bool] | None) -> Iterator[pa.RecordBatch]:
+def _record_batches(df: DataFrame, batch_size: int, budget: int | None, strict: bool, stats: StreamStats, should_stop: Callable[[], bool] | None, threads: int | None) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
     ship(df.sparkSession)
-    rows = df.mapInArrow(_packed, "arrow binary").toLocalIterator(prefetchPartitions=True)
+    packed = df.mapInArrow(_packed, "arrow binary")
+    rows = packed.toLocalIterator(prefetchPartitions=True) if threads is None else _as_done(packed, threads)
     held: list[pa.RecordBatch] = []
 
     def whole(n: int) -> pa.RecordBatch:

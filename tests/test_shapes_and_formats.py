@@ -50,6 +50,18 @@ def test_cast_by_callable(spark):
     assert [tuple(r) for r in made.collect()] == [("1", "xx"), (None, None)] and [f.dataType.typeName() for f in made.schema] == ["string", "string"]
 
 
+def test_strict_casts_of_typed_columns_lose_nothing(spark):
+    df = spark.createDataFrame([(1.0, 2, Decimal("3.00"), True, date(2020, 1, 2))], "f double, i long, d decimal(5,2), b boolean, day date")
+    made = CastTypes({"f": int, "i": bool, "d": int, "b": int, "day": datetime}).transform(df).first()
+    assert tuple(made) == (1, True, 3, 1, datetime(2020, 1, 2))
+    for value in (1.5, float("nan"), 1e30):
+        with pytest.raises(PlanError):
+            sinks.collect(CastTypes({"f": int}).transform(spark.createDataFrame([(value,)], "f double")))
+    with pytest.raises(PlanError):
+        CastTypes({"day": bool}).transform(df)
+    assert sinks.collect(CastTypes({"f": int}).transform(spark.createDataFrame([(None,)], "f double"))) == [{"f": None}]
+
+
 def test_strict_cast_names_the_value(spark):
     df = spark.createDataFrame([("1",), ("bad",)], "n string")
     with pytest.raises(PlanError, match="bad"):
@@ -207,6 +219,8 @@ def test_batches(spark):
     small = list(pipeline.record_batches(df, 300, memory="4KiB", stats=stats))
     assert all(b.nbytes <= 4096 for b in small) and sum(b.num_rows for b in small) == 1000 and not stats.oversize_batches
     assert stats.peak_tracked_bytes > 4096  # what waits counts too
+    loose = list(pipeline.record_batches(df, 64, ordered=False, threads=2))
+    assert sorted(i for b in loose for i in b.column(0).to_pylist()) == list(range(1000)) and [b.num_rows for b in loose] == [64] * 15 + [40]
     asked = iter([False, False, True])
     assert len(list(pipeline.record_batches(df, 100, should_stop=lambda: next(asked)))) == 2
     frame = sinks.to_pandas(df, "numpy", chunksize=7)
@@ -217,6 +231,15 @@ def test_batches(spark):
     assert {name for name, _, _ in p.snapshot()} == {"parse", "export"}
 
 
+def test_gathered_batches():
+    batch = lambda **c: pa.RecordBatch.from_pydict(c)
+    made = sinks.gathered([batch(a=[1], s=pa.array(["x"]).dictionary_encode()), batch(a=[1.5], s=["y"], z=[True])])
+    assert made.to_pydict() == {"a": [1.0, 1.5], "s": ["x", "y"], "z": [None, True]}
+    with pytest.raises(MergeError):
+        sinks.gathered([batch(a=[1]), batch(a=["1"])])
+    assert sinks.gathered([]).num_rows == 0
+
+
 def test_observers_reach_the_caller(spark):
     accepted, total = Tally(spark), Tally(spark, of=lambda name, value: value)
 
