@@ -163,25 +163,23 @@ def packed(byte: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
     kept = np.zeros(n, "u1")
     for j in range(8):
         kept += differ >= np.uint64(1 << 8 * j)
-    planes = keys.astype(">u8").view("u1").reshape(n, 8)
-    given = planes[np.arange(8)[None, :] >= 8 - kept[:, None].astype("i1")]
-    return _zipped(np.array([n, byte], "<u4"), kept, np.minimum(counts, 255).astype("u1"), given, counts[counts >= 255].astype("<u4"))
+    given = [((keys >> np.uint64(8 * j)).astype("u1"))[kept > j] for j in range(8)]
+    return _zipped(np.array([n, byte], "<u4"), kept, np.minimum(counts, 255).astype("u1"), *given, counts[counts >= 255].astype("<u4"))
 
 
 def unpacked(payload: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     data = _unzipped(payload)
     n, byte = np.frombuffer(data, "<u4", 2).tolist()
     kept, small = np.frombuffer(data, "u1", n, 8), np.frombuffer(data, "u1", n, 8 + n)
-    mask = np.arange(8)[None, :] >= 8 - kept[:, None].astype("i1")
-    given = int(kept.sum(dtype="i8"))
-    planes = np.zeros((n, 8), "u1")
-    planes[mask] = np.frombuffer(data, "u1", given, 8 + 2 * n)
-    for j in range(7):
-        at = np.flatnonzero(mask[:, j])
-        planes[:, j] = np.repeat(planes[at, j], np.diff(np.r_[at, n]))
+    keys, at = np.zeros(n, "u8"), 8 + 2 * n
+    for j in range(8):
+        told = np.flatnonzero(kept > j)
+        plane = np.frombuffer(data, "u1", len(told), at)
+        keys |= (np.repeat(plane, np.diff(np.r_[told, n])) if len(told) < n else plane).astype("u8") << np.uint64(8 * j)
+        at += len(told)
     counts = small.astype("i8")
-    counts[small == 255] = np.frombuffer(data, "<u4", offset=8 + 2 * n + given)
-    return byte, planes.view(">u8").ravel().astype("u8"), counts
+    counts[small == 255] = np.frombuffer(data, "<u4", offset=at)
+    return byte, keys, counts
 
 
 def _steps(numbers: np.ndarray) -> bytes:
@@ -758,7 +756,7 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
         made = {"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": -bits * LOG10_2, "n_bytes": n_bytes, "bits_per_byte": bits / (n_bytes + 1)}
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train")} | {n: pa.array(x) for n, x in made.items()})
 
-    made = blocks.repartition(max(1, -(-total // block_bytes)), "block").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
+    made = blocks.repartition(max(1, -(-4 * total // block_bytes)), "block").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return made.withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 

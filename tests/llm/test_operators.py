@@ -320,8 +320,8 @@ def test_language_model_over_many_ranges(spark, range_bytes):
     made = lm.score(df, F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True)), block_bytes=150, range_bytes=range_bytes).collect()
     texts = [(t or "").encode().lower() for _, t in rows]
     expected = plain_tree_scores(texts, train)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    for (i, n, s), r in zip(sorted(((i, len(t), s) for (i, _), t, s in zip(rows, texts, expected, strict=True)), key=key), sorted(made, key=lambda r: key((r["doc_id"], r["n_bytes"]))), strict=True):
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    for (i, n, s), r in zip(sorted(((i, len(t), s) for (i, _), t, s in zip(rows, texts, expected, strict=True)), key=key), sorted(made, key=lambda r: key((r["doc_id"], r["n_bytes"], r["score"]))), strict=True):
         assert (r["doc_id"], r["n_bytes"]) == (i, n) and abs(r["score"] - s) <= (n + 1) * 0.5 / lm.STEPS * lm.LOG10_2 + 1e-9
 
 
