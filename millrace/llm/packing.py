@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import PATTERN, byte_alphabet, codec_of, read_vocabulary
-from millrace.llm.common import durable, number_within, small_batches, table
+from millrace.llm.common import durable, fresh, number_within, small_batches, table
 
 CAPACITY = 1024
 #: Token after each document.
@@ -209,30 +209,29 @@ def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc
         histogram[r["length"]] = r["count"]
     # The plan's size follows the number of lengths and patterns, not of pieces: broadcast with the task.
     steps = intervals(plan(histogram, capacity), capacity)
-    numbered = number_within(df, ["length"], list(order), "_number")
+    number = fresh(df, "number")
+    numbered = number_within(df, ["length"], list(order), number)
     names = numbered.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["sequence_id long", "offset long"]
-    kept = [i for i, n in enumerate(names) if n != "_number"]
-    at_length, at_number = names.index("length"), names.index("_number")
+    kept = [names.index(n) for n in df.columns]
+    at_length, at_number = names.index("length"), names.index(number)
     shared = df.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches):
         steps = shared.value
         begins = np.searchsorted(steps[:, 0], np.arange(capacity + 2))
         for batch in batches:
-            length, number = batch.column(at_length).to_numpy(), batch.column(at_number).to_numpy()
+            length, place = batch.column(at_length).to_numpy(), batch.column(at_number).to_numpy()
             row = np.zeros(len(length), "i8")
             for one in np.unique(length).tolist():
                 own = steps[begins[one] : begins[one + 1], 1]
                 at = length == one
-                row[at] = begins[one] + np.searchsorted(own, number[at], "right") - 1
+                row[at] = begins[one] + np.searchsorted(own, place[at], "right") - 1
             found = steps[row]
-            columns = [batch.column(i) for i in kept] + [pa.array(found[:, 2] + number - found[:, 1]), pa.array(found[:, 3])]
+            columns = [batch.column(i) for i in kept] + [pa.array(found[:, 2] + place - found[:, 1]), pa.array(found[:, 3])]
             yield pa.RecordBatch.from_arrays(columns, names=[*(names[i] for i in kept), "sequence_id", "offset"])
 
-    order_kept = [names[i] for i in kept]
-    by_name = {f.name: x for f, x in zip(df.schema, fields, strict=False)}
-    return numbered.mapInArrow(run, ", ".join([by_name[n] for n in order_kept] + fields[-2:]))
+    return numbered.mapInArrow(run, ", ".join(fields))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -441,6 +441,44 @@ def test_packing(spark, docs, real):
     assert all(cut[r["doc_id"]] == bytes(r["ids"]) + (2).to_bytes(4, "little") for r in bpe.encode(blank).collect())
 
 
+def test_packing_fit_is_the_least_square(spark):
+    """Against an active-set solver: the same sum of squares, and no pattern that more or fewer of would do better."""
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        histogram = np.zeros(17, "i8")
+        lengths = rng.choice(np.arange(1, 16), 5, replace=False)
+        histogram[lengths] = rng.integers(1, 60, 5)
+        patterns = packing.patterns_of(np.flatnonzero(histogram), 16)
+        if not len(patterns):
+            continue
+        matrix = np.stack([np.bincount(p[p > 0], minlength=17) for p in patterns], 1).astype("f8")
+        free, best = np.zeros(len(patterns), bool), np.zeros(len(patterns))
+        while True:
+            slope = matrix.T @ (histogram - matrix @ best)
+            if free.all() or slope[~free].max() <= 1e-9:
+                break
+            free[np.flatnonzero(~free)[slope[~free].argmax()]] = True
+            while True:
+                tried = np.zeros(len(patterns))
+                tried[free] = np.linalg.lstsq(matrix[:, free], histogram, rcond=None)[0]
+                if tried.min() >= -1e-12:
+                    break
+                down = free & (tried < 0)
+                best = best + (best[down] / (best[down] - tried[down])).min() * (tried - best)
+                free &= best > 1e-12
+                best[~free] = 0
+            best = np.maximum(tried, 0)
+        found = packing.fit(histogram, patterns, steps=5000)
+        off = lambda x: float(((matrix @ x - histogram) ** 2).sum())
+        assert found.min() >= 0 and off(found) == pytest.approx(off(best), abs=1e-4 * (1 + off(best)))
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, 0, 3 + i % 5, "x", {"a": i}) for i in range(40)], "doc_id long, piece int, length long, _number string, cell map<string,int>").withColumnRenamed("_number", "number")
+    made = packing.pack(df)
+    assert made.columns == [*df.columns, "sequence_id", "offset"] and made.filter("number = 'x'").count() == 40
+
+
 def test_packing_plan_is_near_the_best():
     rng = np.random.default_rng(3)
     for _ in range(5):
