@@ -5,7 +5,7 @@ copies, but most pairs at LEAST lie further apart than its index can guarantee t
 of a text's shingles under BANDS x ROWS orders, band by band: a pair at LEAST meets in no band with a chance of
 (1 - 0.8^4)^32, below 1 in 10^7, and a more similar pair more rarely. Every candidate is verified with both texts' whole
 sets of shingles. The list of a band, or of a component, is not paired off at once: all its texts are held against the
-one that most others meet, and lists that this does not join are compared in place.
+one that most others meet, and of lists that this does not join any two chunks are compared in a task of their own.
 """
 
 from __future__ import annotations
@@ -13,17 +13,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, small_batches
-from millrace.llm.simhash import SEED, components, connected, majority, shingle_hashes
+from millrace.llm.common import durable, labelled, small_batches
+from millrace.llm.simhash import SEED, components, connected, majority, shingle_hashes, units
 
 #: Words of a shingle; the least similarity of a link, as a fraction.
 SHINGLE_WORDS, LEAST = 5, (4, 5)
 BANDS, ROWS = 32, 4
-#: Shingles that one step of a signature holds.
-STRIDE = 2048
+#: Shingles that one step of a signature holds; texts that one task compares in place.
+STRIDE, LIST_ROWS = 2048, 1024
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, "u8") | np.uint64(1)
 
 
@@ -121,48 +121,53 @@ def local_links(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> l
     return out
 
 
-def _compared(apart: DataFrame) -> DataFrame:
-    """Links (a, b) within each band of rows with band, node, root and set."""
+def _compared(apart: DataFrame, sets: DataFrame, list_rows: int) -> DataFrame:
+    """Links (a, b) within each list of rows with band, node and root."""
 
     def run(batches):
-        band, nodes, roots, sets = None, [], [], []
+        unit, nodes, roots, held = None, [], [], []
 
         def closed():
-            links = local_links(nodes, roots, sets) if len(set(roots)) > 1 else []
+            links = local_links(nodes, roots, held) if len(set(roots)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for of, node, root, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if of != band:
+            for of, node, root, made in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if of != unit:
                     yield closed()
-                    band, nodes, roots, sets = of, [], [], []
+                    unit, nodes, roots, held = of, [], [], []
                 nodes.append(node)
                 roots.append(root)
-                sets.append(np.frombuffer(held, "u8"))
+                held.append(np.frombuffer(made, "u8"))
         yield closed()
 
-    return apart.select("band", "node", "root", "set").repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
+    met = units(apart, list_rows, "band", "node").join(sets, "node").select("unit", "node", "root", "set")
+    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def heads(df: DataFrame) -> DataFrame:
+def heads(df: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """From rows with key (not null, alike only for rows alike), rank and text: of each group of near copies, which
     chains of links join, the key of the row with the least rank. Texts without words are copies of each other. A null
     text has no words; repeated rows and ties of rank fall to the least key; an empty table gives an empty one."""
     nodes = signatures(df).groupBy("seal").agg(F.min(F.struct("rank", "key")).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "bands"), "signatures")
     near = connected(nodes.select(F.col("node").alias("id"), "fp")).select(F.col("id").alias("node"), F.xxhash64(F.lit("simhash"), "component").alias("band"))
-    listed = nodes.select("node", F.explode("bands").alias("band")).union(near).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
-    listed = durable(listed.filter(F.col("n") > 1), "bands")
+    every = nodes.select("node", F.explode("bands").alias("band")).union(near)
+    sizes = durable(every.groupBy("band").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), "lists")
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    listed = durable(labelled(every, sizes.withColumn("n", F.col("rows")), "band", total), "bands")
     degree = listed.groupBy("node").agg(F.sum("n").alias("degree"))
     sets = durable(_sets(df, nodes.select("node", F.col("first.key").alias("key")).join(degree.select("node"), "node")), "sets")
-    hubs = listed.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub"))
-    stars = listed.join(hubs, "band").filter(F.col("node") != F.col("hub"))
+    hubs = listed.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count(F.lit(1)).alias("rows"))
+    hubs = durable(hubs.select("band", F.col("hub.node").alias("hub"), "rows"), "hubs")
+    stars = labelled(listed.select("node", "band"), hubs, "band", total).filter(F.col("node") != F.col("hub"))
     stars = durable(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = durable(_verified(stars, sets), "links")
-    # Where a band's list is not one group yet, it is compared as a whole.
+    # Where a list is not one group yet, it is compared as a whole.
     joined = listed.filter(F.col("n") > 2).join(components(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    within = Window.partitionBy("band")
-    apart = joined.withColumns({"low": F.min("root").over(within), "high": F.max("root").over(within)}).filter(F.col("low") < F.col("high"))
-    roots = components(links.union(_compared(apart.select("band", "node", "root").join(sets, "node"))))
+    joined = durable(joined, "joined")
+    spans = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+    apart = labelled(joined, durable(spans.filter(F.col("low") < F.col("high")).select("band", "rows"), "apart"), "band", total)
+    roots = components(links.union(_compared(apart.select("band", "node", "root"), sets, list_rows)))
     whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return whole.select("first.key")

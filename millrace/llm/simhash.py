@@ -98,16 +98,17 @@ def postings(distinct: DataFrame, bits: int) -> DataFrame:
     return distinct.mapInArrow(run, "key long, fp long")
 
 
-def units(listed: DataFrame, list_rows: int) -> DataFrame:
-    """unit and fp: each list as one unit, or for a long one any two of its chunks."""
+def units(listed: DataFrame, list_rows: int, key: str, item: str) -> DataFrame:
+    """listed with a column unit: each list, of one key, as one unit, or for a list of more than list_rows any two of its
+    chunks, to which items are dealt by their hash. Rows of long lists come once for each unit that they are in."""
     half = max(1, list_rows // 2)
-    long = durable(listed.groupBy("key").count().filter(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / half).cast("int").alias("chunks")), "long-lists")
-    found = listed.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, "key", "left")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    long = durable(listed.groupBy(key).count().filter(F.col("count") > list_rows).select(key, F.ceil(F.col("count") / half).cast("int").alias("chunks")), "long-lists")
+    found = listed.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, key, "left")
+    chunk = F.pmod(F.xxhash64(item), F.col("chunks")).cast("int")
     others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), chunk))
-    each = found.select("key", "fp", "chunks", chunk.alias("chunk"), F.explode(others).alias("other"))
-    unit = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    return each.select(unit.alias("unit"), "fp")
+    each = found.select(*listed.columns, "chunks", chunk.alias("chunk"), F.explode(others).alias("other"))
+    unit = F.when(F.col("chunks").isNull(), F.col(key)).otherwise(F.xxhash64(key, F.least("chunk", "other"), F.greatest("chunk", "other")))
+    return each.select(*listed.columns, unit.alias("unit"))
 
 
 def local_links(fps: np.ndarray, bits: int) -> np.ndarray:
@@ -141,7 +142,7 @@ def local_links(fps: np.ndarray, bits: int) -> np.ndarray:
 
 def links_of(distinct: DataFrame, bits: int, list_rows: int = LIST_ROWS) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints which chains of links connect."""
-    met = units(postings(distinct, bits), list_rows).repartition("unit").sortWithinPartitions("unit")
+    met = units(postings(distinct, bits), list_rows, "key", "fp").select("unit", "fp").repartition("unit").sortWithinPartitions("unit")
 
     def run(batches):
         open_unit, open_fps = None, np.zeros(0, "u8")

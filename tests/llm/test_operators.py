@@ -661,6 +661,13 @@ def test_token_counts_like_the_library(spark, docs, real):
     for t in texts:
         expected = library.encode(tokens.SPACE + t.replace(" ", tokens.SPACE), add_special_tokens=False).ids
         assert counter.count(t)[0] == len(expected), t[:60]
+    rng = random.Random(6)
+    pieces = [p for p, _ in vocabulary if tokens.SPACE not in p]
+    for _ in range(3000):
+        t = "".join(rng.choice(["", "", " "]) + (p := rng.choice(pieces))[: rng.randrange(1, len(p) + 1)] for _ in range(rng.randrange(1, 9))).strip()
+        if t:
+            expected = library.encode(tokens.SPACE + t.replace(" ", tokens.SPACE), add_special_tokens=False).ids
+            assert counter.count(t)[0] == len(expected), t
     assert counter.best(" " * 200_000)[0] > 0 and counter.best("")[0] == 0
     rows = tokens.count_tokens(docs).collect()
     assert len(rows) == len(AWKWARD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
