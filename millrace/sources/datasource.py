@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from millrace.sources.splitting import LOOK_BACK, Boundaries
+from millrace.sources.splitting import LOOK_BACK, Boundaries, planned_parts
 
 #: Bytes that are read at a time beyond a part's end to complete its last record.
 AHEAD = 64 << 10
@@ -63,12 +63,16 @@ def complete(path: str, boundaries: Boundaries) -> int:
 
 
 class _Reader(DataSourceReader):
+    """Parts of partbytes, or else as many as planned_parts() has for the option threads."""
+
     def __init__(self, options: dict) -> None:
-        self.path, self.size, self.boundaries = options["path"], int(options.get("partbytes", 16 << 20)), boundaries_of(options)
+        self.path, self.boundaries = options["path"], boundaries_of(options)
+        self.size, self.threads = int(options.get("partbytes", 0)), int(options.get("threads", 8))
 
     def partitions(self):
         n = os.path.getsize(self.path)
-        return [Part(self.path, a, min(n, a + self.size)) for a in range(0, max(1, n), self.size)]
+        size = self.size or max(1, -(-n // planned_parts(n, self.threads)))
+        return [Part(self.path, a, min(n, a + size)) for a in range(0, max(1, n), size)]
 
     def read(self, partition):
         return records(partition, self.boundaries)

@@ -284,7 +284,7 @@ def test_record_source(spark, tmp_path):
     spark.dataSource.register(RecordLines)
     path = tmp_path / "lines.txt"
     path.write_text("".join(f"a={i} \\\n  b={i}\n" for i in range(200)))
-    for size in (1, 37, 1000, 1 << 20):
+    for size in (1, 37, 1000, 1 << 20, 0):
         read = spark.read.format("millrace_lines").option("partbytes", size).option("continuation", "\\").load(str(path))
         assert sorted(r["line"] for r in read.collect()) == sorted(f"a={i} \\\n  b={i}" for i in range(200))
     path.write_text("a\n\nb\nc\n\n\nd\n")
