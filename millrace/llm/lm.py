@@ -104,7 +104,10 @@ class Block:
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Of the places of bytes: their contexts but for the nearest byte, and the byte itself below."""
-        return self._contexts[len(self.bytes) - at].astype("u8") << np.uint64(8) | self.bytes[at]
+        made = self._contexts[len(self.bytes) - at].astype("u8")
+        made <<= np.uint64(8)
+        made |= self.bytes[at]
+        return made
 
     def groups(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each byte that comes before another, and the places of those that it comes before."""
@@ -121,8 +124,8 @@ class Block:
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each comes."""
-    keys = np.sort(keys)
+    """Distinct keys in order, and how often each comes. Sorts in place."""
+    keys.sort()
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
     return keys[first], np.diff(np.r_[first, len(keys)])
 
@@ -281,6 +284,7 @@ def _pieces(number: int, docs: pa.Table, cuts: np.ndarray) -> Iterator[tuple]:
     learnt = np.repeat(train, np.diff(np.r_[block.begins, len(block.bytes)]))
     for byte, at in block.groups():
         keys, counts = _learnt(block.keys(at), learnt[at])
+        del at
         for key, a, b in _cut_up(byte, keys, cuts):
             yield GRAMS, key, number, byte, packed(byte, keys[a:b], counts[a:b])
 
@@ -747,9 +751,13 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
         for byte, at in block.groups():
             keys = block.keys(at)
             order = np.argsort(keys)
-            keys = keys[order]
-            own = received(np.flatnonzero((kinds == GRAMS) & (parts == byte)), _in_bits)[np.cumsum(np.r_[False, keys[1:] != keys[:-1]])]
-            bits += np.bincount(text[at[order]], own, rows)
+            keys, at = keys[order], at[order]
+            del order
+            number = np.cumsum(np.r_[False, keys[1:] != keys[:-1]], dtype="i4")
+            del keys
+            own = received(np.flatnonzero((kinds == GRAMS) & (parts == byte)), _in_bits)[number]
+            bits += np.bincount(text[at], own, rows)
+            del at, own, number
         n_bytes = np.diff(np.r_[block.begins, len(block.bytes)]) - DEPTH - 1
         del block, text
         slim()
