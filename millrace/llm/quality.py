@@ -110,8 +110,11 @@ class Scaled:
 
     plain: Scaler
 
-    def __call__(self, rows: np.ndarray) -> np.ndarray:
-        return np.column_stack([self.plain(rows[:, :PLAIN]), rows[:, PLAIN:] * EMPHASIS]).astype("f4")
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The rows, changed in place."""
+        rows[:, :PLAIN] = self.plain(rows[:, :PLAIN])
+        rows[:, PLAIN:] *= EMPHASIS
+        return rows
 
 
 #: Weight of the buckets' values beside the plain ones.
@@ -131,7 +134,7 @@ class Network:
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRIDE, "right")))
             rows, first = passages(texts[at:upto], self.known)
-            out[at:upto] = sigmoid(forward(self.parameters, self.scaler(rows), first)[0])
+            out[at:upto] = sigmoid(forward(self.parameters, self.scaler.of(rows), first)[0])
             at = upto
         return out
 
@@ -200,10 +203,14 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Network | float:
     texts, labels, own = [*texts, *bad], np.r_[labels, np.zeros(len(bad), "i8")], np.r_[own, np.full(len(bad), NOISE)]
     # some texts at a time, so that the driver holds values rather than bytes spread out
     parts = [passages(texts[i : i + 64], known, own[i : i + 64]) for i in range(0, len(texts), 64)]
-    rows, first = np.concatenate([rows for rows, _ in parts]), np.r_[0, np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))]
-    del parts
+    first = np.r_[0, np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))]
+    rows, at = np.empty((int(first[-1]), PLAIN + BUCKETS), "f4"), 0
+    while parts:  # each part goes as it is copied
+        part, _ = parts.pop(0)
+        rows[at : at + len(part)] = part
+        at += len(part)
     scaler = Scaled(Scaler(rows[:, :PLAIN]))
-    return Network(scaler, train(scaler(rows), first, labels), (known > 0).astype("u1"))
+    return Network(scaler, train(scaler.of(rows), first, labels), (known > 0).astype("u1"))
 
 
 def scored(texts: list[str | None], model: Network | float) -> np.ndarray:
