@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, kept_rows, small_batches, table
+from millrace.llm.common import held_out, kept_rows, slim, small_batches, table
 from millrace.llm.rules import training_sample
 from millrace.llm.shapes import Scaler, adam, buffers
 
@@ -201,16 +201,16 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Network | float:
     known = known_cells(texts, labels)
     bad, own = noise([t for t, y in zip(texts, labels.tolist(), strict=True) if y == 1]), labels
     texts, labels, own = [*texts, *bad], np.r_[labels, np.zeros(len(bad), "i8")], np.r_[own, np.full(len(bad), NOISE)]
-    # some texts at a time, so that the driver holds values rather than bytes spread out
-    parts = [passages(texts[i : i + 64], known, own[i : i + 64]) for i in range(0, len(texts), 64)]
-    first = np.r_[0, np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))]
-    rows, at = np.empty((int(first[-1]), PLAIN + BUCKETS), "f4"), 0
-    while parts:  # each part goes as it is copied
-        part, _ = parts.pop(0)
-        rows[at : at + len(part)] = part
-        at += len(part)
+    sizes = np.array([max(1, -(-len((t or "").encode()) // PASSAGE_BYTES)) for t in texts], "i8")
+    first = np.r_[0, np.cumsum(sizes)]
+    rows = np.empty((int(first[-1]), PLAIN + BUCKETS), "f4")
+    for i in range(0, len(texts), 16):  # some texts at a time, so that the driver holds their values once
+        rows[first[i] : first[min(i + 16, len(texts))]] = passages(texts[i : i + 16], known, own[i : i + 16])[0]
     scaler = Scaled(Scaler(rows[:, :PLAIN]))
-    return Network(scaler, train(scaler.of(rows), first, labels), (known > 0).astype("u1"))
+    model = Network(scaler, train(scaler.of(rows), first, labels), (known > 0).astype("u1"))
+    del rows
+    slim()
+    return model
 
 
 def scored(texts: list[str | None], model: Network | float) -> np.ndarray:

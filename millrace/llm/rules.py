@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept_rows, small_batches, table
+from millrace.llm.common import kept_rows, slim, small_batches, table
 from millrace.llm.shapes import FEATURES, Scaler, adam, buffers, features
 
 #: Fixed values of the base rules.
@@ -183,6 +183,8 @@ def train_field(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, weight:
         return [flat.T @ off / total + RIDGE * weights, (np.einsum("n,nab->ab", weight, moved) - true_moves) / total + RIDGE * moves]
 
     weights, moves = adam([np.zeros((x.shape[2], 2)), np.zeros((2, 2))], gradients, steps, RATE)
+    del x, flat, truth
+    slim()
     return Field(scaler, weights, moves)
 
 
