@@ -8,6 +8,7 @@ attention, learnt from the documents' labels alone, weighs the passages; the wei
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,9 +80,19 @@ def known_cells(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
     return seen
 
 
-def passages(texts: list[str | None], known: np.ndarray, own: np.ndarray | None = None, size: int = PASSAGE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all passages of the whole texts, and the number of each text's first (and the end). An empty text has
-    one passage. own: the labels of texts that known_cells() has seen, which then don't count for themselves."""
+def strides(texts: list[str | None], most: int = STRIDE) -> Iterator[tuple[int, int]]:
+    """Where parts of a list begin and end whose texts hold `most` characters together at most, unless one alone is longer."""
+    at, ends = 0, np.cumsum([len(t or "") + 1 for t in texts])
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, upto
+        at = upto
+
+
+def counted(texts: list[str | None], known: np.ndarray, own: np.ndarray | None = None, size: int = PASSAGE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Plain values, counts by bucket and bytes (1 at least) of all passages of the whole texts, and the number of each
+    text's first (and the end). An empty text has one passage. own: the labels of texts that known_cells() has seen,
+    which then don't count for themselves."""
     raw, data, begins = buffers(texts)
     each = np.array([max(1, -(-len(r) // size)) for r in raw], "i8")
     first = np.r_[0, np.cumsum(each)]
@@ -96,8 +107,19 @@ def passages(texts: list[str | None], known: np.ndarray, own: np.ndarray | None
         least += np.stack([of_byte == 0, of_byte == 1])
     shares = [np.bincount(part, known[y][cells] >= least[y], n) / heard for y in (0, 1)]
     counts = np.bincount(part * BUCKETS + hashed(data, EMBEDDED, BUCKETS, ends), minlength=n * BUCKETS).reshape(n, BUCKETS)
-    spread = np.sqrt(counts / heard[:, None], dtype="f4")
-    return np.column_stack([*shares, neighbours(data, starts, begins[ends > begins]), spread]).astype("f4"), first
+    return np.column_stack([*shares, neighbours(data, starts, begins[ends > begins])]).astype("f4"), counts, heard, first
+
+
+def spread(counts: np.ndarray, heard: np.ndarray) -> np.ndarray:
+    """The roots of the buckets' shares of passages."""
+    return np.sqrt(counts / heard[:, None], dtype="f4")
+
+
+def passages(texts: list[str | None], known: np.ndarray, own: np.ndarray | None = None, size: int = PASSAGE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all passages of the whole texts, plain ones and buckets' roots, and the number of each text's first (and
+    the end); see counted()."""
+    plain, counts, heard, first = counted(texts, known, own, size)
+    return np.column_stack([plain, spread(counts, heard)]), first
 
 
 #: Values of a passage before its buckets.
@@ -121,6 +143,23 @@ class Scaled:
 EMPHASIS = 4.0
 
 
+class TrainingRows:
+    """The scaled values of all training passages, held as counts, which take half the bytes; rows are made as they are
+    asked for."""
+
+    def __init__(self, texts: list[str | None], known: np.ndarray, own: np.ndarray) -> None:
+        self.first = np.r_[0, np.cumsum([max(1, -(-len((t or "").encode()) // PASSAGE_BYTES)) for t in texts])]
+        n = int(self.first[-1])
+        self.plain, self.counts, self.heard = np.empty((n, PLAIN), "f4"), np.empty((n, BUCKETS), "u2"), np.empty(n, "u2")
+        for a, b in strides(texts, STRIDE // 8):  # what a stride takes comes on top of the held rows
+            at = slice(self.first[a], self.first[b])
+            self.plain[at], self.counts[at], self.heard[at], _ = counted(texts[a:b], known, own[a:b])
+        self.scaler, self.shape = Scaled(Scaler(self.plain)), (n, PLAIN + BUCKETS)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.scaler.of(np.column_stack([self.plain[at], spread(self.counts[at], self.heard[at])]))
+
+
 @dataclass
 class Network:
     scaler: Scaled
@@ -129,13 +168,10 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts, some bytes at a time."""
-        out, at = np.zeros(len(texts)), 0
-        ends = np.cumsum([len(t or "") + 1 for t in texts])
-        while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRIDE, "right")))
+        out = np.zeros(len(texts))
+        for at, upto in strides(texts):
             rows, first = passages(texts[at:upto], self.known)
             out[at:upto] = sigmoid(forward(self.parameters, self.scaler.of(rows), first)[0])
-            at = upto
         return out
 
 
@@ -173,7 +209,7 @@ def initial(width: int, rng: np.random.Generator) -> list[np.ndarray]:
     return [rng.normal(0, s[0] ** -0.5, s) if len(s) > 1 else rng.normal(0, 0.1, s) for s in shapes]
 
 
-def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
+def train(x: np.ndarray | TrainingRows, first: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
     """The parameters by logistic loss over the documents' labels, a batch of them at each step."""
     rng, sizes = np.random.default_rng(SEED), np.diff(first)
 
@@ -201,13 +237,8 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Network | float:
     known = known_cells(texts, labels)
     bad, own = noise([t for t, y in zip(texts, labels.tolist(), strict=True) if y == 1]), labels
     texts, labels, own = [*texts, *bad], np.r_[labels, np.zeros(len(bad), "i8")], np.r_[own, np.full(len(bad), NOISE)]
-    sizes = np.array([max(1, -(-len((t or "").encode()) // PASSAGE_BYTES)) for t in texts], "i8")
-    first = np.r_[0, np.cumsum(sizes)]
-    rows = np.empty((int(first[-1]), PLAIN + BUCKETS), "f4")
-    for i in range(0, len(texts), 16):  # some texts at a time, so that the driver holds their values once
-        rows[first[i] : first[min(i + 16, len(texts))]] = passages(texts[i : i + 16], known, own[i : i + 16])[0]
-    scaler = Scaled(Scaler(rows[:, :PLAIN]))
-    model = Network(scaler, train(scaler.of(rows), first, labels), (known > 0).astype("u1"))
+    rows = TrainingRows(texts, known, own)
+    model = Network(rows.scaler, train(rows, rows.first, labels), (known > 0).astype("u1"))
     del rows
     slim()
     return model

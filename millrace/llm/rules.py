@@ -26,6 +26,8 @@ WHITE = " \t\n\v\f\r"
 TRAINING_DOCS, TRAINING_BYTES = 2000, 32 << 20
 #: Longer texts are trained on as several chains of so many lines.
 CHAIN_LINES = 64
+#: First characters of a text that tell it from others of the same id, with its hash.
+TOLD_CHARS = 64
 #: Least share of words in content lines of a kept text.
 CONTENT_SHARE = 0.5
 #: Places of lines that one decoding step lays out together, unless one text alone has more lines.
@@ -207,7 +209,8 @@ def fit(texts: list[str | None], quality: np.ndarray, steps: int = STEPS) -> Fie
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = TRAINING_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, np.ndarray]:
     """Whole texts and labels 0 or 1 of labelled documents: those whose ids hash lowest, at most `most` of them and no
     more than hold most_bytes together (the first is taken whatever its size). Rows that lack an id, or a label of 0 or
-    1, are passed over; an id with both labels counts twice, and of repeated ids one text is taken.
+    1, are passed over; an id with both labels counts twice, and of repeated ids the text that is last by its first
+    characters is taken.
 
     Ids are thinned by their hash before they are ordered, so that not much more than `most` reach the last task.
     """
@@ -215,10 +218,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 32))
     thinned = marks.filter(place < math.ceil((1 << 32) * min(1.0, (2 * most + 1000) / max(1, marks.count()))))
     chosen = thinned.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").distinct().orderBy(place, "_id", "_label").limit(most)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most `most` ids
-    one = texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
-    so_far = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 1).over(Window.orderBy(place, "_id", "_label").rowsBetween(Window.unboundedPreceding, -1))
-    rows = one.withColumn("_before", F.coalesce(so_far, F.lit(0))).filter(F.col("_before") + F.when(F.col("_before") > 0, F.octet_length("_text")).otherwise(0) <= most_bytes).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    # Texts themselves wait until their sizes have chosen them: one task orders the sizes, and long texts don't fit there.
+    told = F.struct(F.substring("_text", 1, TOLD_CHARS), F.col("_hash").alias("hash"), F.octet_length("_text").alias("bytes"))
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.max(told).alias("_told")).select("_id", "_label", F.col("_told.hash").alias("_hash"), F.col("_told.bytes").alias("_bytes"))
+    so_far = F.sum(F.coalesce("_bytes", F.lit(0)) + 1).over(Window.orderBy(place, "_id", "_label").rowsBetween(Window.unboundedPreceding, -1))
+    fit_in = one.withColumn("_before", F.coalesce(so_far, F.lit(0))).filter(F.col("_before") + F.when(F.col("_before") > 0, F.col("_bytes")).otherwise(0) <= most_bytes)
+    rows = texts.join(F.broadcast(fit_in.select("_id", "_label", "_hash")), ["_id", "_hash"]).groupBy("_id", "_label").agg(F.max("_text").alias("_text")).collect()
     rows = sorted(rows, key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], "i8")
 
