@@ -20,6 +20,8 @@ TIMESTAMP = r"^\s*([+-]?[0-9]+-[0-9]{1,2}-[0-9]{1,2})([T ]([0-9]{1,2}:[0-9]{1,2}
 DECIMAL = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$"
 #: Unicode's White_Space property, as a character class.
 WHITE = "[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+#: Its characters.
+WHITE_CHARS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column, left: bool = True, right: bool = True) -> Column:

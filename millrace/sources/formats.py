@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import ParseError, ParserError, raised
-from millrace.functions.casts import trimmed
+from millrace.functions.casts import WHITE_CHARS
 from millrace.shipping import ship
 
 #: Decompressed bytes of a file at most.
@@ -30,6 +30,11 @@ MOST_BYTES = 1 << 30
 MOST_CARRIED = 100_000
 
 
+def _closed(line: Column) -> Column:
+    """A line without one trailing carriage return."""
+    return F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """_file, _part, _pos and line (without a trailing carriage return); invalid UTF-8 fails.
 
@@ -40,7 +45,7 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parts = []
     if plain or not packed:
         raw = spark.read.option("lineSep", "\n").text(plain or path)
-        checked = F.when(F.is_valid_utf8("value"), F.regexp_replace("value", "\r$", "")).otherwise(raised(ParseError, F.lit("invalid UTF-8")).cast("string"))
+        checked = F.when(F.is_valid_utf8("value"), _closed(F.col("value"))).otherwise(raised(ParseError, F.lit("invalid UTF-8")).cast("string"))
         parts.append(raw.select(F.input_file_name().alias("_file"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos"), checked.alias("line")))
     if packed:
         parts.append(text_lines(spark, whole_texts(spark, packed), file="_file").select("_file", F.lit(0).alias("_part"), "_pos", "line"))
@@ -84,7 +89,7 @@ def text_lines(spark: SparkSession, texts: DataFrame, text: str = "text", file:
     name = F.col(file).cast("string") if file else F.lit("memory")
     split = F.split(F.regexp_replace(text, "\n$", ""), "\n")
     rows = texts.filter((F.col(text).isNotNull()) & (F.length(text) > 0)).select(name.alias("_file"), F.posexplode(split).alias("_pos", "line"))
-    return rows.select("_file", F.col("_pos").cast("long"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return rows.select("_file", F.col("_pos").cast("long"), _closed(F.col("line")).alias("line"))
 
 
 def key_values(read: DataFrame, pairs: str = " ", equals: str = "=", names: list[str] | None = None) -> DataFrame:
@@ -154,37 +159,74 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), values], schema=batch.schema)
 
 
-def _carried(rows: DataFrame, value: str) -> DataFrame:
-    """The last non-null value up to each line of its file. Lines stay where they are: each task fills its own forward,
-    and one row for each part of a file carries on to the next part."""
-    names = [c for c in rows.columns if c != value]
-    ship(rows.sparkSession)
-    rows = rows.select(*names, value)
-    filled = rows.mapInArrow(_filled, rows.schema)
-    if "_part" not in rows.columns:
-        return filled
-    before = Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("_file", "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_end"))
-    came = ends.select("_file", "_part", F.last("_end", ignorenulls=True).over(before).alias("_came")).filter(F.col("_came").isNotNull())
-    came = F.broadcast(came) if rows.rdd.getNumPartitions() <= MOST_CARRIED else came
-    return filled.join(came, ["_file", "_part"], "left").withColumn(value, F.coalesce(value, "_came")).drop("_came")
+def _ini_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_file, _part, _pos, key and value (null for lines that hold none) and _section (where one opens) of the lines that
+    say something."""
+    for batch in batches:
+        line = pc.utf8_trim(batch.column(3), characters=WHITE_CHARS)
+        says = pc.and_(pc.not_equal(line, ""), pc.invert(pc.or_(pc.starts_with(line, ";"), pc.starts_with(line, "#"))))
+        batch, line = batch.filter(says), line.filter(says)
+        opens = pc.starts_with(line, "[")
+        section = pc.struct_field(pc.extract_regex(line, r"^\[(?P<s>[^\]]*)\]"), 0)
+        plain = pc.if_else(opens, pa.scalar(None, pa.string()), line)
+        by_equals, by_colon = (pc.extract_regex(plain, f"(?s)^(?P<key>[^{x}]*){x}(?P<value>.*)$") for x in "=:")
+        key, value = (pc.coalesce(pc.struct_field(by_equals, i), pc.struct_field(by_colon, i)) for i in (0, 1))
+        key, value = pc.utf8_rtrim(key, characters=WHITE_CHARS), pc.utf8_ltrim(value, characters=WHITE_CHARS)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), key, value, section], names=["_file", "_part", "_pos", "key", "value", "_section"])
+
+
+def _ini_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines with a key, each with the section that its task has seen open."""
+    for batch in _filled(_ini_lines(batches)):
+        yield batch.filter(batch.column(3).is_valid())
+
+
+def _ini_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_file, _part and the last section that opens in that part of the file, or null."""
+    last: dict[tuple[str, int], str | None] = {}
+
+    def ends(batch: pa.RecordBatch, columns: tuple[int, ...]) -> Iterator[tuple]:
+        n = batch.num_rows
+        other = [pc.not_equal(batch.column(i)[1:], batch.column(i)[:-1]).to_numpy(zero_copy_only=False) for i in (0, 1)] if n > 1 else [np.zeros(0, bool)] * 2
+        at = pa.array(np.flatnonzero(np.r_[other[0] | other[1], [True] * (n > 0)]))
+        return zip(*(batch.column(i).take(at).to_pylist() for i in columns), strict=True)
+
+    def noted() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, part in ends(batch, (0, 1)):
+                last.setdefault((file, part))
+            yield batch
+
+    for batch in _ini_lines(noted()):
+        for file, part, section in ends(batch.filter(batch.column(5).is_valid()), (0, 1, 5)):
+            last[file, part] = section
+    rows = [(*k, v) for k, v in last.items()]
+    kinds = (pa.string(), pa.int32(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_file", "_part", "_end"])
 
 
 def ini(read: DataFrame) -> DataFrame:
     """section and one field per key line: [s] opens a section, up to the first ] and whatever follows it; a line that
-    begins with [ and has no ] is passed over; ; and # are comments; = parts a key from its value before : does."""
-    text = trimmed(F.col("line"))
-    rows = read.withColumn("line", text).filter((text != "") & ~text.rlike("^[;#]"))
-    section = F.when(F.col("line").rlike(r"^\[[^\]]*\]"), F.regexp_extract("line", r"^\[([^\]]*)\]", 1))
-    rows = _carried(rows.withColumn("_section", section), "_section")
-    rows = rows.filter(~F.col("line").startswith("[") & F.col("line").rlike("[=:]"))
-    sign = F.when(F.contains("line", F.lit("=")), F.lit("=")).otherwise(":")
-    at = F.instr("line", sign)
-    key, value = trimmed(F.substring("line", F.lit(1), at - 1), left=False), trimmed(F.col("line").substr(at + 1, F.length("line")), right=False)
-    keys, values = F.array(F.lit("section"), key), F.array(F.coalesce("_section", F.lit("")), value)
+    begins with [ and has no ] is passed over; ; and # are comments; = parts a key from its value before : does.
+
+    Lines stay where they are: each task carries sections along its own lines, and one row for each part of a file
+    carries on to the next part. For that row no other lines than those with a [ are sent.
+    """
+    ship(read.sparkSession)
+    in_parts = "_part" in read.columns
+    rows = read.select("_file", F.col("_part") if in_parts else F.lit(0).alias("_part"), "_pos", "line")
+    found = rows.mapInArrow(_ini_keys, "_file string, _part int, _pos long, key string, value string, _section string")
+    if in_parts:
+        before = Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        marks = rows.withColumn("line", F.when(F.contains("line", F.lit("[")), F.col("line")))
+        ends = marks.mapInArrow(_ini_ends, "_file string, _part int, _end string")
+        came = ends.select("_file", "_part", F.last("_end", ignorenulls=True).over(before).alias("_came")).filter(F.col("_came").isNotNull())
+        came = F.broadcast(came) if rows.rdd.getNumPartitions() <= MOST_CARRIED else came
+        found = found.join(came, ["_file", "_part"], "left").withColumn("_section", F.coalesce("_section", "_came"))
+    keys, values = F.array(F.lit("section"), F.col("key")), F.array(F.coalesce("_section", F.lit("")), F.col("value"))
     # a key called section hides the section, as the last of equal fields
-    fields = F.when(key == "section", F.create_map(F.lit("section"), value)).otherwise(F.map_from_arrays(keys, values))
-    return rows.select("_file", "_pos", fields.alias("fields"))
+    fields = F.when(F.col("key") == "section", F.create_map(F.lit("section"), F.col("value"))).otherwise(F.map_from_arrays(keys, values))
+    return found.select("_file", "_pos", fields.alias("fields"))
 
 
 _PIECE = "_file string, _part int, _pos long, _seq int, fields map<string,string>, _lines int, _head boolean, _tail boolean"

@@ -358,3 +358,23 @@ def test_catalogue_has_sql():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     own = [q for q in queries if not q.startswith("op") and q != "pipeline"]
     assert len(own) > 60 and set(own) <= set(sql)
+
+
+def test_ini_lines_are_trimmed_once_and_files_are_written_in_parts(spark, tmp_path):
+    # the plan held the trimming expressions anew for each use of a line, and one task wrote the whole file
+    (tmp_path / "a.ini").write_text(" [s] x\n a\t=  1 \n" + "; c\n" * 40 + "b:2\r\n[é]\nc=\n" + "; c\n" * 40 + "d:=4\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        made = formats.ini(formats.lines(spark, str(tmp_path / "a.ini")))
+        assert made.rdd.getNumPartitions() > 3
+        plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+        found = [r["fields"] for r in made.orderBy("_pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert "regexp" not in plan
+    assert found == [{"section": "s", "a": "1"}, {"section": "s", "b": "2"}, {"section": "é", "c": ""}, {"section": "é", "d:": "4"}]
+    from millrace.plans.catalogue import _written
+
+    path = _written(spark.range(0, 40, 1, 4), F.col("id").cast("string"), "parts")
+    assert spark.read.text(path).select(F.input_file_name()).distinct().count() == 4
