@@ -232,46 +232,72 @@ def ini(read: DataFrame) -> DataFrame:
 _PIECE = "_file string, _part int, _pos long, _seq int, fields map<string,string>, _lines int, _head boolean, _tail boolean"
 
 
+def _piece_rows(lines: pa.RecordBatch, of: tuple[str, int], seq: int, head: bool, tail: bool) -> pa.RecordBatch:
+    """The pieces of some lines (or none) of one part of a file; lines that belong to one piece are here together. head, tail:
+    marks of the first piece and of the one after the last blank line. Of equal keys the last stands, at the first one's
+    place; a piece without a line is left out unless it is the tail."""
+    line = lines.column(3)
+    blank = pc.equal(line, "").to_numpy(zero_copy_only=False)
+    said = ~blank & ~pc.starts_with(line, "#").to_numpy(zero_copy_only=False)
+    piece, many = np.cumsum(blank) - blank, int(blank.sum()) + 1
+    counts = np.bincount(piece[said], minlength=many)
+    begins = np.zeros(many, "i8")
+    owners, first = np.unique(piece[said], return_index=True)
+    begins[owners] = np.flatnonzero(said)[first]
+    place = np.where(counts > 0, np.r_[lines.column(2).to_numpy(), -1][begins], -1)
+    pairs = said & pc.match_substring(line, ":").to_numpy(zero_copy_only=False)
+    parted = pc.extract_regex(line.filter(pa.array(pairs)), "(?s)^(?P<key>[^:]*):(?P<value>.*)$")
+    key, value, owner = pc.struct_field(parted, 0), pc.utf8_ltrim(pc.struct_field(parted, 1), characters=" "), piece[pairs]
+    coded = key.dictionary_encode()
+    code = owner * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+    _, first = np.unique(code, return_index=True)
+    last = len(code) - 1 - np.unique(code[::-1], return_index=True)[1]
+    order = np.argsort(first)
+    first, last = first[order], last[order]
+    ends = np.cumsum(np.bincount(owner[first], minlength=many))
+    fields = pa.MapArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), key.take(pa.array(first)), value.take(pa.array(last)))
+    at = np.arange(many)
+    heads, tails = (at == 0) & head, (at == many - 1) & tail
+    same = [pa.repeat(pa.scalar(x, k), many) for x, k in zip(of, (pa.string(), pa.int32()), strict=True)]
+    made = [*same, pa.array(place), pa.array(at + seq, pa.int32()), fields, pa.array(counts, pa.int32()), pa.array(heads), pa.array(tails)]
+    return pa.RecordBatch.from_arrays(made, names=["_file", "_part", "_pos", "_seq", "fields", "_lines", "_head", "_tail"]).filter(pa.array((counts > 0) | tails))
+
+
 def _pieces(in_parts: bool):
     """Records of the lines that a task holds. Of a part of a file, the first piece may belong to a record of the part
     before, and the last one may go on in the part after: they are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, out = None, []
-        seq, pos, fields, n, head = 0, None, {}, 0, in_parts
+        at, held, seq, head = None, [], 0, in_parts
 
-        def close(tail: bool) -> None:
-            if n or tail:
-                out.append((*at, -1 if pos is None else pos, seq, list(fields.items()), n, head, tail))
-
-        def made() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.bool_(), pa.bool_())
-            names = ("_file", "_part", "_pos", "_seq", "fields", "_lines", "_head", "_tail")
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
-            out.clear()
-            return batch
+        def closed(tail: bool) -> pa.RecordBatch:
+            """What is held, whose last line is blank or ends the part."""
+            lines = pa.concat_batches(held)
+            held.clear()
+            return _piece_rows(lines, at, seq, head, tail)
 
         for batch in batches:
-            for file, part, place, line in zip(*(batch.column(c).to_pylist() for c in ("_file", "_part", "_pos", "line")), strict=True):
-                if (file, part) != at:
-                    if at is not None:
-                        close(in_parts)
-                    at, seq, pos, fields, n, head = (file, part), 0, None, {}, 0, in_parts
-                if line == "":
-                    close(False)
-                    seq, pos, fields, n, head = seq + 1, None, {}, 0, False
-                    continue
-                if line.startswith("#"):
-                    continue
-                n, pos = n + 1, place if pos is None else pos
-                key, colon, value = line.partition(":")
-                if colon:
-                    fields[key] = value.lstrip(" ")
-            yield made()
-        if at is not None:
-            close(in_parts)
-            yield made()
+            if not batch.num_rows:
+                continue
+            opens = np.r_[True, *(() if len(batch) < 2 else [(pc.or_(*(pc.not_equal(batch.column(i)[1:], batch.column(i)[:-1]) for i in (0, 1)))).to_numpy(zero_copy_only=False)])]
+            bounds = np.r_[np.flatnonzero(opens), batch.num_rows]
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                run_of = batch.slice(low, high - low)
+                where = (run_of.column(0)[0].as_py(), run_of.column(1)[0].as_py())
+                if where != at:
+                    if held:
+                        yield closed(in_parts)
+                    at, seq, head = where, 0, in_parts
+                blanks = np.flatnonzero(pc.equal(run_of.column(3), "").to_numpy(zero_copy_only=False))
+                if len(blanks):
+                    cut = int(blanks[-1]) + 1
+                    held.append(run_of.slice(0, cut))
+                    yield closed(False)
+                    seq, head, run_of = seq + len(blanks), False, run_of.slice(cut)
+                # a part that ends with a blank line still has an empty last piece: its last line is held
+                held.append(run_of)
+        if held:
+            yield closed(in_parts)
 
     return run
 
@@ -283,7 +309,7 @@ def ldif(read: DataFrame) -> DataFrame:
     """
     refuse = lambda what: raised(ParserError, F.lit(f"LDIF {what} values are unsupported")).cast("string")
     line = F.col("line")
-    checked = F.when(line.startswith(" "), refuse("folded")).when(line.rlike("^[^#:][^:]*::|^::"), refuse("base64")).when(line.rlike("^[^#:][^:]*:<|^:<"), refuse("URL")).otherwise(line)
+    checked = F.when(line.startswith(" "), refuse("folded")).when(F.contains(line, F.lit("::")) & line.rlike("^[^#:][^:]*::|^::"), refuse("base64")).when(F.contains(line, F.lit(":<")) & line.rlike("^[^#:][^:]*:<|^:<"), refuse("URL")).otherwise(line)
     in_parts = "_part" in read.columns
     ship(read.sparkSession)
     rows = read.select("_file", F.col("_part") if in_parts else F.lit(0).alias("_part"), "_pos", checked.alias("line"))

@@ -378,3 +378,30 @@ def test_ini_lines_are_trimmed_once_and_files_are_written_in_parts(spark, tmp_pa
 
     path = _written(spark.range(0, 40, 1, 4), F.col("id").cast("string"), "parts")
     assert spark.read.text(path).select(F.input_file_name()).distinct().count() == 4
+
+
+def test_ldif_pieces_are_cut_by_columns_and_meet_across_batches():
+    """Lines went through Python one by one; _piece_rows is held against that plain way, batch by batch."""
+    import random
+
+    def plain(rows):
+        out, seq, pos, fields, n, head = [], 0, None, {}, 0, True
+        for place, line in rows:
+            if line == "":
+                out += [(-1 if pos is None else pos, seq, list(fields.items()), n, head, False)] if n else []
+                seq, pos, fields, n, head = seq + 1, None, {}, 0, False
+            elif not line.startswith("#"):
+                n, pos = n + 1, place if pos is None else pos
+                key, colon, value = line.partition(":")
+                if colon:
+                    fields[key] = value.lstrip(" ")
+        return [*out, (-1 if pos is None else pos, seq, list(fields.items()), n, head, True)]
+
+    rng, names = random.Random(3), ["_file", "_part", "_pos", "line"]
+    for _ in range(60):
+        rows = [(i, rng.choice(["", "", "# c", "a: 1", "a:  2", "b:x:y", "é:", ":z", "loose", "b:3"])) for i in range(rng.randrange(1, 40))]
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(4))})
+        part = lambda x: pa.RecordBatch.from_arrays([pa.array(["f"] * len(x)), pa.array([7] * len(x), pa.int32()), pa.array([i for i, _ in x], pa.int64()), pa.array([t for _, t in x])], names=names)
+        made = [r for b in formats._pieces(True)(part(rows[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)) for r in b.to_pylist()]
+        assert [(r["_pos"], r["_seq"], r["fields"], r["_lines"], r["_head"], r["_tail"]) for r in made] == plain(rows)
+    assert hasattr(formats, "_piece_rows")
